@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orelode.llm.decontaminate import contamination_digest
+from orelode.llm.fertility import quality_digest
+from orelode.llm.language_id import language_digest
 from orelode.llm.token_counts import count_digest
 
 
@@ -14,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -22,8 +28,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op7_token_counts)}
+    return {f.__name__: f for f in (op3_fertility, op4_decontaminate, op7_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
