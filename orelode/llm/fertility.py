@@ -11,6 +11,7 @@ a script without a band of its own takes that of ``other``.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from orelode.llm import textbuf as tb
 from orelode.llm.cluster import arrow_map, pieces, text_of, tokenizer_file
 
-#: By script: least and most characters per token, most byte-fallback share, and least entropy of the tokens as a share
-#: of the most that so many tokens can have (log2 of their number, or of 512 if that is less).
+#: By script: least and most characters per token, most byte-fallback share, and bits that its entropy may lie lower.
 BANDS = {
-    "latin": (1.9, 8.0, 0.10, 0.62),
-    "greek": (0.8, 4.0, 0.20, 0.50),
-    "cyrillic": (1.2, 6.0, 0.20, 0.55),
-    "cjk": (0.3, 2.5, 0.60, 0.50),
-    "other": (0.2, 8.0, 0.80, 0.40),
+    "latin": (1.9, 8.0, 0.10, 0.0),
+    "greek": (0.8, 4.0, 0.20, 1.5),
+    "cyrillic": (1.2, 6.0, 0.20, 1.0),
+    "cjk": (0.3, 2.5, 0.60, 1.5),
+    "other": (0.2, 8.0, 0.80, 2.0),
 }
+#: Least entropy (bits) of the tokens of Latin prose by their number; between the points linear in its logarithm.
+LEAST_ENTROPY = ((1, 0.0), (64, 4.9), (128, 5.4), (256, 5.8), (512, 6.1), (1024, 6.33), (2048, 6.45))
 SCRIPTS = tuple(BANDS)
 
 #: The script of a character, from the first byte of its UTF-8 form; -1: of no script (digits, signs, later bytes).
@@ -137,12 +139,20 @@ def measure(docs: DataFrame, keys: list[str], tokenizer: str = "piece_bpe_32k.mo
     return arrow_map(source, run, f"{fields}, {COLUMNS}")
 
 
+def least_entropy():
+    """``LEAST_ENTROPY`` at a row's number of tokens."""
+    bits = F.log2(F.greatest(F.lit(1), "n_tokens"))
+    out = F.lit(LEAST_ENTROPY[-1][1])
+    for (a, x), (b, y) in reversed(list(zip(LEAST_ENTROPY, LEAST_ENTROPY[1:], strict=False))):
+        out = F.when(F.col("n_tokens") < b, x + (bits - math.log2(a)) * ((y - x) / (math.log2(b) - math.log2(a)))).otherwise(out)
+    return out
+
+
 def in_band(bands: dict[str, tuple[float, float, float, float]] = BANDS):
     """Whether a row of ``measure`` lies in the band of its script."""
-    most = F.log2(F.greatest(F.lit(2), F.least(F.lit(512), "n_tokens")))
     verdict = F.lit(False)
-    for script, (low, high, byte_share, entropy) in bands.items():
-        good = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= byte_share) & (F.col("token_entropy") >= entropy * most)
+    for script, (low, high, byte_share, relief) in bands.items():
+        good = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= byte_share) & (F.col("token_entropy") >= least_entropy() - relief)
         verdict = F.when(F.col("script") == script, good).otherwise(verdict)
     return F.coalesce(verdict, F.lit(False))
 
