@@ -120,3 +120,36 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of ``df``'s size: only to choose numbers of buckets, never what is computed."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 48) -> int:
+    """A power of two of buckets, so that each holds about ``bytes_each`` of ``df``'s input."""
+    n = max(least, plan_bytes(df) // bytes_each)
+    return min(1 << 20, 1 << (n - 1).bit_length())
+
+
+def by_bucket(df: DataFrame, fn: Callable[[int, list[dict]], Iterator[pa.RecordBatch]], schema: str, buckets: int) -> DataFrame:
+    """``fn(bucket, rows)`` for each value of the column ``bucket``; the rows of one bucket at a time are in memory.
+
+    Rows are packed blobs (one for each task and bucket), so there are few of them.
+    """
+    tasks = max(2, min(buckets, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16)))
+
+    def run(batches):
+        current, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != current and rows:
+                    yield from fn(current, rows)
+                    rows = []
+                current = row["bucket"]
+                rows.append(row)
+        if rows:
+            yield from fn(current, rows)
+
+    return arrow_map(df.repartition(tasks, "bucket").sortWithinPartitions("bucket"), run, schema)

@@ -10,6 +10,7 @@ from orelode.llm.decontaminate import contamination_digest
 from orelode.llm.fertility import quality_digest
 from orelode.llm.language_id import language_digest
 from orelode.llm.token_counts import count_digest
+from orelode.llm.window_dedup import dedup_digest
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,12 +29,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(_read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fertility, op4_decontaminate, op7_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op3_fertility, op4_decontaminate, op7_token_counts, op8_window_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
