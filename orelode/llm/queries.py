@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orelode.llm.decontaminate import contamination_digest
 from orelode.llm.fertility import quality_digest
+from orelode.llm.jaccard_join import component_digest
 from orelode.llm.language_id import language_digest
 from orelode.llm.token_counts import count_digest
 from orelode.llm.window_dedup import dedup_digest
@@ -17,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return component_digest(_read(spark, sf_dir, "documents"))
+
+
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_read(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fertility, op4_decontaminate, op7_token_counts, op8_window_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op7_token_counts, op8_window_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
