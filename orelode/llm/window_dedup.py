@@ -242,7 +242,7 @@ def _count_bucket(rows: list[dict], k: int) -> Iterator[tuple[bytes, np.ndarray]
 def repeated_spans(source: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
     """``_md5`` of a text and ``spans``: the words to remove, as packed pairs (first, one past the last) of 32-bit integers."""
     table = _repeated_table(source, k, m)
-    buckets = buckets_for(source)
+    buckets = buckets_for(source, 1 << 20)
 
     def fn(_, rows):
         found = list(_count_bucket(rows, k))
