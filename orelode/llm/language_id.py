@@ -97,9 +97,14 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Machines | None:
     """Machines fitted to a bounded sample of the rows that ``where`` admits."""
-    rows = docs.where(where & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").cast("string").alias("_body"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_body"), F.octet_length("_body"))
-    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.where(where & F.col(f"`{lang}`").isNotNull() & body.isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), body.alias("_body"), F.xxhash64(body).alias("_hash"))
+    # the hash up to which a language's texts are taken; only hashes are dealt out for that, first in 64 parts
+    hashes = rows.select("_lang", "_hash", F.pmod("_hash", F.lit(64)).alias("_part")).distinct()
+    for group in (["_lang", "_part"], ["_lang"]):
+        hashes = hashes.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))).where(F.col("_n") <= per_language).drop("_n")
+    cut = hashes.groupBy("_lang").agg(F.max("_hash").alias("_cut"))
+    sample = rows.join(cut, "_lang").where("_hash <= _cut").groupBy("_lang", "_hash").agg(F.min("_body").alias("_body")).drop("_hash")
 
     def run(batches):
         for batch in pieces(batches, "_body", 1 << 19):
