@@ -10,6 +10,7 @@ from orelode.llm.decontaminate import contamination_digest
 from orelode.llm.fertility import quality_digest
 from orelode.llm.jaccard_join import component_digest
 from orelode.llm.language_id import language_digest
+from orelode.llm.repair_codec import shard_digest
 from orelode.llm.token_counts import count_digest
 from orelode.llm.window_dedup import dedup_digest
 
@@ -30,6 +31,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_digest(_read(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op7_token_counts, op8_window_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
