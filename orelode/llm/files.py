@@ -25,7 +25,7 @@ def write_file(folder: str, suffix: str, data: bytes) -> str:
     system, path = locate(folder)
     system.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    with system.open_output_stream(f"{path}/{name}") as out:
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
         out.write(data)
     return f"{folder}/{name}"
 

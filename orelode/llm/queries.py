@@ -12,6 +12,7 @@ from orelode.llm.jaccard_join import component_digest
 from orelode.llm.language_id import language_digest
 from orelode.llm.repair_codec import shard_digest
 from orelode.llm.token_counts import count_digest
+from orelode.llm.warc import WARC_SQL, warc_digest
 from orelode.llm.window_dedup import dedup_digest
 
 
@@ -31,6 +32,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_digest(_read(spark, sf_dir, "pages"))
+
+
 def op6_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_read(spark, sf_dir, "documents"))
 
@@ -48,8 +53,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op5_warc_zstd, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_zstd": WARC_SQL}
