@@ -11,6 +11,7 @@ from orelode.llm.fertility import quality_digest
 from orelode.llm.jaccard_join import component_digest
 from orelode.llm.language_id import language_digest
 from orelode.llm.repair_codec import shard_digest
+from orelode.llm.sentence_fst import piece_digest
 from orelode.llm.token_counts import count_digest
 from orelode.llm.warc import WARC_SQL, warc_digest
 from orelode.llm.window_dedup import dedup_digest
@@ -52,8 +53,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_sentence_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op5_warc_zstd, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op5_warc_zstd, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id, op10_sentence_fst)}
 
 
 def oracle_sql() -> dict[str, str]:
