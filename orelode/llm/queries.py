@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orelode.llm.decontaminate import contamination_digest
 from orelode.llm.fertility import quality_digest
+from orelode.llm.gated_lm import score_digest
 from orelode.llm.jaccard_join import component_digest
 from orelode.llm.language_id import language_digest
 from orelode.llm.repair_codec import shard_digest
@@ -21,6 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_digest(_read(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_digest(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_sentence_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_fertility, op4_decontaminate, op5_warc_zstd, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id, op10_sentence_fst)}
+    return {f.__name__: f for f in (op1_gated_lm, op2_jaccard_join, op3_fertility, op4_decontaminate, op5_warc_zstd, op6_repair_shards, op7_token_counts, op8_window_dedup, op9_language_id, op10_sentence_fst)}
 
 
 def oracle_sql() -> dict[str, str]:
