@@ -103,8 +103,11 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     hashes = rows.select("_lang", "_hash", F.pmod("_hash", F.lit(64)).alias("_part")).distinct()
     for group in (["_lang", "_part"], ["_lang"]):
         hashes = hashes.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))).where(F.col("_n") <= per_language).drop("_n")
-    cut = hashes.groupBy("_lang").agg(F.max("_hash").alias("_cut"))
-    sample = rows.join(cut, "_lang").where("_hash <= _cut").groupBy("_lang", "_hash").agg(F.min("_body").alias("_body")).drop("_hash")
+    cut = {r._lang: r.cut for r in hashes.groupBy("_lang").agg(F.max("_hash").alias("cut")).collect()}  # a line for each language
+    if not cut:
+        return None
+    limit = F.create_map(*[F.lit(x) for pair in sorted(cut.items()) for x in pair])
+    sample = rows.where(F.col("_hash") <= F.try_element_at(limit, F.col("_lang"))).groupBy("_lang", "_hash").agg(F.min("_body").alias("_body")).drop("_hash")
 
     def run(batches):
         for batch in pieces(batches, "_body", 1 << 19):
