@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Rows in an Arrow batch from the JVM; texts may be long, and a batch is held in memory on both sides.
 BATCH_ROWS = 400
+BATCH_BYTES = "8m"
 #: Bytes of text that the vectorised kernels take at once (one longer text goes alone).
 CHUNK_BYTES = 1 << 20
 
@@ -78,6 +79,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

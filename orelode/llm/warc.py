@@ -44,11 +44,13 @@ def record_id(page_id: object) -> str:
     return f"<urn:page:{page_id}>"
 
 
-def record(page_id: object, url: str, payload: bytes, refers_to: object = None) -> bytes:
-    """A response record, or a revisit of ``refers_to``."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: object, url: str, payload: bytes | None, refers_to: object = None, sha1: bytes | None = None, length: int | None = None) -> bytes:
+    """A response record, or a revisit of ``refers_to``, of which only the payload's SHA-1 and length are needed."""
+    if sha1 is None:
+        sha1, length = hashlib.sha1(payload, usedforsecurity=False).digest(), len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http if refers_to is not None else http + payload
-    digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    digest = base64.b32encode(sha1).decode()
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
@@ -80,11 +82,11 @@ class Archive:
                 break
         dictionary, out = None, []
         try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample) if len(sample) >= 16 and n > 4 * DICTIONARY_BYTES else None
+            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8) if len(sample) >= 16 and n > 4 * DICTIONARY_BYTES else None
         except zstandard.ZstdError:
             dictionary = None  # too little or too uniform: the archive goes without one
         if dictionary is not None:
-            packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
+            packed = zstandard.ZstdCompressor(level=9).compress(dictionary.as_bytes())
             out.append(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
             compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         else:
@@ -165,13 +167,15 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     source = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").cast("string").alias("_url"), body.alias("_body"), F.unhex(F.sha1(body)).alias("_sha1"))
     firsts = source.where(F.octet_length("_body") >= least_revisit).groupBy("_sha1").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    ready = source.join(firsts, "_sha1", "left").select("_key", "_url", "_body", F.when(~F.col("_key").eqNullSafe(F.col("_first")), F.col("_first")).alias("_refers"))
+    refers = F.when(~F.col("_key").eqNullSafe(F.col("_first")), F.col("_first"))
+    # the pages stream past the (small) table of repeated payloads; they aren't sorted
+    ready = source.join(firsts.hint("shuffle_hash"), "_sha1", "left").select("_key", "_url", F.when(refers.isNull(), F.col("_body")).alias("_body"), refers.alias("_refers"), "_sha1", F.octet_length("_body").alias("_length"))
 
     def run(batches):
         archive = Archive()
         for batch in batches:
-            for k, u, b, r in zip(*(batch.column(c).to_pylist() for c in ("_key", "_url", "_body", "_refers")), strict=True):
-                archive.add(record(k, u, b, r))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("_key", "_url", "_body", "_refers", "_sha1", "_length")), strict=True):
+                archive.add(record(*row))
                 if archive.size >= ARCHIVE_BYTES:
                     yield _done(archive)
                     archive = Archive()
