@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,14 @@ from orelode.llm.files import open_file, write_file
 MAGIC = b"RPG1"
 END_ID = 2
 SHARD_TOKENS = 8 << 20
-ROUNDS, PAIRS, LEAST = 8, 512, 64
-_CACHE = 700_000
+ROUNDS, PAIRS, LEAST = 5, 1024, 64
+_CACHE = 800_000
 _BINS = 20
+#: Bytes that aren't ASCII signs, and ASCII letters.
+_SOLID = np.ones(256, bool)
+_SOLID[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
 class WordEncoder:
@@ -56,56 +62,96 @@ class WordEncoder:
             raise ValueError("this tokenizer doesn't drop white space; its words can't be encoded one by one")
         self.mark = self.specials[0]
         self.mark_id = self.lib.token_to_id(self.mark)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(self.lib.get_vocab_size())])
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache: of each word, where its ids start in ``known``, times 2^20, plus how many they are."""
+        self.cache: dict[bytes, int] = {}
+        self.known, self.used = np.zeros(1 << 20, np.uint32), 0
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         return any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps)
 
+    def _add(self, ids: np.ndarray) -> int:
+        """Keeps ids; returns where."""
+        at = self.used
+        while at + len(ids) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[at : at + len(ids)] = ids
+        self.used += len(ids)
+        return at
+
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        plain = [w for w in words if b"<|" not in w]
-        if plain:  # one call; the mark, itself a token of the vocabulary, keeps the words apart
-            ids = np.array(self.lib.encode(self.mark.join([w.decode() for w in plain]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]]).tolist()
-            for w, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
-                self.cache[w] = ids[a + 1 : b]
-        for w in words:
-            if b"<|" in w:
-                self.cache[w] = np.array(self.lib.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+        text = [w.decode() for w in words]
+        # words of letters alone are one pre-token each, whose last id alone is marked as an end: a space keeps them apart
+        letters = [i for i, w in enumerate(text) if w.isalpha()] if self.ends.any() else []
+        ids = np.array(self.lib.encode_batch_fast([" ".join([text[i] for i in letters])], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(letters):
+            self._keep([words[i] for i in letters], ids, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops)
+        else:
+            letters = []
+        known = set(letters)
+        plain = [i for i in range(len(text)) if i not in known and "<|" not in text[i]]
+        # others by a mark between them, itself a token of the vocabulary
+        ids = np.array(self.lib.encode_batch_fast([self.mark.join([text[i] for i in plain])], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        self._keep([words[i] for i in plain], ids, np.concatenate([[0], marks + 1]).astype(np.int64), np.concatenate([marks, [len(ids)]]))
+        for i, w in enumerate(text):
+            if "<|" in w:
+                ids = np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32)
+                self._keep([words[i]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Words' ids, from ``starts`` to ``stops``, into the cache."""
+        if words:
+            if (stops - starts >= 1 << 20).any():
+                raise ValueError("a word has over a million tokens")
+            at = self._add(ids)
+            self.cache.update(zip(words, ((starts + at) << 20 | (stops - starts)).tolist(), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
+        if len(self.cache) > _CACHE:
+            self._forget()
         raw, _ = tb.raw_bytes(texts.cast(pa.binary()))
-        fold = self.lowers and b"<|" not in raw.tobytes()  # special strings are matched before letters are lowered
-        w = tb.words(texts.cast(pa.binary()), tb.FOLDED if fold else tb.PLAIN)
+        special = b"<|" in raw.tobytes()  # special strings are matched before letters are lowered, and may hold signs
+        w = tb.words(texts.cast(pa.binary()), tb.FOLDED if self.lowers and not special else tb.PLAIN)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         data = np.where(w.mapped == 0xFF, 0, w.mapped) if (w.mapped == 0xFF).any() else w.mapped
-        starts, ends, doc = w.starts, w.ends, w.doc
-        # a last stop or comma after a letter is a token of its own: fewer distinct words
-        tail = (ends - starts > 1) & np.isin(data[ends - 1], (0x2C, 0x2E)) & (data[ends - 2] >= 0x61) & (data[ends - 2] <= 0x7A)
-        at = np.flatnonzero(tail)
-        slot = np.arange(len(starts)) + np.cumsum(tail) - tail
-        begin = np.empty(len(starts) + len(at), np.int64)
-        end, of = np.empty_like(begin), np.empty_like(begin)
-        begin[slot], end[slot], of[slot] = starts, ends - tail, doc
-        begin[slot[at] + 1], end[slot[at] + 1], of[slot[at] + 1] = ends[at] - 1, ends[at], doc[at]
+        begin, end, of = w.starts, w.ends, w.doc
+        if not special:
+            begin, end, of = self._cut_tails(data, begin, end, of)
         _, first, back = np.unique(tb.span_hashes(data, begin, end), return_index=True, return_inverse=True)
         text = data.tobytes()
         words = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        found = list(map(self.cache.get, words))
-        missing = [x for x, f in zip(words, found, strict=True) if f is None]
-        if missing:
-            known = {x: f for x, f in zip(words, found, strict=True) if f is not None} if len(self.cache) > _CACHE else {}
-            self._learn(missing)
-            found = [known[x] if x in known else self.cache[x] for x in words]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        heads = np.cumsum(lens) - lens
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        return tb.pick(flat, heads[back], lens[back]), np.bincount(of, weights=lens[back], minlength=len(texts)).astype(np.int64)
+        found = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._learn(new)
+            found[missing] = np.fromiter(map(self.cache.__getitem__, new), np.int64, len(new))
+        lens, heads = found & 0xFFFFF, found >> 20
+        return tb.pick(self.known, heads[back], lens[back]), np.bincount(of, weights=lens[back], minlength=len(texts)).astype(np.int64)
+
+    @staticmethod
+    def _cut_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signs after a word's last ASCII letter are tokens of their own: cut off, they leave fewer distinct words."""
+        solid = np.flatnonzero(_SOLID[data])
+        last = np.searchsorted(solid, ends) - 1
+        at = np.where(last >= 0, solid[np.maximum(last, 0)], -1)
+        tail = (at >= starts) & (at < ends - 1) & _LETTER[data[np.maximum(at, 0)]]
+        cut = np.flatnonzero(tail)
+        slot = np.arange(len(starts)) + np.cumsum(tail) - tail
+        begin = np.empty(len(starts) + len(cut), np.int64)
+        end, of = np.empty_like(begin), np.empty_like(begin)
+        begin[slot], end[slot], of[slot] = starts, np.where(tail, at + 1, ends), doc
+        begin[slot[cut] + 1], end[slot[cut] + 1], of[slot[cut] + 1] = at[cut] + 1, ends[cut], doc[cut]
+        return begin, end, of
 
 
 @lru_cache(maxsize=2)
@@ -216,7 +262,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def run(batches):
         enc = word_encoder(path)
         kind = "<u2" if enc.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in pieces(batches, "_body", 2 << 20):
+        for batch in pieces(batches, "_body", 4 << 20):
             flat, lens = enc(batch.column("_body").fill_null(""))
             ends = np.cumsum(lens)
             every = np.insert(flat, ends, end_id).astype(kind)
