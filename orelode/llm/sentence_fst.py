@@ -2,9 +2,9 @@
 
 The model file is compiled into a transducer: the normaliser (dummy prefix, spaces to the word mark), one path of
 characters for each piece, and byte fallback for characters that no piece covers. A text is composed with it and the
-tropical-semiring shortest path read off. Where no piece can cross a place (before a run of spaces, and on either side
-of a character that occurs in no longer piece), the composition falls apart, so each distinct stretch between such
-places is solved once per batch and remembered.
+tropical-semiring shortest path read off. Where no piece can cross a place (before a run of spaces, or between two
+characters that no piece has side by side), the composition falls apart, so each distinct stretch between such places
+is solved once and remembered.
 
 Weights: a unigram model's arcs weigh minus the score. A BPE model's segmentation isn't the least sum of any weights of
 single pieces; it is the only one in which every piece, and every two neighbouring pieces, come out of the merges
@@ -29,8 +29,10 @@ from orelode.llm.cluster import arrow_map, pieces, text_of, tokenizer_file
 MARK = "▁"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-_CACHE, _PAIRS = 400_000, 2_000_000
+_CACHE, _PAIRS = 500_000, 600_000
 _UNKNOWN_PENALTY = 10.0
+#: Characters up to which a stretch is solved piece by piece from remembered ends.
+_SHORT = 48
 
 
 def _fields(data: bytes):
@@ -91,11 +93,22 @@ class Transducer:
             raise ValueError("the model has no byte fallback")
         self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         inner = {c for p in self.ids if len(p) > 1 for c in p}
-        self.alone = np.array([b < 0x20 and chr(b) not in inner for b in range(256)])
+        alone = [b < 0x80 and chr(b) not in inner and b != 0x20 for b in range(256)]
+        # by two neighbouring bytes (a space for the mark), whether some piece may cross between them
+        self.joined = np.zeros((256, 256), bool)
+        self.joined[0x80:, 0x80:] = True
+        self.joined[0x80:, :0x80] = ~np.array(alone[:0x80])
+        self.joined[:0x80, 0x80:] = ~np.array(alone[:0x80])[:, None]
+        self.joined[0x80:, 0x20] = False
+        for p in self.ids:
+            for a, b in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:], strict=False):
+                if a < "\x80" and b < "\x80":
+                    self.joined[ord(a), ord(b)] = True
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece runs across words")
         self.least = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
         self.neighbours: dict[tuple[str, str], bool] = {}
+        self.rests: dict[tuple[str, str], tuple[str, ...] | None] = {}
         self.cache: dict[bytes, np.ndarray] = {}
         lens = np.array([len(x) for x in self.out], np.int64)
         self.is_byte = np.zeros(len(self.out), bool)
@@ -106,11 +119,13 @@ class Transducer:
 
     def arcs(self, text: str, at: int) -> list[str]:
         """Pieces that match at a place, the longest first; a character that is no piece passes to byte fallback."""
-        found, end = [], at + 1
-        while end <= len(text) and text[at:end] in self.prefixes:
-            if text[at:end] in self.ids:
-                found.append(text[at:end])
-            end += 1
+        found, ids, prefixes = [], self.ids, self.prefixes
+        for end in range(at + 1, len(text) + 1):
+            part = text[at:end]
+            if part in ids:
+                found.append(part)
+            elif part not in prefixes:
+                break
         if text[at] not in self.ids:
             found.insert(0, text[at])
         found.reverse()
@@ -160,8 +175,9 @@ class Transducer:
 
     def _bpe_path(self, text: str) -> list[str]:
         """The path of finite weight: depth first, longest arcs first; states without a way on are remembered."""
-        if text in self.ids and self.adjoin("", text):
-            return [text]
+        if len(text) <= _SHORT:
+            found = self._rest("", text)
+            return self.merged(text) if found is None else list(found)
         path: list[str] = [""]
         open_: list[list[str]] = [self.arcs(text, 0)[::-1]]
         at, dead = 0, set()
@@ -185,6 +201,28 @@ class Transducer:
                 return path[1:]
             open_.append(self.arcs(text, at)[::-1])
 
+    def _rest(self, left: str, text: str) -> tuple[str, ...] | None:
+        """The path of a short string after the piece ``left``, None if there is none; ends of words are remembered."""
+        key = (left, text)
+        if key in self.rests:
+            return self.rests[key]
+        found, known = None, self.neighbours
+        for piece in self.arcs(text, 0):
+            good = known.get((left, piece))
+            if self.adjoin(left, piece) if good is None else good:
+                if len(piece) == len(text):
+                    found = (piece,)
+                    break
+                after = self._rest(piece, text[len(piece) :])
+                if after is not None:
+                    found = (piece, *after)
+                    break
+        if left:
+            if len(self.rests) > _PAIRS:
+                self.rests.clear()
+            self.rests[key] = found
+        return found
+
     def solve(self, stretch: bytes) -> np.ndarray:
         ids: list[int] = []
         for piece in self.path(stretch.decode().replace(" ", MARK)):
@@ -217,9 +255,8 @@ class Transducer:
         n = len(bounds) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        alone, space = self.alone[data], data == 0x20
-        cut = alone.copy()
-        cut[1:] |= alone[:-1] | (space[1:] & ~space[:-1])
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joined.reshape(-1)[data[:-1].astype(np.int64) << 8 | data[1:]]
         cut[bounds[:-1][np.diff(bounds) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.concatenate([starts[1:], [len(data)]])
