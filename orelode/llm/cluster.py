@@ -18,7 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
@@ -28,6 +28,7 @@ BATCH_BYTES = "8m"
 #: Bytes of text that the vectorised kernels take at once (one longer text goes alone).
 CHUNK_BYTES = 1 << 20
 
+_made: list[str] = []
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -53,10 +54,37 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="orelode-")
         sc.setCheckpointDir(base)
     made = f"{base.rstrip('/')}/orelode-{uuid.uuid4().hex}"
+    _made.append(made)
     atexit.register(_remove, sc, made)
     return made
 
 
+def folders_made() -> list[str]:
+    """The folders of ``shared_dir`` that still stand, in order."""
+    return list(_made)
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders whose tables nobody reads any more; others go when the driver ends."""
+    for path in folders:
+        _remove(spark.sparkContext, path)
+        _made.remove(path)
+
+
+def other_columns(df: DataFrame, text: str) -> Column:
+    """All columns but ``text`` as one struct, which no name can clash with (and never an empty one)."""
+    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text])
+
+
+def original_columns(df: DataFrame, text: str, body: str, row: str = "_row") -> list[Column]:
+    """``df``'s columns again, from ``other_columns`` and the text in ``body`` (``n_chars``, if any, follows the text)."""
+    out = []
+    for i, c in enumerate(df.columns):
+        value = F.col(body) if c == text else F.length(body).cast(df.schema[i].dataType) if c == "n_chars" and body == "_clean" else F.col(f"{row}.c{i}")
+        out.append(value.alias(c))
+    return out
+
+
 def _remove(sc, path: str) -> None:
     try:
         jpath = sc._jvm.org.apache.hadoop.fs.Path(path)

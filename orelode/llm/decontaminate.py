@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, pieces, stored
+from orelode.llm.cluster import arrow_map, original_columns, other_columns, pieces, stored
 
 BLOCK_BYTES = 32 << 20
 _PAIR_BITS = 20
@@ -223,8 +223,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
 
     All columns of ``docs`` stay; only the text changes (and ``n_chars``, if there is one, follows it).
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    packed = docs.select(other_columns(docs, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     found = find_contamination(packed, benchmark, ["_row"], window, text="_text")
     found = found.withColumn("_hit", F.expr("aggregate(hit_words, 0L, (a, s) -> a + s.end - s.start)"))
     found = found.where(F.col("_hit") <= max_cover * F.col("n_words"))
@@ -233,9 +232,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     gaps = F.transform(pieces_, lambda s, i: F.struct(s["end"].alias("a"), F.coalesce(F.try_element_at("hit_bytes", (i + 1).cast("int"))["start"], F.octet_length("_body").cast("bigint")).alias("b")))
     kept = F.array_join(F.transform(gaps, lambda g: F.decode(F.substring(raw, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")), "UTF-8")), "")
     clean = F.when(F.size("hit_bytes") == 0, F.col("_body")).otherwise(kept)
-    out = found.select("_row", clean.alias("_clean"))
-    columns = [F.col("_clean").alias(c) if c == text else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names]
-    return out.select(*columns)
+    return found.select("_row", clean.alias("_clean")).select(*original_columns(docs, text, "_clean"))
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

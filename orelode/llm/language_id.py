@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, pieces, text_of
+from orelode.llm.cluster import arrow_map, original_columns, other_columns, pieces, text_of
 
 DIMENSIONS = 1 << 15
 PER_LANGUAGE = 500
@@ -131,12 +131,12 @@ def hash_of(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-def predict(docs: DataFrame, machines: Machines | None, keys: list[str], text: str = "text") -> DataFrame:
-    """The ``keys`` columns, ``lang_pred`` and ``score`` (0 to 1) of each row's whole text."""
+def predict(docs: DataFrame, machines: Machines | None, keys: list[str], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The ``keys`` columns, ``lang_pred`` and ``score`` (0 to 1) of each row's whole text; with ``keep_text`` the text as ``_body``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(machines)  # bounded: landmarks x dimensions
     source = text_of(docs, *keys, text=text, text_as="_body")
-    fields = source.drop("_body").schema.simpleString().removeprefix("struct<").removesuffix(">")
+    fields = (source if keep_text else source.drop("_body")).schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def run(batches):
         m = sent.value
@@ -151,8 +151,8 @@ def predict(docs: DataFrame, machines: Machines | None, keys: list[str], text: s
                     if letters[a + i]:
                         names[a + i] = m.languages[b]
                         scores[a + i] = min(1.0, max(0.0, (float(f[i, b]) + 1) / 2))
-            kept = [c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name != "_body"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores)], names=[*[f.name for f in batch.schema if f.name != "_body"], "lang_pred", "score"])
+            kept = {f.name: c for c, f in zip(batch.columns, batch.schema, strict=True) if keep_text or f.name != "_body"}
+            yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(names), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
     return arrow_map(source, run, f"{fields}, lang_pred string, score double")
 
@@ -168,9 +168,9 @@ def language_digest(docs: DataFrame) -> DataFrame:
     return predict(docs, machines, ["doc_id"]).withColumn("held_out", held_out("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, lang: str = "lang", text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.35, lang: str = "lang", text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns, unchanged) whose language is identified with at least ``least_score``."""
     machines = train(docs, F.lit(True), text=text, lang=lang)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    found = predict(packed, machines, ["_row"], text="_text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    packed = docs.select(other_columns(docs, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    found = predict(packed, machines, ["_row"], text="_text", keep_text=True)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*original_columns(docs, text, "_body"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, pieces, stored
+from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, original_columns, other_columns, pieces, stored
 
 WORDS, MINIMISER = 35, 8
 #: Bits in the table of minimisers that occur twice: 16 MB, whatever the input.
@@ -289,8 +289,9 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, text: st
 
     Documents that had words and lose them all go; all other rows and columns stay (``n_chars``, if any, follows the text).
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
-    source = _texts(packed, ["_row", "_text"], "_text")
+    packed = docs.select(other_columns(docs, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    body = F.coalesce("_text", F.lit(""))
+    source = packed.withColumns({"_body": body, "_md5": F.unhex(F.md5(body.cast("binary")))})
     joined = source.join(repeated_spans(source, k, m), "_md5", "left").select("_row", "_text", "spans")
 
     def run(batches):
@@ -316,5 +317,4 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, text: st
 
     row = joined.schema["_row"].dataType.simpleString()
     out = arrow_map(joined, run, f"_row {row}, _clean string")
-    columns = [F.col("_clean").alias(c) if c == text else F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns)
+    return out.select(*original_columns(docs, text, "_clean"))
