@@ -11,7 +11,7 @@ biases start at the words' frequencies.
 
 Training. Truncated backpropagation through time over ``WINDOW`` steps, on lanes of whole documents whose state is
 carried from window to window and cleared between documents. Every training document is used: each task trains a copy
-on its own documents, and the copies are averaged by their numbers of tokens, in ``ROUNDS`` rounds on parts of them. What
+on its own documents, and the copies are averaged by their numbers of tokens, in ``ROUNDS`` rounds, each on every so-manieth of them. What
 is gathered thus grows with the input, while no sum is larger than one copy.
 
 Cases: null and empty texts are one end token; without training text the base score is that of an unseen word and the
@@ -33,15 +33,17 @@ from pyspark.sql import functions as F
 from orelode.llm import textbuf as tb
 from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, pieces, stored
 
-HIDDEN, CLASSES, MODEL_WORDS = 16, 64, 8192
+HIDDEN, CLASSES, MODEL_WORDS = 16, 32, 4096
 COUNT_WORDS = 1 << 20
-WINDOW, LANES, SCORE_LANES = 16, 256, 1024
-ROUNDS, RATE = 2, 0.08
+WINDOW, LANES, SCORE_LANES = 32, 256, 1024
+ROUNDS, RATE, MEMORY = 2, 0.08, 1.0
 #: Tokens that a task lays out in lanes at once.
-TRAIN_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 20
+TRAIN_TOKENS, SCORE_TOKENS = 4 << 20, 4 << 20
 _FLUSH = 1 << 21
 END = np.uint64(0x0E2D0E2D0E2D0E2D)
-_BLOCKS = 16
+_BLOCKS = 128
+#: Least logarithm, below the largest, that softmax sees: smaller ones would only make denormal numbers, which are slow.
+_FLOOR = np.float32(-20)
 _COUNT = np.dtype([("word", "<u8"), ("n", "<i8")])
 _RARE = np.dtype([("word", "<u8"), ("row", "<i8"), ("n", "<i4")])
 _SUM = np.dtype([("row", "<i8"), ("log", "<f8"), ("known", "<i8")])
@@ -249,27 +251,28 @@ class Model:
         """Natural logarithms of the probabilities of the symbols ``y``."""
         logits = states @ self.cls + self.cls_bias
         top = logits.max(axis=1)
-        out = logits[np.arange(len(y)), self.class_of[y]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        out = logits[np.arange(len(y)), self.class_of[y]] - top - np.log(np.exp(np.maximum(logits - top[:, None], _FLOOR)).sum(axis=1))
         for c, at in self.by_class(y):
             a, b = int(self.starts[c]), int(self.starts[c + 1])
             if b - a > 1:
                 own = states[at] @ self.word[a:b].T + self.word_bias[a:b]
                 top = own.max(axis=1)
-                out[at] += own[np.arange(len(at)), y[at] - a] - top - np.log(np.exp(own - top[:, None]).sum(axis=1))
+                out[at] += own[np.arange(len(at)), y[at] - a] - top - np.log(np.exp(np.maximum(own - top[:, None], _FLOOR)).sum(axis=1))
         return out
 
 
 class Trainer:
-    """Adagrad on the mean loss of each window."""
+    """Adagrad on the summed loss of each window."""
 
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate = model, rate
-        self.memory = np.full(len(model.vector), 1e-6, np.float32)
+        self.memory = np.full(len(model.vector), MEMORY, np.float32)
         self.past = Model.__new__(Model)
         self.past.shapes, self.past.vector = model.shapes, self.memory
         self.past._views()
 
     def _step(self, name: str, grad: np.ndarray, rows: slice | np.ndarray = slice(None)) -> None:
+        """``grad``: summed over the window's words."""
         past, own = getattr(self.past, name), getattr(self.model, name)
         past[rows] += grad * grad
         own[rows] -= self.rate * grad / np.sqrt(past[rows])
@@ -282,13 +285,11 @@ class Trainer:
         if not len(at):
             return states[-1]
         flat, target = states.reshape(-1, k)[at], y.ravel()[at]
-        scale = np.float32(1 / len(at))
         logits = flat @ m.cls + m.cls_bias
         logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
+        np.exp(np.maximum(logits, _FLOOR, out=logits), out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
         logits[np.arange(len(at)), m.class_of[target]] -= 1
-        logits *= scale
         up = logits @ m.cls.T
         d_cls, d_bias = flat.T @ logits, logits.sum(axis=0)
         for c, own in m.by_class(target):
@@ -297,10 +298,9 @@ class Trainer:
                 s = flat[own]
                 p = s @ m.word[a:b].T + m.word_bias[a:b]
                 p -= p.max(axis=1, keepdims=True)
-                np.exp(p, out=p)
+                np.exp(np.maximum(p, _FLOOR, out=p), out=p)
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(own)), target[own] - a] -= 1
-                p *= scale
                 up[own] += p @ m.word[a:b]
                 self._step("word", p.T @ s, slice(a, b))
                 self._step("word_bias", p.sum(axis=0), slice(a, b))
@@ -321,6 +321,7 @@ class Trainer:
             g[:, 2 * k :] *= r
             d_recur += before.T @ g
             carry = (dh * z + g @ m.recur.T) * keep[t][:, None]
+            carry[np.abs(carry) < 1e-15] = 0
         self._step("cls", d_cls)
         self._step("cls_bias", d_bias)
         self._step("recur", d_recur)
@@ -346,7 +347,7 @@ def lanes_of(lens: np.ndarray, most: int) -> list[list[int]]:
 def layout(symbols: np.ndarray, first: np.ndarray, most: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and keep flags (0 at a document's first word), steps by lanes; and each place's document (-1: none)."""
     lens = np.diff(first)
-    lanes = lanes_of(lens, most)
+    lanes = sorted(lanes_of(lens, most), key=lambda lane: -int(lens[lane].sum()))  # the last ones end first
     steps = max(int(lens[lane].sum()) for lane in lanes)
     steps = -(-steps // WINDOW) * WINDOW
     y, doc = np.full((len(lanes), steps), end, np.int32), np.full((len(lanes), steps), -1, np.int32)
@@ -367,8 +368,9 @@ def train_documents(trainer: Trainer, symbols: np.ndarray, first: np.ndarray, en
     x, y, keep, doc = layout(symbols, first, LANES, end)
     h = np.zeros((x.shape[1], trainer.model.hidden), np.float32)
     for t in range(0, len(x), WINDOW):
-        own = slice(t, t + WINDOW)
-        h = trainer.window(x[own], y[own], keep[own], doc[own] >= 0, h)
+        n = int((doc[t] >= 0).sum())  # lanes that haven't ended
+        own = np.s_[t : t + WINDOW, :n]
+        h = trainer.window(x[own], y[own], keep[own], doc[own] >= 0, h[:n])
 
 
 def score_documents(model: Model, symbols: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -377,8 +379,9 @@ def score_documents(model: Model, symbols: np.ndarray, first: np.ndarray, end: i
     out = np.zeros(len(first) - 1)
     h = np.zeros((x.shape[1], model.hidden), np.float32)
     for t in range(0, len(x), WINDOW):
-        own = slice(t, t + WINDOW)
-        states, _ = model.steps(x[own], keep[own], h)
+        n = int((doc[t] >= 0).sum())
+        own = np.s_[t : t + WINDOW, :n]
+        states, _ = model.steps(x[own], keep[own], h[:n])
         h = states[-1]
         at = np.flatnonzero(doc[own].ravel() >= 0)
         if len(at):
@@ -403,7 +406,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
 
 
 def train(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged parameters after all rounds; round r takes each task's blocks of number r, modulo the rounds."""
+    """The averaged parameters after all rounds; round r takes each task's documents of number r, modulo the rounds."""
     spark = training.sparkSession
     sent_v = spark.sparkContext.broadcast(v)  # bounded by COUNT_WORDS
     vector = Model(v).vector
@@ -413,10 +416,13 @@ def train(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
         def run(batches, turn=turn, sent=sent):
             v = sent_v.value
             trainer, seen = Trainer(Model(v).load(sent.value.copy())), 0
-            for i, (_, h, first) in enumerate(_blocks(batches, "_body", TRAIN_TOKENS // rounds)):
-                if i % rounds == turn:
-                    train_documents(trainer, v.look_up(h)[1], first, v.end)
-                    seen += len(h)
+            for _, h, first in _blocks(batches, "_body", TRAIN_TOKENS):
+                lens = np.diff(first)
+                mine = np.arange(len(lens)) % rounds == turn
+                if mine.any():
+                    symbols = v.look_up(h[np.repeat(mine, lens)])[1]
+                    train_documents(trainer, symbols, np.concatenate([[0], np.cumsum(lens[mine])]), v.end)
+                    seen += len(symbols)
             if seen:
                 for b, part in enumerate(np.array_split(trainer.model.vector, _BLOCKS)):
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["bucket", "tokens", "part"])
