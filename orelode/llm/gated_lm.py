@@ -131,7 +131,8 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1: not in the table) and symbol of each word."""
-        unique, back = np.unique(h, return_inverse=True)
+        first, back = tb.distinct(h)
+        unique = h[first]
         at = np.minimum(np.searchsorted(self.words, unique), len(self.words) - 1)
         found = self.words[at] == unique
         return np.where(found, self.counts[at], -1)[back], np.where(found, self.symbols[at], self.rare)[back]

@@ -33,7 +33,7 @@ from orelode.llm.files import open_file, write_file
 MAGIC = b"RPG1"
 END_ID = 2
 SHARD_TOKENS = 8 << 20
-ROUNDS, PAIRS, LEAST = 5, 1024, 64
+ROUNDS, PAIRS, LEAST = 3, 2048, 64
 _CACHE = 800_000
 _BINS = 20
 #: Bytes that aren't ASCII signs, and ASCII letters.
@@ -126,7 +126,7 @@ class WordEncoder:
         begin, end, of = w.starts, w.ends, w.doc
         if not special:
             begin, end, of = self._cut_tails(data, begin, end, of)
-        _, first, back = np.unique(tb.span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        first, back = tb.distinct(tb.span_hashes(data, begin, end))
         text = data.tobytes()
         words = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         found = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
@@ -174,17 +174,29 @@ def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, rounds: int = RO
         inner = ~last[:-1]
         counts = np.bincount(bins[inner], minlength=1 << _BINS)
         top = np.argpartition(counts, -2 * pairs)[-2 * pairs :]
-        rich = np.zeros(1 << _BINS, bool)
-        rich[top[counts[top] >= least]] = True
-        at = np.flatnonzero(rich[bins] & inner)
-        keys, n = np.unique(code[at], return_counts=True)
+        top = np.sort(top[counts[top] >= least])
+        if not len(top):
+            break
+        # a bin stands for the pair that was in it last; others that share it wait for another round
+        slot = np.full(1 << _BINS, -1, np.int32)
+        slot[top] = np.arange(len(top))
+        own = slot[bins]
+        at = np.flatnonzero((own >= 0) & inner)
+        own, keys = own[at], code[at]
+        pair = np.zeros(len(top), np.int64)
+        pair[own] = keys
+        hit = pair[own] == keys
+        at, own = at[hit], own[hit]
+        n = np.bincount(own, minlength=len(top))
         best = np.argsort(-n, kind="stable")[:pairs]
-        chosen = np.sort(keys[best[n[best] >= least]])
-        if not len(chosen):
+        best = best[n[best] >= least]
+        if not len(best):
             break
-        rank = np.minimum(np.searchsorted(chosen, code[at]), len(chosen) - 1)
-        hit = chosen[rank] == code[at]
-        at, rank = at[hit], rank[hit]
+        chosen = pair[best]
+        rank = np.full(len(top), -1, np.int64)
+        rank[best] = np.arange(len(best))
+        rank = rank[own]
+        at, rank = at[rank >= 0], rank[rank >= 0]
         # of places in a row every other one, from the left
         fresh = np.concatenate([[True], np.diff(at) > 1])
         since = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))

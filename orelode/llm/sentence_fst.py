@@ -261,7 +261,7 @@ class Transducer:
         starts = np.flatnonzero(cut)
         ends = np.concatenate([starts[1:], [len(data)]])
         of = np.searchsorted(bounds, starts, "right") - 1
-        _, first, back = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, back = tb.distinct(tb.span_hashes(data, starts, ends))
         text = data.tobytes()
         stretches = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.cache) > _CACHE:

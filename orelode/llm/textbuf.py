@@ -168,3 +168,13 @@ def pick(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The concatenation of ``data[s : s + n]``."""
     heads = np.cumsum(lens) - lens
     return data[np.arange(int(lens.sum())) - np.repeat(heads - starts, lens)]
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in order of the values; and which of them each value is."""
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[order[1:]], h[order[:-1]], out=new[1:])
+    back = np.empty(len(h), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
