@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orelode.plans import blobs, inference, manifest  # noqa: F401  they register their queries
+from orelode.plans.registry import ORACLES, QUERIES, Builder
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def tile_quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"tile_quality_rollup": tile_quality_rollup}
+def queries() -> dict[str, Builder]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tile_quality_rollup": "select lang, count(*) as n from documents group by lang"}
+    return dict(ORACLES)

@@ -399,8 +399,8 @@ def pack_zar(entries: list[Entry]) -> bytes:
 def pack_gar(entries: list[Entry]) -> bytes:
     out = bytearray(b"GAR\x02" + bytes(0x1C))
     for _, payload in entries:
-        member = b"ctxb" + struct.pack("<I", 8 + len(payload)) + payload
-        out += member + bytes(-len(member) % 4)
+        padded = payload + bytes(-len(payload) % 4)  # the next magic is looked for at a multiple of four
+        out += b"ctxb" + struct.pack("<I", 8 + len(padded)) + padded
     return bytes(out + bytes(8))
 
 
