@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.pixels import BITS, NAMES
+from orelode.functions.textures import BFLIM_CODES
 from orelode.operators import names as N
 from orelode.plans.registry import query, table
 
 _FORMATS = ", ".join(f"({i}, '{n}', {BITS[n]})" for i, n in enumerate(NAMES))
-#: Codes of texture headers by family: fixed values, as positions in the list of formats.
-FAMILIES = {
-    "bflim": (7, 8, 9, 5, 6, 3, 1, 2, 4, 0, 12, 13, 10, 11, 12, 8),
-    "dmp": (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13),
-}
-
-
 def formats(spark: SparkSession) -> DataFrame:
     """The 14 pixel formats: a fixed table."""
     return spark.createDataFrame([(i, n, BITS[n]) for i, n in enumerate(NAMES)], "code int, format string, bits int")
@@ -35,11 +29,13 @@ def next_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.next_power_of_two(v).alias("pow2"), N.is_power_of_two(v).alias("is_pow2"))
 
 
-@query("""with b(family, code, format) as (select 'bflim', unnest(range(16)), unnest(['L8', 'A8', 'LA4', 'LA8', 'HILO8', 'RGB565', 'RGB8', 'RGBA5551', 'RGBA4', 'RGBA8', 'ETC1', 'ETC1A4', 'L4', 'A4', 'ETC1', 'A8']))
-select s_suppkey, (s_suppkey % 20)::bigint as code, format from supplier join b on code = s_suppkey % 20""")
+_BFLIM = ", ".join(f"({code}, '{name}')" for code, name in BFLIM_CODES.items())
+
+
+@query(f"with b(code, format) as (values {_BFLIM}) select s_suppkey, (s_suppkey % 24)::bigint as code, format from supplier join b on code = s_suppkey % 24")
 def format_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(i, NAMES[f]) for i, f in enumerate(FAMILIES["bflim"])], "code bigint, format string")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 20).alias("code"))
+    codes = spark.createDataFrame(list(BFLIM_CODES.items()), "code bigint, format string")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 24).alias("code"))
     return s.join(F.broadcast(codes), "code").select("s_suppkey", "code", "format")  # 16 rows
 
 
