@@ -369,7 +369,7 @@ def pack_level5_runs(data: bytes) -> bytes:
                 n += 1
             out += bytes([n - 1]) + data[at : at + n]
         at += n
-    return bytes(out)
+    return bytes(out.ljust(8, b"\0"))  # a stream has eight bytes at least
 
 
 #: name: (packer, unpacker)
