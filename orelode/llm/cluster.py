@@ -153,8 +153,13 @@ def tokenizer_file(name: str) -> str:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of ``df``'s size: only to choose numbers of buckets, never what is computed."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of ``df``'s size, or the bytes of its texts where Catalyst knows none (rows from Python, joins):
+    only to choose numbers of buckets, never what is computed."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate < 1 << 50:
+        return estimate
+    sizes = [F.coalesce(F.sum(F.octet_length(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    return int(df.select(sum(sizes[1:], sizes[0])).first()[0]) if sizes else 0
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 48) -> int:

@@ -168,7 +168,7 @@ def vocabulary(counted: DataFrame, count_words: int = COUNT_WORDS, model_words:
         for batch in batches:
             for blob in batch.column("counts").to_pylist():
                 c = np.frombuffer(blob, _COUNT)
-                c = c[_level(c["n"]) >= least]
+                c = c[(_level(c["n"]) >= least) | (c["word"] == END)]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary())], names=["counts"])
 
     head = _merge([np.frombuffer(bytes(r.counts), _COUNT) for r in arrow_map(counted.select("counts"), above, "counts binary").collect()])

@@ -29,7 +29,7 @@ from orelode.llm.cluster import arrow_map, pieces, text_of, tokenizer_file
 MARK = "▁"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-_CACHE, _PAIRS = 500_000, 600_000
+_CACHE, _PAIRS = 250_000, 250_000
 _UNKNOWN_PENALTY = 10.0
 #: Characters up to which a stretch is solved piece by piece from remembered ends.
 _SHORT = 48

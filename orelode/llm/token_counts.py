@@ -57,7 +57,7 @@ class Encoder:
     def starts(self, text: str) -> list[int]:
         """The character at which each token starts."""
         if self.model:
-            return [p.begin for p in self.lib.encode(text, out_type="immutable_proto").pieces]
+            return [p.begin for p in self.lib.encode(text, out_type="proto").pieces]
         return [a for a, _ in self.lib.encode(text, add_special_tokens=False).offsets]
 
     def splits_at(self, text: str, i: int) -> bool:

@@ -129,7 +129,7 @@ def _repeated_table(source: DataFrame, k: int, m: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bucket", "bits"])
 
     table = np.zeros((buckets, each // 8), np.uint8)
-    for row in by_bucket(_minimisers(source, k, m, buckets), fn, "bucket int, bits binary", buckets).toLocalIterator():
+    for row in by_bucket(_minimisers(source, k, m, buckets), fn, "bucket int, bits binary", buckets).collect():
         table[row.bucket] = np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
     return table.reshape(-1)
 
