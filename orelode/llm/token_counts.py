@@ -16,6 +16,7 @@ import os
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,9 @@ class Encoder:
     def starts(self, text: str) -> list[int]:
         """The character at which each token starts."""
         if self.model:
-            return [p.begin for p in self.lib.encode(text, out_type="proto").pieces]
+            lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+            character = np.cumsum(lead) - 1  # of each byte: the library counts bytes
+            return [int(character[min(p.begin, len(lead) - 1)]) for p in self.lib.encode(text, out_type="proto").pieces]
         return [a for a, _ in self.lib.encode(text, add_special_tokens=False).offsets]
 
     def splits_at(self, text: str, i: int) -> bool:
@@ -66,15 +69,21 @@ class Encoder:
 
     def count_huge(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, encode: Callable[[str], list[int]] | None = None) -> int:
         encode = encode or self.starts
+
+        def part(a: int, b: int) -> list[int]:
+            if self.model and a and self.splits_at(text, a):  # the model puts a space before the part by itself
+                return [a, *[a + 1 + x for x in encode(text[a + 1 : b])[1:]]]
+            return [a + x for x in encode(text[a:b])]
+
         total, begin, end = 0, 0, min(chunk, len(text))
-        starts = [begin + x for x in encode(text[begin:end])]
+        starts = part(begin, end)
         while end < len(text):
             wide = overlap
             while True:
                 back = max(begin, end - wide)
                 ahead = min(len(text), end + chunk)
                 # a chunk's edges may cut a word or hide what follows: only places away from them are compared
-                new = [back + x for x in encode(text[back:ahead])]
+                new = part(back, ahead)
                 both = set(starts).intersection(new)
                 at = max((b for b in both if back < b < end - 1 and self.splits_at(text, b)), default=None)
                 if at is not None:
