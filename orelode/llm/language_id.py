@@ -70,18 +70,18 @@ class Machines:
         return _kernel(x, self.landmarks) @ self.weights
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Machines | None:
-    """Ridge regression on Nyström features; landmarks are the first rows of each language."""
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Machines | None:
+    """Ridge regression on Nyström features of presence rows (packed bits); landmarks are the first rows of each language."""
     languages = sorted(set(labels))
     if not languages:
         return None
     y = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own in labels])
     each = max(2, landmarks // len(languages))
     of = np.array(labels)
-    marks = x[np.concatenate([np.flatnonzero(of == lang)[:each] for lang in languages])]
+    marks = np.unpackbits(bits[np.concatenate([np.flatnonzero(of == lang)[:each] for lang in languages])], axis=1).astype(np.float32)
     values, vectors = np.linalg.eigh(_kernel(marks, marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    z = _kernel(x, marks) @ root
+    z = np.concatenate([_kernel(np.unpackbits(bits[a : a + _BLOCK], axis=1).astype(np.float32), marks) for a in range(0, len(bits), _BLOCK)]) @ root
     weight = np.array([1.0 / (of == own).sum() for own in labels])[:, None]  # languages count alike
     solved = np.linalg.solve(z.T @ (z * weight) + ridge * np.eye(z.shape[1]), z.T @ (y * weight))
     return Machines(languages, marks, (root @ solved).astype(np.float32))
@@ -121,8 +121,7 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
         return None
     # an order that doesn't depend on the tasks, and not that of the bits
     found.sort(key=lambda r: (r[0], hash_of(r[1])))
-    x = np.unpackbits(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    return fit(x, [lang for lang, _ in found])
+    return fit(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(len(found), -1), [lang for lang, _ in found])
 
 
 def hash_of(data: bytes) -> int:
