@@ -313,10 +313,10 @@ def read_cpk(data: bytes, allowed: frozenset[str] | None = None) -> Iterator[Ent
 
 def embedded(data: bytes) -> Iterator[Entry]:
     """Textures' containers anywhere inside other data, in order of their places; each slice is at most 4 MiB."""
-    for magic in (b"CTPK", b"BCH\0", b"CGFX"):
+    for magic, kind in ((b"CTPK", "ctpk"), (b"BCH\0", "bch"), (b"CGFX", "cgfx")):
         at = data.find(magic)
         while at >= 0:
-            yield f"{magic[:3].decode().lower()}@embedded+0x{at:X}", data[at : at + (4 << 20)]
+            yield f"{kind}@embedded+0x{at:X}", data[at : at + (4 << 20)]
             at = data.find(magic, at + 4)
 
 

@@ -19,14 +19,30 @@ from orelode.functions.identify import identify
 MAX_DEPTH = 8
 MARKS = {"nintendo_lz": "[lz]", "yaz0": ">decompressed", "blz": "[blz_decompressed]", "zlib": "[zlib_decompressed]", "gzip_container": "[gzip_decompressed]"}
 UNPACKERS = {"nintendo_lz": lz.unpack_lz, "yaz0": lz.unpack_yaz0, "blz": lz.unpack_blz, "zlib": lz.unpack_zlib, "gzip_container": lz.unpack_sized_gzip}
-#: What may come out of a compressed stream; other contents are dropped before they are looked at again.
 BLOBS = "rom_id string, file_idx int, seq array<int>, chain string, payload binary"
 ROUND = f"kind string, {BLOBS}, name string, format string, width int, height int, crop_width int, crop_height int, mips int, parser string, confidence string, note string"
 
 
+def _wrapped(data: bytes) -> bytes | None:
+    """The model inside a small wrapper of one of three kinds."""
+    start = {b"PC": 0x80, b"PT": 0x80, b"GR": int.from_bytes(data[4:8], "little")}.get(data[:2])
+    return data[start:] if start and data[start : start + 4] == b"BCH\0" else None
+
+
+def _members(kind: str, data: bytes):
+    """An archive's entries; one that holds models of the newer kind holds none of the older that count."""
+    found, error = archives.expand(kind, data)
+    if kind == "garc" and any(p.startswith(b"CGFX") for _, p in found):
+        found = [(n, p) for n, p in found if not n.endswith(".bch")]
+    return found, error
+
+
 def _open(row: dict):
     """Rows of one blob: its members, its textures, or why there are none."""
     data, chain, seq = row["payload"], row["chain"], row["seq"]
+    inner = _wrapped(data)
+    if inner is not None:
+        data, chain = inner, chain + "[unwrap]"
     kind = identify(data, chain)
     blank = (None,) * 10
     key = (row["rom_id"], row["file_idx"])
@@ -37,7 +53,7 @@ def _open(row: dict):
         else:
             yield ("blob", *key, [*seq, 0], chain + MARKS[kind], inner, *blank)
     elif kind in archives.READERS:
-        found, error = archives.expand(kind, data)
+        found, error = _members(kind, data)
         for i, (name, payload) in enumerate(found):
             yield ("blob", *key, [*seq, i], f"{chain}{'/' if kind == 'sarc' else '>'}{name}", payload, *blank)
         if error:
@@ -50,7 +66,14 @@ def _open(row: dict):
         if error:
             yield ("failure", *key, seq, chain, None, *blank[:-1], f"{kind}: {error}")
     else:
-        yield ("unknown", *key, seq, chain, None, *blank[:-1], data[:4].hex())
+        i = 0
+        for name, part in archives.embedded(data):
+            for t in textures.textures(name.partition("@")[0], part)[0]:
+                confidence = "medium" if t.confidence == "high" else t.confidence
+                yield ("texture", *key, [*seq, i], f"{chain}[+{name.partition('+')[2]}]", t.data, t.name, t.format, t.width, t.height, None, None, t.mips, name, confidence, None)
+                i += 1
+        if not i:
+            yield ("unknown", *key, seq, chain, None, *blank[:-1], data[:4].hex())
 
 
 def _round(blobs: DataFrame) -> DataFrame:

@@ -64,6 +64,16 @@ def test_extract(spark, folder, tmp_path, mode):
     assert (meta.texture_count, meta.mapped_count, meta.unmapped_count) == (3, 1, 2) and meta.warning
 
 
+def test_embedded_wrapped_and_skipped(spark):
+    bch = texture_builders.build_bch(128, 64, PIXELS)
+    cgfx = texture_builders.build_cgfx(128, 64, PIXELS)
+    blobs = [b"????????" * 3 + CTPK, b"PC".ljust(0x80, b"\0") + bch, archives.pack_garc([("a", bch), ("b", cgfx)]), b"nothing at all here"]
+    df = spark.createDataFrame([("r", i, [], f"f{i}", b) for i, b in enumerate(blobs)], "rom_id string, file_idx int, seq array<int>, chain string, payload binary")
+    for mode in ("levels", "fused"):
+        rows = sorted((r.file_idx, r.kind, r.parser, r.confidence, r.chain) for r in unpack(df, mode).collect() if r.kind == "texture")
+        assert rows == [(0, "texture", "ctpk@embedded+0x18", "medium", "f0[+0x18]"), (1, "texture", "bch", "medium", "f1[unwrap]"), (2, "texture", "cgfx", "high", "f2>0001.cgfx")]
+
+
 def test_depth_limit(spark):
     blob = CTPK
     for _ in range(9):
