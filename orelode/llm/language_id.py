@@ -8,12 +8,19 @@ blocks: a presence matrix times the landmarks' matrix, times the machines' weigh
 A bounded sample of labelled rows fits the machines: ``per_language`` texts of each language, those of smallest hash
 (``per_language`` is the documented bound). Every text is scored as a whole; only its bytes are an input.
 
+A machine's score only says which language is nearest: it is about 0.5 for a text that resembles no landmark. Whether a
+text is like its language at all is told by coverage, the share of its n-grams that are usual in that language's sample
+(they occur in at least two of its texts and a hundredth of them). It falls to 0 for other scripts, other languages and
+gibberish of any length; the least that is taken as alike is a share of the median that the sample's own texts reach,
+each measured without itself.
+
 Cases: null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing is labelled;
 equal texts get equal predictions; of equal scores the alphabetically first language wins.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +35,8 @@ DIMENSIONS = 1 << 15
 PER_LANGUAGE = 500
 LANDMARKS = 160
 RIDGE = 1e-2
+#: Of the median coverage in a language's sample, the share that a text like it reaches at least.
+LIKE = 2 / 3
 _BLOCK = 64
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -65,10 +74,32 @@ class Machines:
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    usual: np.ndarray
+    least: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return _kernel(x, self.landmarks) @ self.weights
 
+    def alike(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether presence rows are covered as texts of the languages ``own`` (by number) are."""
+        return _coverage(x, self.usual)[np.arange(len(own)), own] >= self.least[own]
+
+
+def _coverage(x: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """The share of each row's n-grams that are usual in each language."""
+    return (x @ usual.T) / np.maximum(x.sum(axis=1, keepdims=True), 1)
+
+
+def _usual(bits: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which n-grams are usual in a language's presence rows (packed bits), and the least coverage of a text like them."""
+    blocks = [bits[a : a + _BLOCK] for a in range(0, len(bits), _BLOCK)]
+    n = sum(np.unpackbits(b, axis=1).sum(axis=0, dtype=np.int32) for b in blocks)
+    often = max(2, math.ceil(len(bits) / 100))
+    # a text is measured without itself: what is left has to be usual
+    others = (n > often).astype(np.float32)[None]
+    reached = np.concatenate([_coverage(np.unpackbits(b, axis=1).astype(np.float32), others)[:, 0] for b in blocks])
+    return (n >= often).astype(np.float32), LIKE * float(np.median(reached))
+
 
 def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Machines | None:
     """Ridge regression on Nyström features of presence rows (packed bits); landmarks are the first rows of each language."""
@@ -84,7 +115,8 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     z = np.concatenate([_kernel(np.unpackbits(bits[a : a + _BLOCK], axis=1).astype(np.float32), marks) for a in range(0, len(bits), _BLOCK)]) @ root
     weight = np.array([1.0 / (of == own).sum() for own in labels])[:, None]  # languages count alike
     solved = np.linalg.solve(z.T @ (z * weight) + ridge * np.eye(z.shape[1]), z.T @ (y * weight))
-    return Machines(languages, marks, (root @ solved).astype(np.float32))
+    usual, least = zip(*[_usual(bits[of == lang]) for lang in languages], strict=True)
+    return Machines(languages, marks, (root @ solved).astype(np.float32), np.stack(usual), np.array(least))
 
 
 def _has_letter(texts: pa.Array) -> np.ndarray:
@@ -131,7 +163,8 @@ def hash_of(data: bytes) -> int:
 
 
 def predict(docs: DataFrame, machines: Machines | None, keys: list[str], text: str = "text", keep_text: bool = False) -> DataFrame:
-    """The ``keys`` columns, ``lang_pred`` and ``score`` (0 to 1) of each row's whole text; with ``keep_text`` the text as ``_body``."""
+    """The ``keys`` columns, ``lang_pred``, ``score`` (0 to 1) and ``alike`` (whether the text is like that language at all) of
+    each row's whole text; with ``keep_text`` the text as ``_body``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(machines)  # bounded: landmarks x dimensions
     source = text_of(docs, *keys, text=text, text_as="_body")
@@ -141,19 +174,21 @@ def predict(docs: DataFrame, machines: Machines | None, keys: list[str], text: s
         m = sent.value
         for batch in pieces(batches, "_body", 1 << 18):
             body = batch.column("_body").fill_null("")
-            names, scores = ["und"] * len(body), np.zeros(len(body))
+            names, scores, alike = ["und"] * len(body), np.zeros(len(body)), np.zeros(len(body), bool)
             letters = _has_letter(body)
             for a in range(0, len(body) if m else 0, _BLOCK):
-                f = m.scores(presence(body.slice(a, _BLOCK)))
+                x = presence(body.slice(a, _BLOCK))
+                f = m.scores(x)
                 best = f.argmax(axis=1)
+                alike[a : a + len(best)] = m.alike(x, best) & letters[a : a + len(best)]
                 for i, b in enumerate(best.tolist()):
                     if letters[a + i]:
                         names[a + i] = m.languages[b]
                         scores[a + i] = min(1.0, max(0.0, (float(f[i, b]) + 1) / 2))
             kept = {f.name: c for c, f in zip(batch.columns, batch.schema, strict=True) if keep_text or f.name != "_body"}
-            yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(names), pa.array(scores)], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(names), pa.array(scores), pa.array(alike)], names=[*kept, "lang_pred", "score", "alike"])
 
-    return arrow_map(source, run, f"{fields}, lang_pred string, score double")
+    return arrow_map(source, run, f"{fields}, lang_pred string, score double, alike boolean")
 
 
 def held_out(key: str, parts: int, which: int) -> Column:
@@ -168,8 +203,8 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.35, lang: str = "lang", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns, unchanged) whose language is identified with at least ``least_score``."""
+    """The rows of ``docs`` (all columns, unchanged) whose language is identified with at least ``least_score`` and that are like that language."""
     machines = train(docs, F.lit(True), text=text, lang=lang)
     packed = docs.select(other_columns(docs, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     found = predict(packed, machines, ["_row"], text="_text", keep_text=True)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*original_columns(docs, text, "_body"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score) & F.col("alike")).select(*original_columns(docs, text, "_body"))

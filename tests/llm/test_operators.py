@@ -425,6 +425,22 @@ def test_language_id(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.count() >= len(rows)
 
 
+def test_texts_like_no_language_go(spark):
+    """Other scripts, other languages and gibberish of any length go; clean texts stay, short, mixed and unlabelled ones too."""
+    rng = random.Random(16)
+    own = {
+        "en": "the and that there was with from this which would other about people into water over then them these some could".split(),
+        "de": "der und die das nicht ein ich sie mit auf für ist von dem auch werden haben über straße größe könnte zwischen".split(),
+    }
+    make = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    rows = [(i, make(lang, 8 + i), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(200, make("en", 3), None), (201, make("de", 5000), None), (202, make("en", 60) + " " + make("de", 20), None), (203, make("en", 80) + " token = 0cf1bbc67ab3", "en")]
+    code = "def f(x):\n    return [y ** 2 for y in x if y % 3 == 0 or not y]\n\nclass Q(P):\n    z: int = 0x1F\n"
+    odd = ["漢字の文章を判別する試験です。" * 9, "Это проверочный текст на русском языке. " * 5, "هذا نص تجريبي باللغة العربية " * 5, "x" * 50000, rng.randbytes(900).hex(), "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", " ".join("".join(rng.choice("bcdfgjkpqvxyz") for _ in range(6)) for _ in range(300)), code * 4]
+    df = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_identified(df).collect()} == {r[0] for r in rows}
+
+
 # 10
 
 
