@@ -138,11 +138,11 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
     """Runs that may hold a repeated window, packed by bucket: ``strings`` (slices of texts), their ``sizes``, and ``places``."""
     sent = source.sparkSession.sparkContext.broadcast(table)
 
-    def emit(found: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        keys, first, back = np.unique(np.concatenate(found["key"]), return_index=True, return_inverse=True)
+    def emit(strings: list[bytes], found: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        back = np.concatenate(found["run"])
+        first = np.unique(back, return_index=True)[1]
         minimiser, at = np.concatenate(found["minimiser"]), np.concatenate(found["at"])
         text = np.concatenate(found["text"])
-        strings = [s for part in found["string"] for s in part]
         of_run = _bucket(minimiser[first], buckets)
         order = np.argsort(of_run, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -150,10 +150,10 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
         places = np.zeros(len(back), _PLACE)
         places["run"], places["at"], places["text"] = rank[back], at, text
         places = np.unique(places)  # by run; equal texts' places once, but a run then counts twice
-        multiple = np.zeros(len(keys), np.uint8)
-        np.minimum(np.bincount(rank[back], minlength=len(keys)), 2, out=multiple, casting="unsafe")
+        multiple = np.zeros(len(strings), np.uint8)
+        np.minimum(np.bincount(rank[back], minlength=len(strings)), 2, out=multiple, casting="unsafe")
         for a, b in _ranges(of_run[order]):
-            own = [strings[i] for i in first[order[a:b]].tolist()]
+            own = [strings[i] for i in order[a:b].tolist()]
             lo, hi = np.searchsorted(places["run"], [a, b])
             mine = places[lo:hi].copy()
             mine["run"] -= a
@@ -162,6 +162,7 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
 
     def run(batches):
         bits = sent.value
+        known: dict[bytes, int] = {}  # by the whole string: runs with equal ends may differ between them
         found: dict[str, list] = {}
         size = 0
         for batch in pieces(batches, "_body"):
@@ -174,16 +175,16 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
             start, n = r.start[keep], r.n[keep]
             data, md5 = w.raw.tobytes(), batch.column("_md5").to_pylist()
             strings = [data[a:b] for a, b in zip(w.starts[start].tolist(), w.ends[start + n + k - 2].tolist(), strict=True)]
-            key = tb.mix(r.window_hash[start] ^ tb.mix(r.window_hash[start + n - 1] + n.astype(np.uint64)))
+            run_of = np.fromiter((known.setdefault(s, len(known)) for s in strings), np.int64, len(strings))
             texts = np.array([md5[d] for d in r.doc[keep].tolist()], "S16")
-            for name, x in (("key", key), ("minimiser", r.minimiser[keep]), ("at", start - w.first[r.doc[keep]]), ("text", texts), ("string", strings)):
+            for name, x in (("run", run_of), ("minimiser", r.minimiser[keep]), ("at", start - w.first[r.doc[keep]]), ("text", texts)):
                 found.setdefault(name, []).append(x)
             size += sum(map(len, strings)) + 64 * len(strings)
             if size > 48 << 20:
-                yield from emit(found)
-                found, size = {}, 0
+                yield from emit(list(known), found)
+                known, found, size = {}, {}, 0
         if found:
-            yield from emit(found)
+            yield from emit(list(known), found)
 
     return arrow_map(source.select("_body", "_md5"), run, "bucket int, strings binary, sizes binary, counts binary, places binary")
 

@@ -390,6 +390,19 @@ def test_window_dedup(docs, rows, k, m):
     assert table(window_dedup.dedup_digest(docs, k, m)) == brute_windows(rows, k)
 
 
+def test_window_dedup_of_looped_texts(spark):
+    """Near copies of a line that goes on for long: runs with equal ends and lengths that differ between them."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        words = (prose(rng.randrange(5, 26), rng).split()) * 40
+        at = len(words) // 2 + rng.randrange(-9, 10)
+        for j in range(2):
+            rows.append((2 * i + j, " ".join([*words[:at], f"odd{i}x{j}", *words[at + 1 :]])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert table(window_dedup.dedup_digest(df)) == brute_windows(rows, 35)
+
+
 def test_window_dedup_of_nothing(docs):
     assert window_dedup.dedup_digest(empty(docs)).count() == 0
 
