@@ -1,8 +1,9 @@
 """Token ids in grammar-compressed shards (Re-Pair), with random access.
 
-Per shard, frequent pairs of neighbouring symbols are replaced by new symbols, over and over, while that pays. A round
-replaces a few hundred of the most frequent pairs at once (overlapping places are settled from the left), which keeps
-each round a handful of array operations; no pair crosses the end of a document. A shard file holds the rules, how many
+Per shard, frequent pairs of neighbouring symbols are replaced by new symbols, over and over, while that pays: until no
+pair occurs ``LEAST`` times, or a round shortens the sequence by less than a hundredth. A round replaces up to ``PAIRS``
+of the most frequent pairs at once (overlapping places are settled from the left), which keeps each round a handful of
+array operations; no pair crosses the end of a document. Symbols are stored as 16 bits and a bit plane for each further bit. A shard file holds the rules, how many
 ids each symbol expands to, and the documents' places, so any span of ids is decoded without the rest of the sequence.
 
 Ids come from a public tokenizer, which sees each distinct word of a batch once: the vocabulary's pre-tokeniser drops
@@ -19,7 +20,7 @@ import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from orelode.llm.files import open_file, write_file
 MAGIC = b"RPG1"
 END_ID = 2
 SHARD_TOKENS = 8 << 20
-ROUNDS, PAIRS, LEAST = 3, 2048, 64
+PAIRS, LEAST = 2048, 64
 _CACHE = 800_000
 _BINS = 20
 #: Bytes that aren't ASCII signs, and ASCII letters.
@@ -159,14 +160,14 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules, symbols per document) of documents of ``lens`` ids; symbol ``terminals + r`` stands for ``rules[r]``."""
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lens)[lens > 0] - 1] = True
     rules: list[np.ndarray] = []
     bound = terminals
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else count():
         if len(seq) < 2:
             break
         code = seq[:-1] << 32 | seq[1:]
@@ -190,10 +191,15 @@ def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, rounds: int = RO
         n = np.bincount(own, minlength=len(top))
         best = np.argsort(-n, kind="stable")[:pairs]
         best = best[n[best] >= least]
-        if not len(best):
-            break
+        if not len(best):  # none by its bin: the pairs of all full bins, exactly
+            at = np.flatnonzero((slot[bins] >= 0) & inner)
+            pair, own, n = np.unique(code[at], return_inverse=True, return_counts=True)
+            best = np.argsort(-n, kind="stable")[:pairs]
+            best = best[n[best] >= least]
+            if not len(best):
+                break
         chosen = pair[best]
-        rank = np.full(len(top), -1, np.int64)
+        rank = np.full(len(pair), -1, np.int64)
         rank[best] = np.arange(len(best))
         rank = rank[own]
         at, rank = at[rank >= 0], rank[rank >= 0]
@@ -244,23 +250,27 @@ class Shard:
         return self.decode(self.seq[a:b])[start - before : stop - before]
 
     def to_bytes(self) -> bytes:
-        wide = "<u2" if self.terminals + len(self.rules) <= 1 << 16 else "<u4"
-        parts = [self.rules.astype("<u4"), self.expands[self.terminals :].astype("<u4"), self.ids.astype("<i8"), self.known.astype("u1"), self.symbols.astype("<u4"), self.lens.astype("<u4"), self.seq.astype(wide)]
-        head = struct.pack("<4sIIQQB", MAGIC, self.terminals, len(self.rules), len(self.lens), len(self.seq), int(wide[-1]))
+        planes = max(0, (self.terminals + len(self.rules) - 1).bit_length() - 16)
+        parts = [self.rules.astype("<u4"), self.expands[self.terminals :].astype("<u4"), self.ids.astype("<i8"), self.known.astype("u1"), self.symbols.astype("<u4"), self.lens.astype("<u4"), self.seq.astype("<u2")]
+        parts += [np.packbits(self.seq >> (16 + i) & 1) for i in range(planes)]
+        head = struct.pack("<4sIIQQB", MAGIC, self.terminals, len(self.rules), len(self.lens), len(self.seq), planes)
         body = head + b"".join(p.tobytes() for p in parts)
         return body + struct.pack("<I", zlib.crc32(body))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
-        magic, terminals, n_rules, n_docs, n_seq, wide = struct.unpack_from("<4sIIQQB", data)
+        magic, terminals, n_rules, n_docs, n_seq, planes = struct.unpack_from("<4sIIQQB", data)
         if magic != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(memoryview(data)[:-4]):
             raise ValueError("not a shard file, or a damaged one")
         at, parts = struct.calcsize("<4sIIQQB"), []
-        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u4", n_docs), (f"<u{wide}", n_seq)):
+        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u4", n_docs), ("<u2", n_seq), *[("u1", (n_seq + 7) // 8)] * planes):
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
-        rules, expands, ids, known, symbols, lens, seq = parts
-        shard = cls(terminals, rules.reshape(-1, 2).astype(np.int64), seq.astype(np.int64), symbols.astype(np.int64), lens.astype(np.int64), ids, known.astype(bool))
+        rules, expands, ids, known, symbols, lens, low, *high = parts
+        seq = low.astype(np.int64)
+        for i, plane in enumerate(high):
+            seq |= np.unpackbits(plane, count=n_seq).astype(np.int64) << (16 + i)
+        shard = cls(terminals, rules.reshape(-1, 2).astype(np.int64), seq, symbols.astype(np.int64), lens.astype(np.int64), ids, known.astype(bool))
         if (shard.expands[terminals:] != expands).any():
             raise ValueError("expansion lengths don't fit the rules")
         return shard

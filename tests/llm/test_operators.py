@@ -340,6 +340,23 @@ def test_repair_random_access():
         repair_codec.Shard.from_bytes(bytes(data))
 
 
+def test_repair_goes_on_while_it_pays():
+    """Equal documents shrink to few symbols each: rules nest as deep as they have to, and symbols take more than 16 bits."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 65500, 512)
+    ids, lens = np.tile(text, 200), np.full(200, 512)
+    seq, rules, symbols = repair_codec.compress(ids, lens, 65500)
+    assert len(seq) <= 4 * 200 and 65500 + len(rules) > 1 << 16
+    shard = repair_codec.Shard.from_bytes(repair_codec.Shard(65500, rules, seq, symbols, lens, np.arange(200), np.ones(200, bool)).to_bytes())
+    assert (shard.decode(shard.seq) == ids).all() and (shard.span(700, 1300) == ids[700:1300]).all()
+    # pairs that share a bin with one that comes later and is rare
+    bins = lambda a, b: (np.array([a << 32 | b]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - repair_codec._BINS)).item()
+    a = next(x for x in range(10, 1 << 22) if bins(x, x + 1) == bins(7, 8))
+    ids = np.array([7, 8] * 100 + [a, a + 1])
+    seq, rules, _ = repair_codec.compress(ids, np.array([2] * 101), 1 << 22)
+    assert rules.tolist() == [[7, 8]] and len(seq) == 102
+
+
 def test_word_encoder_forgets(monkeypatch):
     monkeypatch.setattr(repair_codec, "_CACHE", 50)
     enc = repair_codec.WordEncoder(cluster.tokenizer_file("word_bpe_49k.json"))
