@@ -35,7 +35,8 @@ MAGIC = b"RPG1"
 END_ID = 2
 SHARD_TOKENS = 8 << 20
 PAIRS, LEAST = 2048, 64
-_CACHE = 800_000
+#: Words, and their ids, beyond which a worker's cache starts anew.
+_CACHE, _CACHE_IDS = 800_000, 1 << 24
 _BINS = 20
 #: Bytes that aren't ASCII signs, and ASCII letters.
 _SOLID = np.ones(256, bool)
@@ -67,7 +68,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An empty cache: of each word, where its ids start in ``known``, times 2^20, plus how many they are."""
+        """An empty cache: of each word, where its ids start in ``known``, times 2^32, plus how many they are."""
         self.cache: dict[bytes, int] = {}
         self.known, self.used = np.zeros(1 << 20, np.uint32), 0
 
@@ -109,14 +110,12 @@ class WordEncoder:
     def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         """Words' ids, from ``starts`` to ``stops``, into the cache."""
         if words:
-            if (stops - starts >= 1 << 20).any():
-                raise ValueError("a word has over a million tokens")
             at = self._add(ids)
-            self.cache.update(zip(words, ((starts + at) << 20 | (stops - starts)).tolist(), strict=True))
+            self.cache.update(zip(words, ((starts + at) << 32 | (stops - starts)).tolist(), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.cache) > _CACHE:
+        if len(self.cache) > _CACHE or self.used > _CACHE_IDS:
             self._forget()
         raw, _ = tb.raw_bytes(texts.cast(pa.binary()))
         special = b"<|" in raw.tobytes()  # special strings are matched before letters are lowered, and may hold signs
@@ -136,7 +135,7 @@ class WordEncoder:
             new = [words[i] for i in missing.tolist()]
             self._learn(new)
             found[missing] = np.fromiter(map(self.cache.__getitem__, new), np.int64, len(new))
-        lens, heads = found & 0xFFFFF, found >> 20
+        lens, heads = found & 0xFFFFFFFF, found >> 32
         return tb.pick(self.known, heads[back], lens[back]), np.bincount(of, weights=lens[back], minlength=len(texts)).astype(np.int64)
 
     @staticmethod

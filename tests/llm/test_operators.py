@@ -366,6 +366,18 @@ def test_word_encoder_forgets(monkeypatch):
         assert ids.tolist() == enc.lib.encode(t, add_special_tokens=False).ids and lens.tolist() == [len(ids)]
 
 
+def test_word_encoder_of_a_word_of_a_million_tokens():
+    enc = repair_codec.WordEncoder(cluster.tokenizer_file("word_bpe_49k.json"))
+    texts = ["start 12 end", "7" * ((1 << 20) + 5), "漢字 " + "0123456789" * 110_000 + " tail"]
+    for _ in range(2):  # learnt, and from the cache
+        ids, lens = enc(pa.array(texts))
+        at = 0
+        for t, n in zip(texts, lens.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == enc.lib.encode(t, add_special_tokens=False).ids
+            at += n
+        assert at == len(ids) and max(lens) > 1 << 20
+
+
 # 7
 
 
