@@ -33,7 +33,6 @@ SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 LEVEL = 3
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-_HEADERS_BYTES = 1 << 16
 
 
 class WarcError(ValueError):
@@ -138,7 +137,7 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
 def parse(data: bytes) -> dict:
     """A record's ``headers``, ``http`` headers and ``payload`` (of a revisit: None), all checked."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or len(head) > _HEADERS_BYTES:
+    if not gap:
         raise WarcError(f"no end of the WARC headers in {len(data)} bytes: {data[:40]!r}")
     version, *lines = head.split(b"\r\n")
     if version not in (b"WARC/1.0", b"WARC/1.1"):

@@ -282,6 +282,14 @@ def test_warc(spark):
     assert warc.warc_digest(df.where("false")).count() == 0
 
 
+def test_warc_of_a_long_url(spark):
+    url = "data:text/html;base64," + "QUJD" * 25_000
+    found = warc.parse(warc.record(1, url, b"<p>x</p>"))
+    assert found["headers"]["warc-target-uri"] == url and found["payload"] == b"<p>x</p>"
+    df = spark.createDataFrame([(1, url, "<p>x</p>"), (2, "http://b", "<p>x</p>")], "page_id bigint, url string, html string")
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in warc.warc_digest(df).orderBy("page_id").collect()] == [(1, 8, "response"), (2, 8, "revisit")]
+
+
 def test_warc_frames_and_damage():
     a = warc.Archive()
     records = [warc.record(i, f"http://x/{i}", (f"<html>{i}" + prose(300)).encode()) for i in range(300)]
