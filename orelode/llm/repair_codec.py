@@ -1,16 +1,18 @@
 """Token ids in grammar-compressed shards (Re-Pair), with random access.
 
-Per shard, frequent pairs of neighbouring symbols are replaced by new symbols, over and over, while that pays: until no
-pair occurs ``LEAST`` times, or a round shortens the sequence by less than a hundredth. A round replaces up to ``PAIRS``
-of the most frequent pairs at once (overlapping places are settled from the left), which keeps each round a handful of
-array operations; no pair crosses the end of a document. Symbols are stored as 16 bits and a bit plane for each further bit. A shard file holds the rules, how many
-ids each symbol expands to, and the documents' places, so any span of ids is decoded without the rest of the sequence.
+Per shard, frequent pairs of neighbouring symbols are replaced by new symbols, over and over, until no pair occurs
+``LEAST`` times (from there a rule would take more bytes than it saves). A round replaces up to ``PAIRS`` of the most
+frequent pairs at once (overlapping places are settled from the left), which keeps each round a handful of array
+operations on the places that still count; no pair crosses the end of a document. Symbols are stored as 16 bits and a bit
+plane for each further bit. A shard file holds the rules, how many ids each symbol expands to, and the documents' places,
+so any span of ids is decoded without the rest of the sequence.
 
 Ids come from a public tokenizer, which sees each distinct word of a batch once: the vocabulary's pre-tokeniser drops
 white space and never joins across it, so ids of a text are those of its words in turn.
 
-Cases: null and empty texts have only the end id; documents are in ascending order of their ids, null ids first, and
-rows of equal id in order of their ids' checksum; an empty table makes no shard.
+Cases: null and empty texts have only the end id; documents are in ascending order of their ids (whole numbers, or any
+other type as text in order of its code points), null ids first, and rows of equal id in order of their ids' checksum; an
+empty table makes no shard; a word may have any number of tokens.
 """
 
 from __future__ import annotations
@@ -20,24 +22,29 @@ import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
 from orelode.llm.cluster import arrow_map, pieces, plan_bytes, shared_dir, stored, text_of, tokenizer_file
 from orelode.llm.files import open_file, write_file
 
-MAGIC = b"RPG1"
+MAGIC, _HEAD = b"RPG2", "<4sIIQQQB"
 END_ID = 2
 SHARD_TOKENS = 8 << 20
-PAIRS, LEAST = 2048, 64
+#: Parts of the list whose sizes are added up together.
+_GROUP = 4096
+#: Pairs that a round replaces, and how often a pair occurs at least: a rule takes 12 bytes, and each use saves about two.
+PAIRS, LEAST = 4096, 8
 #: Words, and their ids, beyond which a worker's cache starts anew.
 _CACHE, _CACHE_IDS = 800_000, 1 << 24
 _BINS = 20
+#: Live places above which pairs are counted by bins, without sorting.
+_MANY = 1 << 18
 #: Bytes that aren't ASCII signs, and ASCII letters.
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
@@ -159,73 +166,91 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, rules, symbols per document) of documents of ``lens`` ids; symbol ``terminals + r`` stands for ``rules[r]``."""
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)
+def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, rules, symbols per document) of documents of ``lens`` ids; symbol ``terminals + r`` stands for ``rules[r]``.
+
+    The sequence is a linked list. Only live places are looked at: those whose pair may occur ``least`` times. A pair that
+    a round makes anew holds a new symbol, so all its occurrences are beside replaced ones, and those become live again;
+    other pairs only get rarer, so a place that was dropped never has to come back by itself.
+    """
+    n = len(ids)
+    seq = ids.astype(np.int32)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    last, there = np.zeros(n, bool), np.ones(n, bool)
     last[np.cumsum(lens)[lens > 0] - 1] = True
+    live = ~last
     rules: list[np.ndarray] = []
     bound = terminals
-    for _ in range(rounds) if rounds is not None else count():
-        if len(seq) < 2:
-            break
-        code = seq[:-1] << 32 | seq[1:]
-        bins = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int32)
-        inner = ~last[:-1]
-        counts = np.bincount(bins[inner], minlength=1 << _BINS)
-        top = np.argpartition(counts, -2 * pairs)[-2 * pairs :]
-        top = np.sort(top[counts[top] >= least])
-        if not len(top):
-            break
-        # a bin stands for the pair that was in it last; others that share it wait for another round
-        slot = np.full(1 << _BINS, -1, np.int32)
-        slot[top] = np.arange(len(top))
-        own = slot[bins]
-        at = np.flatnonzero((own >= 0) & inner)
-        own, keys = own[at], code[at]
-        pair = np.zeros(len(top), np.int64)
-        pair[own] = keys
-        hit = pair[own] == keys
-        at, own = at[hit], own[hit]
-        n = np.bincount(own, minlength=len(top))
-        best = np.argsort(-n, kind="stable")[:pairs]
-        best = best[n[best] >= least]
-        if not len(best):  # none by its bin: the pairs of all full bins, exactly
-            at = np.flatnonzero((slot[bins] >= 0) & inner)
-            pair, own, n = np.unique(code[at], return_inverse=True, return_counts=True)
-            best = np.argsort(-n, kind="stable")[:pairs]
-            best = best[n[best] >= least]
+    while len(at := np.flatnonzero(live)):
+        code = seq[at].astype(np.int64) << 32 | seq[after[at]]
+        if len(at) > _MANY:
+            bins = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
+            counts = np.bincount(bins, minlength=1 << _BINS)
+            full = counts[bins] >= least
+            live[at[~full]] = False
+            at, code, bins = at[full], code[full], bins[full]
+        chosen = own = None
+        if len(at) > _MANY:
+            # a bin stands for the pair that was in it last; others that share it wait for another round
+            top = np.argpartition(counts, -2 * pairs)[-2 * pairs :]
+            slot = np.full(1 << _BINS, -1, np.int32)
+            slot[top] = np.arange(len(top))
+            own = slot[bins]
+            inside = np.flatnonzero(own >= 0)
+            here, own, keys = at[inside], own[inside], code[inside]
+            pair = np.zeros(len(top), np.int64)
+            pair[own] = keys
+            hit = pair[own] == keys
+            here, own = here[hit], own[hit]
+            best = _most_frequent(np.bincount(own, minlength=len(top)), pairs, least)
+            chosen = pair[best] if len(best) else None
+        if chosen is None:  # few places, or no bin's own pair is frequent: all pairs, exactly
+            pair, own, times = np.unique(code, return_inverse=True, return_counts=True)
+            live[at[times[own] < least]] = False
+            here, best = at, _most_frequent(times, pairs, least)
             if not len(best):
                 break
-        chosen = pair[best]
-        rank = np.full(len(pair), -1, np.int64)
+            chosen = pair[best]
+        rank = np.full(len(pair), -1, np.int32)
         rank[best] = np.arange(len(best))
         rank = rank[own]
-        at, rank = at[rank >= 0], rank[rank >= 0]
+        here, rank = here[rank >= 0], rank[rank >= 0]
         # of places in a row every other one, from the left
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        since = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at, rank = at[since % 2 == 0], rank[since % 2 == 0]
-        seq[at] = bound + rank
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        gone = len(at) / len(seq)
-        seq, last = seq[keep], last[keep]
+        fresh = np.concatenate([[True], after[here[:-1]] != here[1:]])
+        since = np.arange(len(here)) - np.maximum.accumulate(np.where(fresh, np.arange(len(here)), 0))
+        here, rank = here[since % 2 == 0], rank[since % 2 == 0]
+        used = np.zeros(len(chosen), bool)
+        used[rank] = True  # a pair whose places all went to others gets no rule
+        chosen, rank = chosen[used], (np.cumsum(used) - 1)[rank]
+        gone = after[here]
+        seq[here] = bound + rank
+        last[here], after[here] = last[gone], after[gone]
+        there[gone] = live[gone] = False
+        follow = after[here]
+        before[follow[follow < n]] = here[follow < n]
+        live[here] = ~last[here]
+        left = before[here]
+        left = left[left >= 0]
+        live[left[~last[left]]] = True
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         bound += len(chosen)
-        if gone < 0.01:
-            break
+    seq, last = seq[there].astype(np.int64), last[there]
     symbols = np.zeros(len(lens), np.int64)
     symbols[lens > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
     return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols
 
 
+def _most_frequent(times: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Which of the counted pairs a round replaces, the most frequent first."""
+    best = np.argsort(-times, kind="stable")[:most]
+    return best[times[best] >= least]
+
+
 class Shard:
-    """A shard file's contents; also decodes any span of it."""
+    """A shard file's contents; also decodes any span of it. ``ids``: the documents' ids, 64-bit integers or text."""
 
-    def __init__(self, terminals: int, rules: np.ndarray, seq: np.ndarray, symbols: np.ndarray, lens: np.ndarray, ids: np.ndarray, known: np.ndarray):
-        self.terminals, self.rules, self.seq, self.symbols, self.lens, self.ids, self.known = terminals, rules, seq, symbols, lens, ids, known
+    def __init__(self, terminals: int, rules: np.ndarray, seq: np.ndarray, symbols: np.ndarray, lens: np.ndarray, ids: pa.Array):
+        self.terminals, self.rules, self.seq, self.symbols, self.lens, self.ids = terminals, rules, seq, symbols, lens, ids
         self.expands = np.ones(terminals + len(rules), np.int64)
         flat, at = [np.arange(terminals, dtype=np.uint32)], terminals
         self.head = np.arange(terminals + len(rules), dtype=np.int64)
@@ -250,35 +275,46 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         planes = max(0, (self.terminals + len(self.rules) - 1).bit_length() - 16)
-        parts = [self.rules.astype("<u4"), self.expands[self.terminals :].astype("<u4"), self.ids.astype("<i8"), self.known.astype("u1"), self.symbols.astype("<u4"), self.lens.astype("<u4"), self.seq.astype("<u2")]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("id", self.ids.type)])) as out:
+            out.write(pa.RecordBatch.from_arrays([self.ids], names=["id"]))
+        names = sink.getvalue().to_pybytes()
+        parts = [self.rules.astype("<u4"), self.expands[self.terminals :].astype("<u4"), self.symbols.astype("<u4"), self.lens.astype("<u4"), self.seq.astype("<u2")]
         parts += [np.packbits(self.seq >> (16 + i) & 1) for i in range(planes)]
-        head = struct.pack("<4sIIQQB", MAGIC, self.terminals, len(self.rules), len(self.lens), len(self.seq), planes)
-        body = head + b"".join(p.tobytes() for p in parts)
+        head = struct.pack(_HEAD, MAGIC, self.terminals, len(self.rules), len(self.lens), len(self.seq), len(names), planes)
+        body = head + names + b"".join(p.tobytes() for p in parts)
         return body + struct.pack("<I", zlib.crc32(body))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
-        magic, terminals, n_rules, n_docs, n_seq, planes = struct.unpack_from("<4sIIQQB", data)
+        magic, terminals, n_rules, n_docs, n_seq, n_names, planes = struct.unpack_from(_HEAD, data)
         if magic != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(memoryview(data)[:-4]):
             raise ValueError("not a shard file, or a damaged one")
-        at, parts = struct.calcsize("<4sIIQQB"), []
-        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<i8", n_docs), ("u1", n_docs), ("<u4", n_docs), ("<u4", n_docs), ("<u2", n_seq), *[("u1", (n_seq + 7) // 8)] * planes):
+        at, parts = struct.calcsize(_HEAD), []
+        ids = pa.ipc.open_stream(data[at : at + n_names]).read_all().column(0).combine_chunks()
+        at += n_names
+        for kind, n in (("<u4", 2 * n_rules), ("<u4", n_rules), ("<u4", n_docs), ("<u4", n_docs), ("<u2", n_seq), *[("u1", (n_seq + 7) // 8)] * planes):
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
-        rules, expands, ids, known, symbols, lens, low, *high = parts
+        rules, expands, symbols, lens, low, *high = parts
         seq = low.astype(np.int64)
         for i, plane in enumerate(high):
             seq |= np.unpackbits(plane, count=n_seq).astype(np.int64) << (16 + i)
-        shard = cls(terminals, rules.reshape(-1, 2).astype(np.int64), seq, symbols.astype(np.int64), lens.astype(np.int64), ids, known.astype(bool))
+        shard = cls(terminals, rules.reshape(-1, 2).astype(np.int64), seq, symbols.astype(np.int64), lens.astype(np.int64), ids)
         if (shard.expands[terminals:] != expands).any():
             raise ValueError("expansion lengths don't fit the rules")
         return shard
 
 
+def _key_type(docs: DataFrame, key: str) -> str:
+    """Ids are kept as whole numbers or as text."""
+    return "bigint" if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """``_key``, ``check`` (crc32 of the ids) and ``ids`` (packed little-endian, 16 bits each if they fit) of each row."""
-    path = tokenizer_file(tokenizer)
-    source = text_of(docs, key, text=text, text_as="_body")
+    path, kind_of_key = tokenizer_file(tokenizer), _key_type(docs, key)
+    source = text_of(docs.withColumn(key, F.col(f"`{key}`").cast(kind_of_key)), key, text=text, text_as="_body")
 
     def run(batches):
         enc = word_encoder(path)
@@ -291,14 +327,15 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             packed = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(every.tobytes())])
             data = memoryview(every.tobytes())
             check = [zlib.crc32(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(check, pa.int64()), packed], names=["_key", "check", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(check, pa.int64()), packed], names=["_key", "check", "ids"])
 
-    return arrow_map(source, run, "_key bigint, check bigint, ids binary")
+    return arrow_map(source, run, f"_key {kind_of_key}, check bigint, ids binary")
 
 
 def write_shards(encoded: DataFrame, tokenizer: str, folder: str, shards: int) -> DataFrame:
     """Shard files of ``encoded`` in ascending order; returns their list: ``part``, ``seq``, ``path``, ``n_docs``, ``n_tokens``."""
     path = tokenizer_file(tokenizer)
+    key_type = pa.int64() if encoded.schema["_key"].dataType.typeName() == "long" else pa.string()
 
     def run(batches):
         from pyspark import TaskContext
@@ -311,8 +348,7 @@ def write_shards(encoded: DataFrame, tokenizer: str, folder: str, shards: int) -
         def flush() -> pa.RecordBatch:
             lens = np.array([len(t) for t in texts], np.int64) // np.dtype(kind).itemsize
             seq, rules, symbols = compress(np.frombuffer(b"".join(texts), kind), lens, size)
-            ids = np.array([k or 0 for k in keys], np.int64)
-            shard = Shard(size, rules, seq, symbols, lens, ids, np.array([k is not None for k in keys]))
+            shard = Shard(size, rules, seq, symbols, lens, pa.array(keys, key_type))
             out = write_file(folder, ".rpg", shard.to_bytes())
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([done]), pa.array([out]), pa.array([len(keys)]), pa.array([int(lens.sum())])], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
@@ -332,15 +368,20 @@ def write_shards(encoded: DataFrame, tokenizer: str, folder: str, shards: int) -
     return stored(arrow_map(ranged, run, "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"))
 
 
-def read_shards(listed: DataFrame) -> DataFrame:
+def first_places(listed: DataFrame) -> DataFrame:
+    """The list of shards with ``first``: the ids of all shards before each. Sums of ``_GROUP`` parts each are added up
+    first, so the one task that sees the whole order sees a row for each of those; nothing goes to the driver."""
+    grouped = listed.withColumn("_group", F.floor(F.col("part") / _GROUP))
+    sums = grouped.groupBy("_group").agg(F.sum("n_tokens").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))).select("_group", F.coalesce("_before", F.lit(0)).alias("_before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("_group").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    return grouped.join(before, "_group").withColumn("first", F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_group", "_before")
+
+
+def read_shards(listed: DataFrame, key_type: str = "bigint") -> DataFrame:
     """Documents of the listed files, in the files' order: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
-    spark = listed.sparkSession
-    rows = sorted(listed.collect(), key=lambda r: (r.part, r.seq))  # a line for each shard
-    start, table = 0, []
-    for r in rows:
-        table.append((r.path, start))
-        start += r.n_tokens
-    files = spark.createDataFrame(table, "path string, first bigint")
+    tasks = max(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), listed.count() // 4)
+    files = first_places(listed).select("path", "first").repartition(tasks, "path")
 
     def run(batches):
         for batch in batches:
@@ -357,9 +398,9 @@ def read_shards(listed: DataFrame) -> DataFrame:
                     cuts = 4 * (np.concatenate([starts[a:b], [starts[b - 1] + shard.lens[b - 1]]]) - starts[a])
                     view = memoryview(part)
                     checks += [zlib.crc32(view[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.ids.astype(np.int64), pa.int64(), mask=~shard.known), pa.array(starts + first), pa.array(shard.lens), pa.array(checks, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([shard.ids, pa.array(starts + first), pa.array(shard.lens), pa.array(checks, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return arrow_map(files.repartition(max(1, len(table))), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return arrow_map(files, run, f"doc_id {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def shard_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -367,5 +408,5 @@ def shard_digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataF
     spark = docs.sparkSession
     encoded = stored(encode(docs, tokenizer))
     shards = max(4, plan_bytes(encoded) // (8 << 20))
-    return read_shards(write_shards(encoded, tokenizer, shared_dir(spark) + "/shards", shards))
-
+    found = read_shards(write_shards(encoded, tokenizer, shared_dir(spark) + "/shards", shards), _key_type(docs, "doc_id"))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

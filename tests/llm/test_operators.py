@@ -332,9 +332,9 @@ def test_repair_random_access():
     words = [rng.integers(0, 500, rng.integers(1, 6)) for _ in range(40)]
     texts = [np.concatenate([words[i] for i in rng.integers(0, 40, rng.integers(1, 400))]) for _ in range(60)] + [np.zeros(0, np.int64), np.array([7])]
     ids, lens = np.concatenate(texts), np.array([len(t) for t in texts])
-    seq, rules, symbols = repair_codec.compress(ids, lens, 500, rounds=6, pairs=64, least=8)
+    seq, rules, symbols = repair_codec.compress(ids, lens, 500, pairs=64)
     assert len(rules) and len(seq) < len(ids) / 2
-    shard = repair_codec.Shard.from_bytes(repair_codec.Shard(500, rules, seq, symbols, lens, np.arange(len(lens)), np.ones(len(lens), bool)).to_bytes())
+    shard = repair_codec.Shard.from_bytes(repair_codec.Shard(500, rules, seq, symbols, lens, pa.array(np.arange(len(lens)))).to_bytes())
     assert (shard.decode(shard.seq) == ids).all()
     for _ in range(50):
         a, b = sorted(rng.integers(0, len(ids), 2).tolist())
@@ -355,7 +355,7 @@ def test_repair_goes_on_while_it_pays():
     ids, lens = np.tile(text, 200), np.full(200, 512)
     seq, rules, symbols = repair_codec.compress(ids, lens, 65500)
     assert len(seq) <= 4 * 200 and 65500 + len(rules) > 1 << 16
-    shard = repair_codec.Shard.from_bytes(repair_codec.Shard(65500, rules, seq, symbols, lens, np.arange(200), np.ones(200, bool)).to_bytes())
+    shard = repair_codec.Shard.from_bytes(repair_codec.Shard(65500, rules, seq, symbols, lens, pa.array(np.arange(200))).to_bytes())
     assert (shard.decode(shard.seq) == ids).all() and (shard.span(700, 1300) == ids[700:1300]).all()
     # pairs that share a bin with one that comes later and is rare
     bins = lambda a, b: (np.array([a << 32 | b]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - repair_codec._BINS)).item()
@@ -365,6 +365,36 @@ def test_repair_goes_on_while_it_pays():
     assert rules.tolist() == [[7, 8]] and len(seq) == 102
 
 
+@pytest.mark.parametrize("many", [1 << 18, 50])
+def test_repair_leaves_no_frequent_pair(many, monkeypatch):
+    """At the end no pair of a document's neighbouring symbols occurs as often as a rule takes; by bins and without."""
+    monkeypatch.setattr(repair_codec, "_MANY", many)
+    rng = np.random.default_rng(9)
+    for alphabet, n in ((2, 3000), (30, 20000), (400, 60000)):
+        ids = rng.zipf(1.4, n) % alphabet
+        lens = np.diff(np.unique(np.concatenate([[0, n], rng.integers(0, n, 40)])))
+        seq, rules, symbols = repair_codec.compress(ids, lens, alphabet, pairs=64)
+        shard = repair_codec.Shard(alphabet, rules, seq, symbols, lens, pa.array(np.arange(len(lens))))
+        assert (shard.decode(seq) == ids).all() and (np.bincount(seq, minlength=alphabet + len(rules)) + np.bincount(rules.ravel(), minlength=alphabet + len(rules)))[alphabet:].all()
+        inner = np.ones(len(seq), bool)
+        inner[np.cumsum(symbols) - 1] = False
+        left = seq[np.flatnonzero(inner)] << 32 | seq[np.flatnonzero(inner) + 1]
+        # of a symbol next to itself every other place counts, so its pairs may be left
+        left = left[left >> 32 != left & 0xFFFFFFFF]
+        assert not len(left) or np.unique(left, return_counts=True)[1].max() < repair_codec.LEAST
+
+
+def test_repair_of_text_ids_and_first_places(spark, monkeypatch):
+    monkeypatch.setattr(repair_codec, "_GROUP", 2)
+    listed = spark.createDataFrame([(p, s, f"f{p}.{s}", 1, 10 * p + s + 1) for p in range(7) for s in range(3)], "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint")
+    start = 0
+    for r in repair_codec.first_places(listed).orderBy("part", "seq").collect():
+        assert r["first"] == start
+        start += r.n_tokens
+    df = spark.createDataFrame([("b", "two words"), (None, "none"), ("a", "one"), ("10", "ten")], "doc_id string, text string")
+    assert [(r.doc_id, r.start, r.n_tokens) for r in repair_codec.shard_digest(df).orderBy("start").collect()] == [(None, 0, 2), ("10", 2, 2), ("a", 4, 2), ("b", 6, 3)]
+
+
 def test_word_encoder_forgets(monkeypatch):
     monkeypatch.setattr(repair_codec, "_CACHE", 50)
     enc = repair_codec.WordEncoder(cluster.tokenizer_file("word_bpe_49k.json"))
