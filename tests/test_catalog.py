@@ -1,6 +1,9 @@
 """Every query with SQL against an independent engine, on the small tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -41,3 +44,17 @@ def test_entry_without_training_data_queries():
 
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [("orelode/llm", "tests/llm"), ("orelode/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_entry_survives_deletion(tmp_path, gone):
+    """Without the subpackage (and with or without the pipeline's file) the entry imports and has all the other queries."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", ".pytest_cache"))
+    for name in gone:
+        target = tmp_path / "r" / name
+        shutil.rmtree(target, ignore_errors=True)
+        target.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e, orelode.catalog as c; q = e.queries(); assert set(c.queries()) <= set(q) and set(e.oracle_sql()) <= set(q); assert 'pipeline' not in q; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+    assert done.returncode == 0, done.stderr
