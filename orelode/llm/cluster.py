@@ -1,7 +1,8 @@
 """What every operator here needs from the cluster: code on the executors, a shared folder, Arrow maps, blocks of bytes.
 
 Nothing is kept on a machine's own disk: tables that cut lineage go to the folder in ``spark.checkpoint.dir``, which
-driver and executors share. Only where that setting is unset (tests) a temporary folder takes its place.
+driver and executors share. Only where that setting is unset and everything runs on one machine (tests) a temporary
+folder takes its place; elsewhere a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
-#: Rows in an Arrow batch from the JVM; texts may be long, and a batch is held in memory on both sides.
-BATCH_ROWS = 400
+#: Bytes in an Arrow batch from the JVM, which is held in memory on both sides.
 BATCH_BYTES = "8m"
 #: Bytes of text that the vectorised kernels take at once (one longer text goes alone).
 CHUNK_BYTES = 1 << 20
@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orelode-")
         sc.setCheckpointDir(base)
     made = f"{base.rstrip('/')}/orelode-{uuid.uuid4().hex}"
@@ -103,11 +105,11 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches and this package on the executors."""
+    """``mapInArrow`` with batches of bounded bytes (a session's own setting is left alone) and this package on the executors."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 
