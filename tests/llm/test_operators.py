@@ -429,6 +429,28 @@ def test_token_counts(name, chunk, overlap):
             assert enc.count_huge(t, chunk, overlap) == enc.counts([t])[0]
 
 
+def test_token_counts_of_texts_without_spaces():
+    """Linear in the text: no stretch is encoded over and over, whether it has places to splice or none."""
+    rng = random.Random(14)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))
+    stops = "".join(c + ("。" if i % 97 == 0 else "\n" if i % 1013 == 0 else "") for i, c in enumerate(cjk))
+    far = cjk[:30_000] + " x" + cjk[:30_000] + " yz " + cjk[:9000]
+    lone = "<|endoftext|>" + cjk[:20_000] + "<|endoftext|>a\n" + cjk[:20_000] + "don't\n'll\n" + cjk[:9000]
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        enc = token_counts.encoder(cluster.tokenizer_file(name))
+        for t in (cjk, stops, far, lone, "7" * 50_000, "a" * 50_000):
+            seen = []
+
+            def starts(x, enc=enc, seen=seen):
+                seen.append(len(x))
+                return enc.starts(x)
+
+            assert enc.count_huge(t, encode=starts) == enc.counts([t])[0]
+            assert sum(seen) < 2.5 * len(t) + 20_000
+    enc = token_counts.encoder(cluster.tokenizer_file("byte_bpe_50k.json"))
+    assert enc.count_huge(cjk * 10) == enc.counts([cjk * 10])[0]
+
+
 def test_token_count_rows(docs, rows):
     from tokenizers import Tokenizer
 
