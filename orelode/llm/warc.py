@@ -2,13 +2,17 @@
 
 Writing: each task trains a dictionary on the first records of an archive, puts it (compressed) into a skippable frame of
 magic number 0x184D2A5D, and appends the records, each a frame of its own. Reading goes frame by frame, so one record is
-in memory at a time; headers, lengths and digests are checked, and a damaged record is reported, not skipped.
+in memory at a time; a frame is expanded no further than its record says it is long, skippable frames are passed over
+wherever they are, headers, lengths and digests are checked, and a damaged record is reported, not skipped.
 
 Of records with equal payloads (of at least ``least_revisit`` bytes) that of the smallest id is a response and the others
-are revisits that refer to it and carry only HTTP headers (with the full length).
+are revisits that refer to it and carry only HTTP headers (with the full length). Payloads that more than a
+``HOT_SHARE``-th of all rows have (so at most that many payloads) are looked up in every task, and of their copies only
+headers travel; all other payloads meet their first id by hash.
 
 Cases: null and empty payloads are payloads of 0 bytes; rows that share the smallest id of their payload are all
-responses; a null id is after all others and, if all are null, all are responses; null URLs become ``about:blank``.
+responses; a null id is after all others and, if all are null, all are responses; null URLs become ``about:blank``; ids of
+any type and URLs of any length are kept (signs of ids that a record id can't hold are escaped).
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -31,6 +36,7 @@ ZSTD_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 LEVEL = 3
+HOT_SHARE = 512
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -39,8 +45,16 @@ class WarcError(ValueError):
     """A record or archive that breaks the format."""
 
 
+_NO_ID = "<urn:no-page>"
+
+
 def record_id(page_id: object) -> str:
-    return f"<urn:page:{page_id}>"
+    return _NO_ID if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(record_id: str) -> str | None:
+    """The page's id (as text) in a record id."""
+    return None if record_id == _NO_ID else unquote(record_id.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def record(page_id: object, url: str, payload: bytes | None, refers_to: object = None, sha1: bytes | None = None, length: int | None = None) -> bytes:
@@ -93,35 +107,81 @@ class Archive:
         return b"".join(out + [compressor.compress(r) for r in self.records])
 
 
-def frames(stream) -> Iterator[bytes]:
-    """The contents of an archive's frames, one by one; ``stream`` has ``read(n)``."""
-    buffer = stream.read(8)
-    if not buffer:
-        return
-    magic, size = struct.unpack("<II", buffer.ljust(8, b"\0"))
-    dictionary = None
-    if magic == DICTIONARY_MAGIC:
-        packed = stream.read(size)
-        if len(packed) != size:
-            raise WarcError("the dictionary frame is cut short")
-        if packed[:4] == struct.pack("<I", ZSTD_MAGIC):
-            packed = zstandard.ZstdDecompressor().decompress(packed, max_output_size=64 << 20)
-        dictionary, buffer = zstandard.ZstdCompressionDict(packed), b""
-    context = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while True:
-        buffer = buffer or stream.read(1 << 20)
-        if not buffer:
-            return
-        unit, parts = context.decompressobj(), []
-        while not unit.eof:
-            if not buffer and not (buffer := stream.read(1 << 20)):
-                raise WarcError("a frame is cut short")
-            try:
-                parts.append(unit.decompress(buffer))
-            except zstandard.ZstdError as e:
-                raise WarcError(f"a frame is damaged: {e}") from e
-            buffer = unit.unused_data if unit.eof else b""
-        yield b"".join(parts)
+class _Buffered:
+    """A stream of which bytes can be looked at and given back."""
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, b""
+
+    def have(self, n: int) -> bool:
+        while len(self.held) < n and (more := self.stream.read(max(n - len(self.held), 1 << 16))):
+            self.held += more
+        return len(self.held) >= n
+
+    def take(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n:
+            if not self.have(1):
+                raise WarcError("a skippable frame is cut short")
+            n -= len(self.take(n))
+
+
+def frames(stream, most: int | None = None) -> Iterator[bytes]:
+    """The contents of an archive's frames, one by one; ``stream`` has ``read(n)``.
+
+    A frame that expands beyond what its record's headers say is refused on the way there; so is, given ``most``, any
+    record of more bytes.
+    """
+    source, context, first = _Buffered(stream), zstandard.ZstdDecompressor(), True
+    while source.have(1):
+        if not source.have(8):
+            raise WarcError("a frame is cut short")
+        magic, size = struct.unpack("<II", source.held[:8])
+        if magic & 0xFFFFFFF0 == 0x184D2A50:
+            source.take(8)
+            if first and magic == DICTIONARY_MAGIC:
+                if not source.have(size):
+                    raise WarcError("the dictionary frame is cut short")
+                packed = source.take(size)
+                if packed[:4] == struct.pack("<I", ZSTD_MAGIC):
+                    packed = zstandard.ZstdDecompressor().decompress(packed, max_output_size=64 << 20)
+                context = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(packed))
+            else:
+                source.skip(size)
+        else:
+            yield _expanded(source, context, most)
+        first = False
+
+
+def _expanded(source: _Buffered, context: zstandard.ZstdDecompressor, most: int | None) -> bytes:
+    unit, parts, n, limit = context.decompressobj(), [], 0, most
+    announced = False
+    while not unit.eof:
+        if not source.have(1):
+            raise WarcError("a frame is cut short")
+        fed = source.take(1 << 12)  # little at a time: a few bytes may stand for a great many
+        try:
+            parts.append(unit.decompress(fed))
+        except zstandard.ZstdError as e:
+            raise WarcError(f"a frame is damaged: {e}") from e
+        n += len(parts[-1])
+        if not announced and n:
+            parts = [b"".join(parts)]
+            head = parts[0].find(b"\r\n\r\n")
+            if head >= 0:
+                announced = True
+                said = _fields(parts[0][:head].split(b"\r\n")[1:]).get("content-length", "")
+                if not said.isdigit():
+                    raise WarcError("no Content-Length")
+                limit = min(head + 8 + int(said), most if most is not None else head + 8 + int(said))
+        if limit is not None and n > limit:
+            raise WarcError(f"a record of over {limit} bytes")
+        if unit.eof:
+            source.held = unit.unused_data + source.held
+    return b"".join(parts)
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -165,10 +225,21 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Archives of all rows; returns their list: ``path`` and ``n_records``."""
     body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     source = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").cast("string").alias("_url"), body.alias("_body"), F.unhex(F.sha1(body)).alias("_sha1"))
-    firsts = source.where(F.octet_length("_body") >= least_revisit).groupBy("_sha1").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    refers = F.when(~F.col("_key").eqNullSafe(F.col("_first")), F.col("_first"))
+    counted = source.select("_key", "_sha1", F.octet_length("_body").alias("_size")).groupBy("_sha1").agg(F.min("_key").alias("_first"), F.count("*").alias("_n"), F.max("_size").alias("_size"))
+    firsts = stored(counted.where((F.col("_n") > 1) & (F.col("_size") >= least_revisit)).drop("_size"))
+    share = pages.count() // HOT_SHARE
+    hot = firsts.where(F.col("_n") > share).select("_sha1", F.col("_first").alias("_hot"), F.lit(True).alias("_is_hot"))  # less than HOT_SHARE rows
+    marked = source.join(F.broadcast(hot), "_sha1", "left")
+    again = F.col("_is_hot") & ~F.col("_key").eqNullSafe(F.col("_hot")) & F.col("_hot").isNotNull()
+    # copies of a hot payload go anywhere, without their bodies; the others to their hash
+    anywhere = F.concat(F.lit(b"+"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    marked = marked.select("_key", "_url", F.when(~F.coalesce(again, F.lit(False)), F.col("_body")).alias("_body"), "_sha1", "_hot", "_is_hot", F.octet_length("_body").alias("_length"), F.when(F.col("_is_hot"), anywhere).otherwise(F.col("_sha1")).alias("_meet"))
+    cold = firsts.where(F.col("_n") <= share).select(F.col("_sha1").alias("_meet"), "_first")
     # the pages stream past the (small) table of repeated payloads; they aren't sorted
-    ready = source.join(firsts.hint("shuffle_hash"), "_sha1", "left").select("_key", "_url", F.when(refers.isNull(), F.col("_body")).alias("_body"), refers.alias("_refers"), "_sha1", F.octet_length("_body").alias("_length"))
+    joined = marked.join(cold.hint("shuffle_hash"), "_meet", "left")
+    first = F.coalesce("_hot", "_first")
+    refers = F.when(~F.col("_key").eqNullSafe(first), first)
+    ready = joined.select("_key", "_url", F.when(refers.isNull(), F.col("_body")).alias("_body"), refers.alias("_refers"), "_sha1", "_length")
 
     def run(batches):
         archive = Archive()
@@ -187,20 +258,20 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return stored(arrow_map(ready, run, "path string, n_records bigint"))
 
 
-def read_archives(listed: DataFrame) -> DataFrame:
-    """A row for each record of the listed archives: its headers and, of responses, the payload."""
+def read_archives(listed: DataFrame, most: int | None = None) -> DataFrame:
+    """A row for each record of the listed archives: its headers and, of responses, the payload. Records of over ``most``
+    bytes are an error (none by default: what a record says it holds is read)."""
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
-    short = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
 
     def run(batches):
         for batch in batches:
             for path, n in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
                 rows, size, seen = [], 0, 0
                 with open_file(path) as f:
-                    for data in frames(f):
+                    for data in frames(f, most):
                         r = parse(data)
                         h = r["headers"]
-                        rows.append((short(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], short(h["warc-refers-to"]) if "warc-refers-to" in h else None, h["warc-payload-digest"].removeprefix("sha1:"), r["length"], r["payload"]))
+                        rows.append((page_of(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], page_of(h["warc-refers-to"]) if "warc-refers-to" in h else None, h["warc-payload-digest"].removeprefix("sha1:"), r["length"], r["payload"]))
                         size, seen = size + len(data), seen + 1
                         if size > 4 << 20:
                             yield _table(rows)
@@ -224,7 +295,7 @@ def warc_digest(pages: DataFrame) -> DataFrame:
     folder = shared_dir(pages.sparkSession) + "/warc"
     kind = pages.schema["page_id"].dataType
     found = read_archives(write_archives(pages, folder))
-    key = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
+    key = lambda c: F.col(c).cast(kind)
     return found.select(key("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"))
 
 

@@ -290,6 +290,44 @@ def test_warc_of_a_long_url(spark):
     assert [(r.page_id, r.payload_bytes, r.record_type) for r in warc.warc_digest(df).orderBy("page_id").collect()] == [(1, 8, "response"), (2, 8, "revisit")]
 
 
+def test_warc_of_hot_payloads_and_text_ids(spark, monkeypatch):
+    """Copies of a payload that many rows have meet no join; ids of any text come back as they were."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 4)
+    ids = ["None", "a>b", "c\r\nd", "", "é %41", None, *(f"p{i:03}" for i in range(60))]
+    pages = [(k, "u", "" if i % 3 == 0 else "<p>same</p>" if i % 3 == 1 else f"<p>{i // 6}</p>") for i, k in enumerate(ids)]
+    pages += [(None, "u", "none"), (None, "u", "none"), ("x", "u", None)]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").repartition(3)
+    first = {}
+    for key, _, html in pages:
+        if key is not None:
+            first[html or ""] = min(key, first.get(html or "", key))
+    want = [(key, len((html or "").encode()), "response" if key == (one := first.get(html or "")) or one is None else "revisit", None if key == one else one) for key, _, html in pages]
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_digest(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_warc_frames_of_others():
+    """Skippable frames anywhere, a plain dictionary, frames without a content size, and frames that expand too far."""
+    import struct
+
+    import zstandard
+
+    records = [warc.record(i, f"http://x/{i}", (f"<html>{i}" + prose(60)).encode()) for i in range(400)]
+    trained = zstandard.train_dictionary(8 << 10, records)
+    packer = zstandard.ZstdCompressor(dict_data=trained, write_content_size=False)
+    skip = struct.pack("<II", 0x184D2A53, 5) + b"other"
+    data = struct.pack("<II", warc.DICTIONARY_MAGIC, len(trained.as_bytes())) + trained.as_bytes() + skip + b"".join(packer.compress(r) + skip for r in records)
+    assert list(warc.frames(io.BytesIO(data))) == records
+    bomb = zstandard.ZstdCompressor().compress(records[0][:-4] + b"\0" * (1 << 28))
+    with pytest.raises(warc.WarcError, match="over"):
+        list(warc.frames(io.BytesIO(bomb)))
+    with pytest.raises(warc.WarcError, match="over 100 bytes"):
+        list(warc.frames(io.BytesIO(data), most=100))
+    with pytest.raises(warc.WarcError):
+        list(warc.frames(io.BytesIO(skip[:-2])))
+    big = [warc.record(1, "u", np.random.default_rng(0).bytes(3 << 20)), records[3]]
+    assert list(warc.frames(io.BytesIO(b"".join(zstandard.ZstdCompressor().compress(r) for r in big)))) == big
+
+
 def test_warc_frames_and_damage():
     a = warc.Archive()
     records = [warc.record(i, f"http://x/{i}", (f"<html>{i}" + prose(300)).encode()) for i in range(300)]
