@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into a transducer: the normaliser (dummy prefix, spaces to the word mark), one path of
-characters for each piece, and byte fallback for characters that no piece covers. A text is composed with it and the
-tropical-semiring shortest path read off. Where no piece can cross a place (before a run of spaces, or between two
-characters that no piece has side by side), the composition falls apart, so each distinct stretch between such places
-is solved once and remembered.
-
-Weights: a unigram model's arcs weigh minus the score. A BPE model's segmentation isn't the least sum of any weights of
-single pieces; it is the only one in which every piece, and every two neighbouring pieces, come out of the merges
-unchanged. So the state is the last piece, arcs weigh nothing, and an arc to a piece that doesn't stand next to the last
-one weighs infinity; the one finite path is the library's encoding. Pairs are judged when they first occur.
-
-Cases: null and empty texts have no pieces; U+2581 in a text is a space, as in the library, and then doesn't survive.
+The model file is compiled into one transducer, normaliser and pieces and byte fallback composed beforehand. Its states
+are the prefixes of the pieces, as integers; an arc reads a character of the raw text (the normaliser's arcs read a space
+or U+2581 and write the word mark; its epsilon arc writes the dummy prefix) and leads on in the prefix; a state that is a
+whole piece has an arc back to the start that writes the piece's id. A character that is no piece has a path of its UTF-8
+bytes' ids. A text is composed with it, place by place, and the tropical-semiring shortest path is read off. Where no
+piece can cross a place (before a run of spaces, or between two characters that no piece has side by side), the
+composition falls apart, so each distinct stretch between such places is solved once and remembered.
+
+Weights: a unigram model's piece arcs weigh minus the score, whatever came before. A BPE model's segmentation isn't the
+least sum of any weights of single pieces; it is the only one in which every piece, and every two neighbouring pieces,
+come out of the merges unchanged. So a BPE transducer's start is split by the last piece, and a piece arc weighs nothing
+after a piece that it stands next to in an encoding and infinity after any other; these weights are found when a pair
+first occurs. The path of finite weight is the library's encoding. A text without one is an error.
+
+Cases: null and empty texts have no pieces; U+2581 in a text is a space, as in the library, and then doesn't survive;
+equal texts get equal pieces; the docs' other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from orelode.llm.cluster import arrow_map, pieces, text_of, tokenizer_file
 MARK = "▁"
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-_CACHE, _PAIRS = 250_000, 250_000
+_INFINITY = float("inf")
+#: Of a worker: bytes of remembered stretches with their ids, longest stretch that is remembered, weights of pairs, and ends
+#: of stretches of up to ``_SHORT`` characters.
+_CACHE_BYTES, _CACHE_LONGEST, _PAIRS, _RESTS, _SHORT = 64 << 20, 1 << 10, 250_000, 250_000, 48
 _UNKNOWN_PENALTY = 10.0
-#: Characters up to which a stretch is solved piece by piece from remembered ends.
-_SHORT = 48
 
 
 def _fields(data: bytes):
@@ -91,7 +96,7 @@ class Transducer:
             self.out.append(text)
         if len(self.bytes_) != 256:
             raise ValueError("the model has no byte fallback")
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self._compile()
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = [b < 0x80 and chr(b) not in inner and b != 0x20 for b in range(256)]
         # by two neighbouring bytes (a space for the mark), whether some piece may cross between them
@@ -107,132 +112,204 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece runs across words")
         self.least = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
-        self.neighbours: dict[tuple[str, str], bool] = {}
-        self.rests: dict[tuple[str, str], tuple[str, ...] | None] = {}
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.pairs: dict[int, float] = {}
+        self.rests: dict[tuple[int | None, str], tuple[int, ...] | None] = {}
+        self.courses: dict[int, tuple[bool, list[float], list[str], list[str]]] = {}
+        self._forget()
         lens = np.array([len(x) for x in self.out], np.int64)
         self.is_byte = np.zeros(len(self.out), bool)
         self.is_byte[list(self.bytes_.values())] = True
         self.out_lens, self.out_heads, self.out_flat = lens, np.cumsum(lens) - lens, np.frombuffer(b"".join(self.out), np.uint8)
 
-    # arcs
-
-    def arcs(self, text: str, at: int) -> list[str]:
-        """Pieces that match at a place, the longest first; a character that is no piece passes to byte fallback."""
-        found, ids, prefixes = [], self.ids, self.prefixes
-        for end in range(at + 1, len(text) + 1):
-            part = text[at:end]
-            if part in ids:
-                found.append(part)
-            elif part not in prefixes:
-                break
-        if text[at] not in self.ids:
-            found.insert(0, text[at])
-        found.reverse()
+    # the transducer
+
+    def _compile(self) -> None:
+        """``arcs``: (state, character of the raw text) to state, in one integer key; ``writes``: the piece that a state is, or
+        -1. State 0 is the start."""
+        self.arcs: dict[int, int] = {}
+        self.writes = [-1]
+        for piece, i in self.ids.items():
+            state = 0
+            for c in piece:
+                key = state << 21 | ord(c)
+                if key not in self.arcs:
+                    self.arcs[key] = len(self.writes)
+                    self.writes.append(-1)
+                state = self.arcs[key]
+            self.writes[state] = i
+        mark = ord(MARK)
+        for key, state in [(k, v) for k, v in self.arcs.items() if k & 0x1FFFFF == mark]:
+            self.arcs[key - mark + 0x20] = state  # the normaliser: a space is read as the mark
+        self.pieces = {i: p for p, i in self.ids.items()}
+
+    def fallback(self, c: str) -> int:
+        """What stands for a character that is no piece: a symbol of its own, which writes the ids of its bytes."""
+        return -ord(MARK if c == " " else c) - 2
+
+    def _spelled(self, symbol: int) -> str:
+        return self.pieces[symbol] if symbol >= 0 else chr(-symbol - 2)
+
+    def course(self, symbol: int) -> tuple[bool, list[float], list[str], list[str]]:
+        """How a piece comes about: whether the merges of its characters, the best score first and of equal ones the
+        leftmost, end in it; the merges' scores; and the first and last part before and after each merge."""
+        found = self.courses.get(symbol)
+        if found is None:
+            parts = list(self._spelled(symbol))
+            scores, firsts, lasts = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best, where = None, -1
+                for i in range(len(parts) - 1):
+                    score = self.scores.get(parts[i] + parts[i + 1])
+                    if score is not None and (best is None or score > best):
+                        best, where = score, i
+                if best is None:
+                    break
+                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+                scores.append(best)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            found = self.courses[symbol] = (len(parts) == 1, [*scores, -_INFINITY], firsts, lasts)
         return found
 
-    def merged(self, text: str) -> list[str]:
-        """What the model's merges make of a short string."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, where = score, i
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return parts
-
-    def adjoin(self, left: str, right: str) -> bool:
-        """Whether two pieces stand side by side in an encoding."""
-        known = self.neighbours.get((left, right))
-        if known is None:
-            if len(self.neighbours) > _PAIRS:
-                self.neighbours.clear()
-            known = self.neighbours[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    # shortest paths
+    def stands_next(self, left: int | None, right: int) -> bool:
+        """Whether two pieces stand side by side in an encoding (None: the text's start).
+
+        Both come about side by side, each step the better of their next merges; they are an encoding if a merge across
+        their border is never better than both.
+        """
+        whole, after, firsts, _ = self.course(right)
+        if left is None:
+            return whole
+        left_whole, before, _, lasts = self.course(left)
+        if not (whole and left_whole):
+            return False
+        i = j = 0
+        while True:
+            across = self.scores.get(lasts[i] + firsts[j])
+            if across is not None and across > before[i] and across >= after[j]:  # of equal merges the left one is first
+                return False
+            if before[i] >= after[j]:
+                if before[i] == -_INFINITY:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def weight(self, left: int | None, right: int) -> float:
+        """Of the arc that writes ``right`` after ``left``."""
+        if self.kind == UNIGRAM:
+            return -self.scores.get(self._spelled(right), self.least)
+        key = ((-1 << 24 if left is None else left) << 32) + right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) > _PAIRS:
+                self.pairs.clear()
+            found = self.pairs[key] = 0.0 if self.stands_next(left, right) else _INFINITY
+        return found
 
-    def path(self, text: str) -> list[str]:
-        return self._bpe_path(text) if self.kind == BPE else self._unigram_path(text)
+    # composition with a text, and its shortest path
 
-    def _unigram_path(self, text: str) -> list[str]:
-        best: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * len(text)
+    def arcs_at(self, text: str, at: int = 0) -> list[tuple[int, int]]:
+        """(symbol, place after it) of the arcs that write something for the characters from a place on, the longest last."""
+        out, arcs, writes, state = [], self.arcs, self.writes, 0
+        for end in range(at, len(text)):
+            state = arcs.get(state << 21 | ord(text[end]))
+            if state is None:
+                break
+            if writes[state] >= 0:
+                out.append((writes[state], end + 1))
+        if not out or out[0][1] > at + 1:
+            out.insert(0, (self.fallback(text[at]), at + 1))
+        return out
+
+    def path(self, text: str) -> list[int]:
+        """The symbols (pieces, or characters for byte fallback) on the shortest path through ``text``."""
+        found = self._in_order(text) if self.kind == UNIGRAM else self._rest(None, text) if len(text) <= _SHORT else self._best_first(text)
+        if found is None:
+            raise ValueError("the transducer has no path through a text")
+        return list(found)
+
+    def _in_order(self, text: str) -> list[int] | None:
+        """Places in order; the state is the place alone, as weights don't look back."""
+        best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(_INFINITY, 0, -1)] * len(text)
         for at in range(len(text)):
-            here = best[at][0]
-            for piece in self.arcs(text, at):
-                cost = here - self.scores.get(piece, self.least)
-                if cost < best[at + len(piece)][0]:
-                    best[at + len(piece)] = (cost, piece)
+            for symbol, end in self.arcs_at(text, at):
+                total = best[at][0] + self.weight(None, symbol)
+                if total < best[end][0]:
+                    best[end] = (total, symbol, at)
         out, at = [], len(text)
-        while at:
-            out.append(best[at][1])
-            at -= len(out[-1])
-        return out[::-1]
-
-    def _bpe_path(self, text: str) -> list[str]:
-        """The path of finite weight: depth first, longest arcs first; states without a way on are remembered."""
-        if len(text) <= _SHORT:
-            found = self._rest("", text)
-            return self.merged(text) if found is None else list(found)
-        path: list[str] = [""]
-        open_: list[list[str]] = [self.arcs(text, 0)[::-1]]
-        at, dead = 0, set()
-        while True:
-            left = path[-1]
+        while at > 0:
+            _, symbol, at = best[at]
+            out.append(symbol)
+        return out[::-1] if at == 0 else None
+
+    def _best_first(self, text: str) -> list[int] | None:
+        """The least weight first and of equal ones the farthest place; finite weights are all zero here, so that is a
+        stack. The state is the place and the last symbol; those without a way on are remembered."""
+        path: list[int | None] = [None]
+        open_ = [self.arcs_at(text)]
+        ends, dead = [0], set()
+        while ends[-1] < len(text):
             while open_[-1]:
-                piece = open_[-1].pop()
-                if (at + len(piece), piece) not in dead and self.adjoin(left, piece):
+                symbol, end = open_[-1].pop()
+                if (end, symbol) not in dead and self.weight(path[-1], symbol) < _INFINITY:
+                    path.append(symbol)
+                    ends.append(end)
+                    open_.append(self.arcs_at(text, end) if end < len(text) else [])
                     break
             else:
+                dead.add((ends.pop(), path.pop()))
                 open_.pop()
-                if not open_:
-                    return self.merged(text)
-                piece = path.pop()
-                dead.add((at, piece))
-                at -= len(piece)
-                continue
-            path.append(piece)
-            at += len(piece)
-            if at == len(text):
-                return path[1:]
-            open_.append(self.arcs(text, at)[::-1])
-
-    def _rest(self, left: str, text: str) -> tuple[str, ...] | None:
-        """The path of a short string after the piece ``left``, None if there is none; ends of words are remembered."""
-        key = (left, text)
-        if key in self.rests:
-            return self.rests[key]
-        found, known = None, self.neighbours
-        for piece in self.arcs(text, 0):
-            good = known.get((left, piece))
-            if self.adjoin(left, piece) if good is None else good:
-                if len(piece) == len(text):
-                    found = (piece,)
+                if not ends:
+                    return None
+        return path[1:]
+
+    def _rest(self, last: int | None, text: str) -> tuple[int, ...] | None:
+        """The same for a short text after a symbol. Many words end alike, so what follows a state is remembered."""
+        key = (last, text)
+        found = self.rests.get(key, ())
+        if found != ():
+            return found
+        found, pairs, before = None, self.pairs, (-1 << 24 if last is None else last) << 32
+        arcs = self.arcs_at(text)
+        while arcs:
+            symbol, end = arcs.pop()
+            weight = pairs.get(before + symbol)
+            if (self.weight(last, symbol) if weight is None else weight) == 0.0:
+                if end == len(text):
+                    found = (symbol,)
                     break
-                after = self._rest(piece, text[len(piece) :])
+                after = self._rest(symbol, text[end:])
                 if after is not None:
-                    found = (piece, *after)
+                    found = (symbol, *after)
                     break
-        if left:
-            if len(self.rests) > _PAIRS:
+        if last is not None:
+            if len(self.rests) > _RESTS:
                 self.rests.clear()
             self.rests[key] = found
         return found
 
     def solve(self, stretch: bytes) -> np.ndarray:
         ids: list[int] = []
-        for piece in self.path(stretch.decode().replace(" ", MARK)):
-            i = self.ids.get(piece)
-            if i is None:
-                ids += [self.bytes_[b] for b in piece.replace(MARK, " ").encode()]
+        for symbol in self.path(stretch.decode()):
+            if symbol >= 0:
+                ids.append(symbol)
             else:
-                ids.append(i)
+                ids += [self.bytes_[b] for b in self._spelled(symbol).replace(MARK, " ").encode()]
         return np.array(ids, np.uint32)
 
+    def _forget(self) -> None:
+        self.cache: dict[bytes, np.ndarray] = {}
+        self.held = 0
+
+    def _solved(self, stretch: bytes) -> np.ndarray:
+        """``solve``, remembered if the stretch is short."""
+        ids = self.solve(stretch)
+        if len(stretch) <= _CACHE_LONGEST:
+            self.cache[stretch] = ids
+            self.held += len(stretch) + ids.nbytes + 240  # with what Python itself needs for both
+        return ids
+
     # batches
 
     def normalised(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +341,12 @@ class Transducer:
         first, back = tb.distinct(tb.span_hashes(data, starts, ends))
         text = data.tobytes()
         stretches = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
+        if self.held > _CACHE_BYTES:
+            self._forget()
         found = list(map(self.cache.get, stretches))
         for i, ids in enumerate(found):
             if ids is None:
-                found[i] = self.cache[stretches[i]] = self.solve(stretches[i])
+                found[i] = self._solved(stretches[i])
         lens = np.fromiter(map(len, found), np.int64, len(found))
         heads = np.cumsum(lens) - lens
         flat = np.concatenate(found)

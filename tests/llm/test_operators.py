@@ -602,11 +602,58 @@ def test_sentence_fst_equals_the_library(docs, rows):
         assert ids.tolist() == lib.encode(t) and fst.decode(ids) == lib.decode(lib.encode(t))
 
 
-def test_unigram_paths():
-    fst = sentence_fst.transducer(cluster.tokenizer_file("piece_bpe_32k.model"))
-    text = "▁hello"
-    best = min((sum(-fst.scores.get(p, fst.least) for p in parts) for parts in _splits(text)), default=0)
-    assert sum(-fst.scores.get(p, fst.least) for p in fst._unigram_path(text)) == pytest.approx(best)
+def toy_model(pieces, kind):
+    """A SentencePiece model file: control pieces, all byte pieces, and the given (piece, score)."""
+    import struct
+
+    number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+    field = lambda k, x: number(k << 3 | 2) + number(len(x)) + x
+    flag = lambda k, x: number(k << 3) + number(x)
+    piece = lambda p, score, t: field(1, field(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + flag(3, t))
+    out = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3)
+    out += b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(p, x, 1) for p, x in pieces)
+    return out + field(2, flag(3, kind) + flag(35, 1)) + field(3, field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+
+
+@pytest.mark.parametrize("kind", [sentence_fst.UNIGRAM, sentence_fst.BPE])
+def test_toy_models(tmp_path, kind):
+    """Models of a few pieces against the library and, for unigram ones, against all paths."""
+    import sentencepiece
+
+    rng = random.Random(kind)
+    for turn in range(12):
+        letters = ["▁", *"abcé"]
+        made = dict.fromkeys(letters)
+        while len(made) < 30:
+            p = "".join(rng.choice(letters[1:]) for _ in range(rng.randrange(2, 5)))
+            made[rng.choice(["", "▁"]) + p] = None
+        pieces = [(p, -(1 + i) - rng.random() / 2 if kind == sentence_fst.UNIGRAM else -float(i)) for i, p in enumerate(made)]
+        (tmp_path / f"{turn}.model").write_bytes(toy_model(pieces, kind))
+        lib = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / f"{turn}.model"))
+        fst = sentence_fst.Transducer(str(tmp_path / f"{turn}.model"))
+        for _ in range(150):
+            t = "".join(rng.choice("aabbccé xé漢") for _ in range(rng.randrange(70)))
+            assert fst.encode(pa.array([t]))[0].tolist() == lib.encode(t), t
+            word = "▁" + t[:7].replace(" ", "")
+            assert (list(fst._rest(None, word)) if kind == sentence_fst.BPE else fst.path(word)) == (fst._best_first(word) if kind == sentence_fst.BPE else fst._in_order(word))
+            if kind == sentence_fst.UNIGRAM:
+                weight = lambda parts, fst=fst: sum(-fst.scores.get(p, fst.least) for p in parts)
+                possible = [parts for parts in _splits(word) if all(p in fst.scores or len(p) == 1 for p in parts)]
+                assert weight([fst._spelled(x) for x in fst.path(word)]) == pytest.approx(min(map(weight, possible)))
+
+
+def test_sentence_fst_caches_are_bounded(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentence_fst, "_CACHE_BYTES", 2000)
+    monkeypatch.setattr(sentence_fst, "_PAIRS", 40)
+    monkeypatch.setattr(sentence_fst, "_RESTS", 40)
+    path = cluster.tokenizer_file("piece_bpe_32k.model")
+    lib, fst = sentencepiece.SentencePieceProcessor(model_file=path), sentence_fst.Transducer(path)
+    for _ in range(60):
+        t = prose(30) + " " + "漢" * RNG.randrange(3000)
+        assert fst.encode(pa.array([t]))[0].tolist() == lib.encode(t)
+        assert len(fst.pairs) <= 41 and len(fst.rests) <= 41 and fst.held < 2000 + 40 * 400
 
 
 def _splits(text):
