@@ -10,9 +10,12 @@ reads the words; the output softmax is factored into a class (words of similar f
 biases start at the words' frequencies.
 
 Training. Truncated backpropagation through time over ``WINDOW`` steps, on lanes of whole documents whose state is
-carried from window to window and cleared between documents. Every training document is used: each task trains a copy
-on its own documents, and the copies are averaged by their numbers of tokens, in ``ROUNDS`` rounds, each on every so-manieth of them. What
-is gathered thus grows with the input, while no sum is larger than one copy.
+carried from window to window and cleared between documents. Every training document is used, once. Documents are dealt to
+shards by a hash of id and text, and within a shard they are in the order of it, so the model doesn't depend on how the
+table is partitioned. First comes a warm start on one shard of about ``WARM_TOKENS``; then, in ``ROUNDS`` rounds, a copy is
+trained from there on each of a round's shards, and the copies are averaged by their numbers of tokens for the next one.
+A shard has ``SHARD_TOKENS`` or, where a round would have over ``COPIES`` of them, up to ``MOST_TOKENS``. What is gathered
+thus grows with the input, while no sum is larger than one copy. Documents travel as packed symbols, not as text.
 
 Cases: null and empty texts are one end token; without training text the base score is that of an unseen word and the
 model is at its start; rows of equal or null id are scored each by itself; equal texts get equal scores up to rounding.
@@ -33,10 +36,11 @@ from pyspark.sql import functions as F
 from orelode.llm import textbuf as tb
 from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, pieces, stored
 
-HIDDEN, CLASSES, MODEL_WORDS = 16, 32, 4096
+HIDDEN, CLASSES, MODEL_WORDS = 16, 64, 8192
 COUNT_WORDS = 1 << 20
 WINDOW, LANES, SCORE_LANES = 32, 256, 1024
-ROUNDS, RATE, MEMORY = 2, 0.08, 1.0
+ROUNDS, RATE, MEMORY = 4, 0.08, 1.0
+WARM_TOKENS, SHARD_TOKENS, MOST_TOKENS, COPIES = 1 << 20, 2 << 20, 256 << 20, 4096
 #: Tokens that a task lays out in lanes at once.
 TRAIN_TOKENS, SCORE_TOKENS = 4 << 20, 4 << 20
 _FLUSH = 1 << 21
@@ -406,43 +410,103 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
         yield held, np.concatenate(hashes), np.append(np.concatenate(firsts), n)
 
 
-def train(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged parameters after all rounds; round r takes each task's documents of number r, modulo the rounds."""
+def rounds_of(tokens: int) -> tuple[float, int]:
+    """The share of documents that warms up, and the shards of each round, for so many training tokens."""
+    warm = min(1.0, WARM_TOKENS / max(1, tokens))
+    rest = tokens * (1 - warm) / ROUNDS
+    each = min(MOST_TOKENS, max(SHARD_TOKENS, rest / COPIES))
+    return warm, math.ceil(rest / each)
+
+
+def place_of(order: np.ndarray, warm: float, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The round (0: warm start) and the shard of documents by their 64-bit hashes."""
+    share = order.view(np.uint64).astype(np.float64) / 2.0**64
+    late = (share >= warm) & (shards > 0)
+    at = np.clip((share - warm) / max(1 - warm, 1e-12) * (ROUNDS * shards), 0, max(0, ROUNDS * shards - 1)).astype(np.int64)
+    return np.where(late, 1 + at // max(1, shards), 0), np.where(late, at % max(1, shards), 0)
+
+
+def deal(training: DataFrame, v: Vocabulary, sent_v) -> DataFrame:
+    """``turn``, ``shard``, ``order`` (hash) and ``symbols`` (packed, 16 or 32 bits each) of each training document."""
+    warm, shards = rounds_of(v.total)
+    kind = np.dtype("<u2" if len(v.symbol_counts) <= 1 << 16 else "<u4")
+
+    def run(batches):
+        v = sent_v.value
+        for held, h, first in _blocks(batches, "_body", 1 << 20):
+            symbols = v.look_up(h)[1].astype(kind)
+            order = pa.chunked_array([b.column("_order") for b in held]).combine_chunks()
+            turn, shard = place_of(order.to_numpy(), warm, shards)
+            packed = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((first * kind.itemsize).astype(np.int32)), pa.py_buffer(symbols.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(shard, pa.int32()), order, packed], names=["turn", "shard", "order", "symbols"])
+
+    rows = training.select("_body", F.xxhash64("_key", "_body").alias("_order"))
+    return stored(arrow_map(rows, run, "turn int, shard int, order bigint, symbols binary"), "turn")
+
+
+def train(training: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The parameters after the warm start and all rounds."""
     spark = training.sparkSession
     sent_v = spark.sparkContext.broadcast(v)  # bounded by COUNT_WORDS
+    dealt = deal(training, v, sent_v)
+    kind = np.dtype("<u2" if len(v.symbol_counts) <= 1 << 16 else "<u4")
     vector = Model(v).vector
-    for turn in range(rounds):
+    _, shards = rounds_of(v.total)
+    for turn in range(ROUNDS + 1 if shards else 1):
         sent = spark.sparkContext.broadcast(vector)
 
-        def run(batches, turn=turn, sent=sent):
+        def run(batches, sent=sent):
             v = sent_v.value
-            trainer, seen = Trainer(Model(v).load(sent.value.copy())), 0
-            for _, h, first in _blocks(batches, "_body", TRAIN_TOKENS):
-                lens = np.diff(first)
-                mine = np.arange(len(lens)) % rounds == turn
-                if mine.any():
-                    symbols = v.look_up(h[np.repeat(mine, lens)])[1]
-                    train_documents(trainer, symbols, np.concatenate([[0], np.cumsum(lens[mine])]), v.end)
-                    seen += len(symbols)
-            if seen:
+            own, trainer, seen, held, size = None, None, 0, [], 0
+
+            def step():
+                lens = np.array([len(x) // kind.itemsize for x in held], np.int64)
+                train_documents(trainer, np.frombuffer(b"".join(held), kind).astype(np.int32), np.concatenate([[0], np.cumsum(lens)]), v.end)
+
+            def copy():
                 for b, part in enumerate(np.array_split(trainer.model.vector, _BLOCKS)):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["bucket", "tokens", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([own], pa.int32()), pa.array([seen], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["bucket", "shard", "tokens", "part"])
+
+            for batch in batches:
+                for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+                    if shard != own or size >= TRAIN_TOKENS:
+                        if held:
+                            step()
+                        held, size = [], 0
+                    if shard != own:
+                        if trainer is not None:
+                            yield from copy()
+                        own, trainer, seen = shard, Trainer(Model(v).load(sent.value.copy())), 0
+                    held.append(packed)
+                    size += len(packed) // kind.itemsize
+                    seen += len(packed) // kind.itemsize
+            if held:
+                step()
+                yield from copy()
 
         def add(batches):
-            sums: dict[int, np.ndarray] = {}
-            weights: dict[int, int] = {}
-            for batch in batches:  # one copy's block at a time
+            own, total, weight = None, None, 0
+
+            def mean():
+                return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "part"])
+
+            for batch in batches:  # one copy's block at a time, in the order of the shards
                 for b, n, part in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokens", "part")), strict=True):
-                    weights[b] = weights.get(b, 0) + n
-                    sums[b] = sums.get(b, 0.0) + np.frombuffer(part, np.float32).astype(np.float64) * n
-            for b, s in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([weights[b]], pa.int64()), pa.array([(s / weights[b]).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "tokens", "part"])
-
-        schema = "bucket int, tokens bigint, part binary"
-        parts = {r.bucket: bytes(r.part) for r in arrow_map(arrow_map(training.select("_body"), run, schema).repartition(_BLOCKS, "bucket"), add, schema).collect()}
-        if not parts:
-            return vector
-        vector = np.concatenate([np.frombuffer(parts[b], np.float32) for b in range(_BLOCKS)])
+                    if b != own:
+                        if own is not None:
+                            yield mean()
+                        own, total, weight = b, 0.0, 0
+                    total, weight = total + np.frombuffer(part, np.float32).astype(np.float64) * n, weight + n
+            if own is not None:
+                yield mean()
+
+        rows = dealt.where(F.col("turn") == turn).select("shard", "order", "symbols")
+        rows = rows.repartitionById(shards if turn else 1, "shard").sortWithinPartitions("shard", "order", "symbols")
+        copies = arrow_map(rows, run, "bucket int, shard int, tokens bigint, part binary")
+        means = arrow_map(copies.repartition(_BLOCKS, "bucket").sortWithinPartitions("bucket", "shard"), add, "bucket int, part binary")
+        parts = {r.bucket: bytes(r.part) for r in means.collect()}  # one vector
+        if parts:
+            vector = np.concatenate([np.frombuffer(parts[b], np.float32) for b in range(_BLOCKS)])
     return vector
 
 

@@ -733,3 +733,60 @@ def test_gated_lm_learns():
     for _ in range(30):
         gated_lm.train_documents(trainer, text, first, 0)
     assert gated_lm.score_documents(trainer.model, text, first, 0).sum() > before * 0.3
+
+
+def test_gated_lm_places():
+    order = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 200_000)
+    for tokens in (0, 10, 1 << 20, 5 << 20, 10**9, 10**14):
+        warm, shards = gated_lm.rounds_of(tokens)
+        turn, shard = gated_lm.place_of(order, warm, shards)
+        assert turn.min() >= 0 and turn.max() <= gated_lm.ROUNDS and shard.min() >= 0 and shard.max() < max(1, shards)
+        assert abs((turn == 0).mean() - warm) < 0.01 and (shard[turn == 0] == 0).all()
+        if 1 < shards < 100:
+            assert all(abs(((turn == t) & (shard == x)).mean() * gated_lm.ROUNDS * shards / (1 - warm) - 1) < 0.2 for t in range(1, gated_lm.ROUNDS + 1) for x in range(shards))
+
+
+def test_gated_lm_is_the_same_for_any_partitioning(spark, monkeypatch):
+    """Warm start, several rounds and shards: the same scores (to rounding) from 1 and 32 partitions, better than the base."""
+    for name, value in (("WARM_TOKENS", 3000), ("SHARD_TOKENS", 2500)):
+        monkeypatch.setattr(gated_lm, name, value)
+    rng = random.Random(23)
+    after = {w: rng.sample(VOCABULARY, 3) for w in VOCABULARY}
+    texts = []
+    for _ in range(1200):
+        w = [rng.choice(VOCABULARY)]
+        while len(w) < 40:
+            w.append(rng.choice(after[w[-1]]))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id"), (None, None)], "doc_id bigint, text string")
+    assert gated_lm.rounds_of(sum(len(t.split()) + 1 for t in texts))[1] > 3
+    one = {r.doc_id: r for r in gated_lm.score_digest(df.coalesce(1)).where("doc_id is not null").collect()}
+    many = {r.doc_id: r for r in gated_lm.score_digest(df.repartition(32)).where("doc_id is not null").collect()}
+    assert all(many[k].score == pytest.approx(r.score, rel=1e-4) for k, r in one.items())
+    held = [r for r in one.values() if r.held_out]
+    assert len(held) > 100 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_gated_lm_score_of_whole_documents():
+    """A document's score is the sum over its symbols, one step after the other, whatever shares its lanes or windows."""
+    rng = np.random.default_rng(3)
+    v = gated_lm.Vocabulary(np.arange(9, dtype=np.uint64), np.arange(9, 0, -1), np.arange(9, dtype=np.int32), 45, 9, np.array([9.0, 8, 7, 6, 5, 4, 3, 2, 1]), np.array([0, 2, 5, 8, 9]), 0)
+    model = gated_lm.Model(v, hidden=5)
+    model.vector += rng.normal(0, 0.4, len(model.vector)).astype(np.float32)
+    docs = [np.append(rng.integers(1, 9, n), 0) for n in (0, 1, 31, 32, 33, 200, 5, 64)]
+    found = gated_lm.score_documents(model, np.concatenate(docs), np.cumsum([0, *map(len, docs)]), 0)
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    for d, total in zip(docs, found.tolist(), strict=True):
+        h, x, want, k = np.zeros(5), 0, 0.0, 5
+        for y in d.tolist():
+            e, u = model.enter[x] + model.gate, h @ model.recur
+            z, r = sigmoid(e[:k] + u[:k]), sigmoid(e[k : 2 * k] + u[k : 2 * k])
+            new = np.tanh(e[2 * k :] + r * u[2 * k :])
+            h = new + z * (h - new)
+            c = int(model.class_of[y])
+            logits = h @ model.cls + model.cls_bias
+            a, b = int(v.classes[c]), int(v.classes[c + 1])
+            own = model.word[a:b] @ h + model.word_bias[a:b]
+            want += logits[c] - np.log(np.exp(logits).sum()) + own[y - a] - np.log(np.exp(own).sum())
+            x = y
+        assert total == pytest.approx(want, rel=1e-4)
