@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Bytes in an Arrow batch from the JVM, which is held in memory on both sides.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "1m"
 #: Bytes of text that the vectorised kernels take at once (one longer text goes alone).
 CHUNK_BYTES = 1 << 20
 

@@ -21,7 +21,7 @@ import json
 import os
 import struct
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -39,12 +39,11 @@ SHARD_TOKENS = 8 << 20
 #: Parts of the list whose sizes are added up together.
 _GROUP = 4096
 #: Pairs that a round replaces, and how often a pair occurs at least: a rule takes 12 bytes, and each use saves about two.
-PAIRS, LEAST = 4096, 8
+PAIRS, LEAST = 8192, 8
 #: Words, and their ids, beyond which a worker's cache starts anew.
 _CACHE, _CACHE_IDS = 800_000, 1 << 24
+#: Bits of the hash of a pair by which its places are found.
 _BINS = 20
-#: Live places above which pairs are counted by bins, without sorting.
-_MANY = 1 << 18
 #: Bytes that aren't ASCII signs, and ASCII letters.
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
@@ -181,40 +180,31 @@ def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, pairs: int = PAI
     live = ~last
     rules: list[np.ndarray] = []
     bound = terminals
+    slot = np.full(1 << _BINS, -1, np.int32)
     while len(at := np.flatnonzero(live)):
         code = seq[at].astype(np.int64) << 32 | seq[after[at]]
-        if len(at) > _MANY:
-            bins = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
-            counts = np.bincount(bins, minlength=1 << _BINS)
-            full = counts[bins] >= least
-            live[at[~full]] = False
-            at, code, bins = at[full], code[full], bins[full]
-        chosen = own = None
-        if len(at) > _MANY:
-            # a bin stands for the pair that was in it last; others that share it wait for another round
-            top = np.argpartition(counts, -2 * pairs)[-2 * pairs :]
-            slot = np.full(1 << _BINS, -1, np.int32)
-            slot[top] = np.arange(len(top))
-            own = slot[bins]
-            inside = np.flatnonzero(own >= 0)
-            here, own, keys = at[inside], own[inside], code[inside]
-            pair = np.zeros(len(top), np.int64)
-            pair[own] = keys
-            hit = pair[own] == keys
-            here, own = here[hit], own[hit]
-            best = _most_frequent(np.bincount(own, minlength=len(top)), pairs, least)
-            chosen = pair[best] if len(best) else None
-        if chosen is None:  # few places, or no bin's own pair is frequent: all pairs, exactly
-            pair, own, times = np.unique(code, return_inverse=True, return_counts=True)
-            live[at[times[own] < least]] = False
-            here, best = at, _most_frequent(times, pairs, least)
-            if not len(best):
-                break
-            chosen = pair[best]
-        rank = np.full(len(pair), -1, np.int32)
-        rank[best] = np.arange(len(best))
-        rank = rank[own]
-        here, rank = here[rank >= 0], rank[rank >= 0]
+        ordered = np.sort(code)
+        heads = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        times = np.diff(heads)
+        often = np.flatnonzero(times >= least)
+        if not len(often):
+            break
+        often = often[np.argsort(-times[often], kind="stable")]
+        frequent = ordered[heads[often]]
+        chosen = frequent[:pairs]
+        # by bins: -1 for those without a frequent pair (places there are dropped); of the others some hold a chosen one, the
+        # most frequent if several share it, and the rest wait for another round
+        own, any_ = _bin(chosen), _bin(frequent)
+        slot[any_] = -2
+        slot[own[::-1]] = np.arange(len(chosen))[::-1]
+        first = slot[own] == np.arange(len(chosen))
+        rank = slot[_bin(code)]
+        slot[any_] = -1
+        live[at[rank == -1]] = False
+        hit = np.flatnonzero(rank >= 0)
+        hit = hit[chosen[rank[hit]] == code[hit]]
+        here, rank = at[hit], (np.cumsum(first) - 1)[rank[hit]]
+        chosen = chosen[first]
         # of places in a row every other one, from the left
         fresh = np.concatenate([[True], after[here[:-1]] != here[1:]])
         since = np.arange(len(here)) - np.maximum.accumulate(np.where(fresh, np.arange(len(here)), 0))
@@ -240,10 +230,8 @@ def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, pairs: int = PAI
     return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), symbols
 
 
-def _most_frequent(times: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Which of the counted pairs a round replaces, the most frequent first."""
-    best = np.argsort(-times, kind="stable")[:most]
-    return best[times[best] >= least]
+def _bin(code: np.ndarray) -> np.ndarray:
+    return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
 
 
 class Shard:
@@ -252,19 +240,22 @@ class Shard:
     def __init__(self, terminals: int, rules: np.ndarray, seq: np.ndarray, symbols: np.ndarray, lens: np.ndarray, ids: pa.Array):
         self.terminals, self.rules, self.seq, self.symbols, self.lens, self.ids = terminals, rules, seq, symbols, lens, ids
         self.expands = np.ones(terminals + len(rules), np.int64)
-        flat, at = [np.arange(terminals, dtype=np.uint32)], terminals
-        self.head = np.arange(terminals + len(rules), dtype=np.int64)
-        parts: list[np.ndarray] = []
-        of = lambda s: flat[0][s : s + 1] if s < terminals else parts[s - terminals]
         for r, (a, b) in enumerate(rules.tolist()):
+            self.expands[terminals + r] = self.expands[a] + self.expands[b]
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """What all symbols expand to, in a row, and where each one's ids start."""
+        parts: list[np.ndarray] = []
+        plain = np.arange(self.terminals, dtype=np.uint32)
+        of = lambda s: plain[s : s + 1] if s < self.terminals else parts[s - self.terminals]
+        for a, b in self.rules.tolist():
             parts.append(np.concatenate([of(a), of(b)]))
-            self.head[terminals + r] = at
-            self.expands[terminals + r] = len(parts[-1])
-            at += len(parts[-1])
-        self.flat = np.concatenate([*flat, *parts]).astype(np.uint32)
+        return np.concatenate([plain, *parts]).astype(np.uint32), np.cumsum(self.expands) - self.expands
 
     def decode(self, symbols: np.ndarray) -> np.ndarray:
-        return tb.pick(self.flat, self.head[symbols], self.expands[symbols])
+        flat, heads = self.table
+        return tb.pick(flat, heads[symbols], self.expands[symbols])
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard: only the symbols that cover them are expanded."""
