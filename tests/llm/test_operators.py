@@ -243,12 +243,25 @@ def test_remove_spans(spark, docs):
     assert {t for _, t in texts} >= {BASE, None, ""}  # clean ones as they were
 
 
+def test_suffix_automaton_is_small():
+    """Flat arrays, of which even all items of a block take little."""
+    import pickle
+
+    rng = random.Random(5)
+    items = [(str(i), [b"w%d" % rng.randrange(20_000) for _ in range(200)]) for i in range(300)]
+    n_bytes = sum(len(w) + 1 for _, ws in items for w in ws)
+    automaton = decontaminate.SuffixAutomaton(items, 10)
+    assert len(pickle.dumps(automaton)) < 16 * n_bytes
+    assert [(a, b, [automaton.names[i] for i in k]) for a, b, k in automaton.stream(items[7][1][:12])] == [(0, 10, ["7"]), (1, 11, ["7"]), (2, 12, ["7"])]
+
+
 def test_suffix_automaton_on_random_words():
     rng = random.Random(2)
     for _ in range(60):
         items = [(str(i), [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 9))]) for i in range(5)]
         words = [rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(60)]
-        got = {(a, b, frozenset(k)) for a, b, k in decontaminate.SuffixAutomaton(items, 4).stream(words)}
+        automaton = decontaminate.SuffixAutomaton(items, 4)
+        got = {(a, b, frozenset(automaton.names[i] for i in k)) for a, b, k in automaton.stream(words)}
         hits = collections.defaultdict(set)
         for key, w in items:
             k = min(4, len(w))
