@@ -154,6 +154,26 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A key that more than one in so many rows have is hot; there are fewer of them than this.
+HOT_SHARE = 4096
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row for each ``key``, which is binary and never null), null where there is none.
+
+    Rows of hot keys (fewer than ``HOT_SHARE`` keys) look them up in a broadcast table and go anywhere; all others meet by
+    hash, so no task gets all the rows of a key that many have.
+    """
+    many = left.count() // HOT_SHARE
+    hot = stored(left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > many).select(key))
+    values = F.struct(F.lit(True).alias("_"), *[F.col(c) for c in right.columns if c != key])
+    marked = left.join(F.broadcast(stored(right.join(F.broadcast(hot), key, "left_semi")).select(key, values.alias("_hot"))), key, "left")
+    anywhere = F.concat(F.lit(b"+"), F.monotonically_increasing_id().cast("string").cast("binary"))
+    marked = marked.withColumn("_meet", F.when(F.col("_hot").isNotNull(), anywhere).otherwise(F.col(key)))
+    joined = marked.join(right.select(F.col(key).alias("_meet"), values.alias("_cold")), "_meet", "left")
+    return joined.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in right.columns if c != key])
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of ``df``'s size, or the bytes of its texts where Catalyst knows none (rows from Python, joins):
     only to choose numbers of buckets, never what is computed."""

@@ -28,11 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, original_columns, other_columns, pieces, stored
+from orelode.llm.cluster import arrow_map, join_spread, original_columns, other_columns, pieces, stored
 
 BLOCK_BYTES = 2 << 20
-#: Tasks over which the copies of a text that is hit are spread, where hits come from several blocks.
-_SPREAD = 16
 
 
 class _Build:
@@ -286,10 +284,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], w
     for b in range(n_blocks):
         found = _texts_hit(texts, block(b), window)
         every = found if every is None else every.unionByName(found)
-    # a row a block at most for each text; each text's rows go where some of its copies are
-    by_text = every.groupBy("_md5").agg(*[F.collect_list(c).alias(c) for c in ("hit_words", "hit_bytes", "hit_items")]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))))
-    marked = source.withColumns({"_md5": md5, "_part": F.pmod(F.monotonically_increasing_id(), F.lit(_SPREAD)).cast("int")})
-    joined = marked.join(by_text, ["_md5", "_part"], "left").drop("_md5", "_part")
+    # a row a block at most for each text
+    by_text = every.groupBy("_md5").agg(*[F.collect_list(c).alias(c) for c in ("hit_words", "hit_bytes", "hit_items")])
+    joined = join_spread(source.withColumn("_md5", F.coalesce(md5, F.lit(b""))), by_text, "_md5").drop("_md5")
 
     def merge(batches):
         for batch in pieces(batches, "_body"):

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.cluster import arrow_map, shared_dir, stored
+from orelode.llm.cluster import HOT_SHARE, arrow_map, shared_dir, stored
 from orelode.llm.files import open_file, write_file
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -36,7 +36,6 @@ ZSTD_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 LEVEL = 3
-HOT_SHARE = 512
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 

@@ -7,12 +7,17 @@ in the same text or in any other, is repeated; every word in a repeated window i
 
 Most runs needn't travel: a window can only be repeated if its minimiser occurs in two runs (or twice in one, which the
 task itself sees). So minimisers are counted first, bucket by bucket; those that occur twice are put into a bit table of
-fixed size, and only runs that pass it are sent. A full table would cost time, never results. Equal texts and equal
-runs in a task travel once, with all their places, so hot copies are combined before the shuffle. Texts are known by
-their MD5, never by an id; the places found come back to the documents by a join on it.
+fixed size, and only runs that pass it are sent. A full table would cost time, never results.
+
+A run's string and its places go different ways. Of each string a task sends one copy, with how often it has seen it, and
+these are added up before the bucket is sorted, so a bucket holds each string once however many texts share it. The
+bucket says which words of which strings are repeated; places (string, first word, text) then meet those by the string's
+hash, and texts their spans; neither the places of a hot string nor the copies of a hot text gather in one task
+(``join_spread``). Copies of a text send a place once for each task, and those are made distinct by a key that spreads
+them. Texts are known by their MD5, never by an id.
 
 Cases: null and empty texts have no words; texts of fewer than ``k`` words have no window; a text that occurs twice
-loses all words if it has a window; null or repeated ids don't matter.
+loses all words if it has a window; null or repeated ids don't matter, nor do the docs' other columns.
 """
 
 from __future__ import annotations
@@ -27,13 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, original_columns, other_columns, pieces, stored
+from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, join_spread, original_columns, other_columns, pieces, stored
 
 WORDS, MINIMISER = 35, 8
 #: Bits in the table of minimisers that occur twice: 16 MB, whatever the input.
 TABLE_BITS = 27
 _FLUSH = 1 << 21
-_PLACE = np.dtype([("run", "<i4"), ("at", "<i4"), ("text", "S16")])
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -135,36 +139,27 @@ def _repeated_table(source: DataFrame, k: int, m: int) -> np.ndarray:
 
 
 def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) -> DataFrame:
-    """Runs that may hold a repeated window, packed by bucket: ``strings`` (slices of texts), their ``sizes``, and ``places``."""
-    sent = source.sparkSession.sparkContext.broadcast(table)
+    """Of runs that may hold a repeated window: rows of strings (``bucket``, ``run``: the string's hash, ``string``, ``n``: 1, or
+    2 for more) and rows of places (``run``, ``at``: the first word, ``text``; ``bucket`` null)."""
+    import xxhash
 
-    def emit(strings: list[bytes], found: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        back = np.concatenate(found["run"])
-        first = np.unique(back, return_index=True)[1]
-        minimiser, at = np.concatenate(found["minimiser"]), np.concatenate(found["at"])
-        text = np.concatenate(found["text"])
-        of_run = _bucket(minimiser[first], buckets)
-        order = np.argsort(of_run, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        places = np.zeros(len(back), _PLACE)
-        places["run"], places["at"], places["text"] = rank[back], at, text
-        places = np.unique(places)  # by run; equal texts' places once, but a run then counts twice
-        multiple = np.zeros(len(strings), np.uint8)
-        np.minimum(np.bincount(rank[back], minlength=len(strings)), 2, out=multiple, casting="unsafe")
-        for a, b in _ranges(of_run[order]):
-            own = [strings[i] for i in order[a:b].tolist()]
-            lo, hi = np.searchsorted(places["run"], [a, b])
-            mine = places[lo:hi].copy()
-            mine["run"] -= a
-            row = [[int(of_run[order[a]])], [b"".join(own)], [np.array([len(s) for s in own], np.int32).tobytes()], [multiple[a:b].tobytes()], [mine.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *[pa.array(x, pa.binary()) for x in row[1:]]], names=["bucket", "strings", "sizes", "counts", "places"])
+    sent = source.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         bits = sent.value
-        known: dict[bytes, int] = {}  # by the whole string: runs with equal ends may differ between them
-        found: dict[str, list] = {}
+        known: dict[bytes, list] = {}  # by hash: bucket, string, how often
         size = 0
+
+        def emit():
+            rows = [(b, h, s, min(n, 2)) for h, (b, s, n) in known.items()]
+            for a in range(0, len(rows), 2000):
+                bucket, name, string, n = zip(*rows[a : a + 2000], strict=True)
+                none = len(bucket)
+                yield _batch(pa.array(bucket, pa.int32()), pa.array(name, pa.binary()), pa.array(string, pa.binary()), pa.array(n, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()))
+
+        def _batch(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(list(columns), names=["bucket", "run", "string", "n", "at", "text"])
+
         for batch in pieces(batches, "_body"):
             w = tb.words(batch.column("_body").cast(pa.binary()), tb.PLAIN)
             r = Runs(w, k, m)
@@ -174,35 +169,27 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
                 continue
             start, n = r.start[keep], r.n[keep]
             data, md5 = w.raw.tobytes(), batch.column("_md5").to_pylist()
-            strings = [data[a:b] for a, b in zip(w.starts[start].tolist(), w.ends[start + n + k - 2].tolist(), strict=True)]
-            run_of = np.fromiter((known.setdefault(s, len(known)) for s in strings), np.int64, len(strings))
-            texts = np.array([md5[d] for d in r.doc[keep].tolist()], "S16")
-            for name, x in (("run", run_of), ("minimiser", r.minimiser[keep]), ("at", start - w.first[r.doc[keep]]), ("text", texts)):
-                found.setdefault(name, []).append(x)
-            size += sum(map(len, strings)) + 64 * len(strings)
+            bucket, texts, names = _bucket(r.minimiser[keep], buckets).tolist(), [md5[d] for d in r.doc[keep].tolist()], []
+            for b, x, y in zip(bucket, w.starts[start].tolist(), w.ends[start + n + k - 2].tolist(), strict=True):
+                string = data[x:y]
+                names.append(xxhash.xxh3_128_digest(string))
+                own = known.setdefault(names[-1], [b, string, 0])
+                own[2] += 1
+                size += (len(string) + 64) * (own[2] == 1)
+            at, none = (start - w.first[r.doc[keep]]).astype(np.int32), len(keep)
+            yield _batch(pa.nulls(none, pa.int32()), pa.array(names, pa.binary()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.array(at), pa.array(texts, pa.binary()))
             if size > 48 << 20:
-                yield from emit(list(known), found)
-                known, found, size = {}, {}, 0
-        if found:
-            yield from emit(list(known), found)
-
-    return arrow_map(source.select("_body", "_md5"), run, "bucket int, strings binary, sizes binary, counts binary, places binary")
-
-
-def _count_bucket(rows: list[dict], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """(text, word spans to remove) of a bucket's runs."""
-    sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows]).astype(np.int64)
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    strings = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(r["strings"] for r in rows))])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows]).astype(np.int64)
-    base, all_places = 0, []
-    for r in rows:
-        p = np.frombuffer(r["places"], _PLACE).copy()
-        p["run"] += base
-        base += len(r["sizes"]) // 4
-        all_places.append(p)
-    places = np.concatenate(all_places)
-    w = tb.words(strings, tb.PLAIN)
+                yield from emit()
+                known.clear()
+                size = 0
+        yield from emit()
+
+    return arrow_map(source.select("_body", "_md5"), run, "bucket int, run binary, string binary, n int, at int, text binary")
+
+
+def _count_bucket(names: list[bytes], strings: list[bytes], counts: list[int], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(run, word spans to remove, from its first word) of a bucket's strings that hold a repeated window."""
+    w = tb.words(pa.array(strings, pa.binary()), tb.PLAIN)
     h = w.hashes()
     own = np.flatnonzero(tb.inside_doc(w, k))
     run = w.doc[own]
@@ -211,47 +198,60 @@ def _count_bucket(rows: list[dict], k: int) -> Iterator[tuple[bytes, np.ndarray]
     new = np.ones(len(order), bool)
     new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
     group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=counts[run[order]])
+    total = np.bincount(group, weights=np.array(counts, np.int64)[run[order]])
     repeated = np.zeros(len(order), bool)
     repeated[order] = total[group] > 1
-    # spans of each run, from its first word: stretches of repeated windows
-    flags = np.zeros(len(w) + 1, bool)
-    flags[own[repeated]] = True
+    # stretches of repeated windows; no run ends within one of another
     edge = np.zeros(len(w) + 2, np.int8)
-    edge[1:-1] = flags[:-1]
+    edge[1 + own[repeated]] = 1
     change = np.diff(edge)
     begins, stops = np.flatnonzero(change == 1), np.flatnonzero(change == -1) + k - 1
     of = np.searchsorted(w.first, begins, "right") - 1
-    begins, stops = begins - w.first[of], stops - w.first[of]
-    n_spans = np.bincount(of, minlength=len(sizes))
-    head = np.concatenate([[0], np.cumsum(n_spans)])
-    places = places[n_spans[places["run"]] > 0]
-    if not len(places):
-        return
-    each = n_spans[places["run"]]
-    source = tb.pick(np.arange(len(begins)), head[places["run"]], each)
-    at = np.repeat(places["at"].astype(np.int64), each)
-    text = np.repeat(np.ascontiguousarray(places["text"]).view("V16"), each).tobytes()
-    pairs = np.stack([begins[source] + at, stops[source] + at], axis=1).astype(np.int32)
-    by_text = np.lexsort((pairs[:, 0], *np.frombuffer(text, "<u8").reshape(-1, 2).T))
-    keys = np.frombuffer(text, "<u8").reshape(-1, 2)[by_text]
-    cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield keys[a].tobytes(), np.unique(pairs[by_text[a:b]], axis=0)
+    spans = np.stack([begins - w.first[of], stops - w.first[of]], axis=1).astype(np.int32)
+    cuts = np.searchsorted(of, np.arange(len(names) + 1))
+    for i in np.unique(of).tolist():
+        yield names[i], spans[cuts[i] : cuts[i + 1]]
 
 
 def repeated_spans(source: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
     """``_md5`` of a text and ``spans``: the words to remove, as packed pairs (first, one past the last) of 32-bit integers."""
     table = _repeated_table(source, k, m)
     buckets = buckets_for(source, 1 << 20)
-
-    def fn(_, rows):
-        found = list(_count_bucket(rows, k))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["_md5", "spans"])
-
-    spans = by_bucket(_runs(source, table, k, m, buckets), fn, "_md5 binary, spans binary", buckets)
-    return stored(spans.groupBy("_md5").agg(F.collect_list("spans").alias("spans")))
+    found = stored(_runs(source, table, k, m, buckets))
+    strings = found.where("bucket is not null").select("bucket", "run", "string", "n")
+    tasks = max(2, min(buckets, max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16)))
+    # equal strings are in one bucket, so they are added up where they arrive
+    added = strings.repartition(tasks, "bucket").groupBy("bucket", "run").agg(F.min("string").alias("string"), F.sum("n").alias("n"))
+
+    def count(batches):
+        current, rows = None, []
+
+        def spans() -> Iterator[pa.RecordBatch]:
+            out = list(_count_bucket(*(list(c) for c in zip(*rows, strict=True)), k))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.binary()), pa.array([s.tobytes() for _, s in out], pa.binary())], names=["run", "spans"])
+
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "run", "string", "n")), strict=True):
+                if bucket != current and rows:
+                    yield from spans()
+                    rows = []
+                current = bucket
+                rows.append(row)
+        if rows:
+            yield from spans()
+
+    spans = stored(arrow_map(added.sortWithinPartitions("bucket"), count, "run binary, spans binary"))
+    places = found.where("bucket is null").select("run", "at", "text")
+    every = join_spread(places, spans, "run").where("spans is not null").select("text", "at", "spans").distinct()
+
+    def shift(batches):
+        for batch in batches:
+            at = np.array(batch.column("at").to_pylist(), np.int32)
+            out = [(np.frombuffer(s, np.int32) + a).tobytes() for s, a in zip(batch.column("spans").to_pylist(), at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(out, pa.binary())], names=["_md5", "spans"])
+
+    return stored(arrow_map(every, shift, "_md5 binary, spans binary").groupBy("_md5").agg(F.collect_list("spans").alias("spans")))
 
 
 def _removed(spans: list[bytes] | None, n: int) -> np.ndarray:
@@ -267,7 +267,7 @@ def _removed(spans: list[bytes] | None, n: int) -> np.ndarray:
 def dedup_digest(docs: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
     """The rows of query op8."""
     source = _texts(docs, ["doc_id"], "text")
-    joined = source.join(repeated_spans(source, k, m), "_md5", "left").select("doc_id", "_body", "spans")
+    joined = join_spread(source, repeated_spans(source, k, m), "_md5").select("doc_id", "_body", "spans")
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -293,7 +293,7 @@ def remove_repeats(docs: DataFrame, k: int = WORDS, m: int = MINIMISER, text: st
     packed = docs.select(other_columns(docs, text).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     body = F.coalesce("_text", F.lit(""))
     source = packed.withColumns({"_body": body, "_md5": F.unhex(F.md5(body.cast("binary")))})
-    joined = source.join(repeated_spans(source, k, m), "_md5", "left").select("_row", "_text", "spans")
+    joined = join_spread(source.select("_row", "_text", "_md5"), repeated_spans(source, k, m), "_md5").select("_row", "_text", "spans")
 
     def run(batches):
         for batch in pieces(batches, "_text"):
