@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from orelode.functions.textures import UNIT_KIND, UNIT_PLACE, UNIT_SIZE
+from orelode.functions.bch import UNIT_KIND, UNIT_PLACE, UNIT_SIZE, UNITS
 
 WIDTH = 128
 
@@ -82,6 +82,31 @@ def build_bch(w: int, h: int, px: bytes) -> bytes:
     return (b"BCH\0" + struct.pack("<IIIIIII", 0, 0, 0, 0x40, base, 0, 0)).ljust(0x40, b"\0") + commands + px
 
 
+def build_bch_list(textures: list[tuple[str, int, int, bytes]], unit: int = 0) -> bytes:
+    """A register file that lists textures (name, width, height and L8 pixels), set up in one of the three units."""
+    size, kind, place = UNITS[unit]
+    command = lambda register, value: struct.pack("<II", value, 0xF << 16 | register)
+    n = len(textures)
+    content, table = 0x40, 132
+    descriptors = table + 4 * n
+    strings = content + descriptors + 32 * n
+    names, pool = [], b"\0"
+    for name, *_ in textures:
+        names.append(len(pool))
+        pool += name.encode() + b"\0"
+    pool += bytes(-len(pool) % 8)
+    commands = strings + len(pool)
+    base = commands + 24 * n
+    blocks, pixels = b"", b""
+    for _, w, h, px in textures:
+        blocks += command(size, w << 16 | h) + command(place, len(pixels)) + command(kind, 7)
+        pixels += px
+    body = b"".join(struct.pack("<8I", *[x for u in range(3) for x in ((24 * i, 6) if u == unit else (0, 0))], 0, names[i]) for i in range(n))
+    head = b"BCH\0" + struct.pack("<7I", 0x2A01, content, strings, commands, base, 0, 0)
+    sections = bytes(36) + struct.pack("<III", table, n, 0) + bytes(84)
+    return head.ljust(content, b"\0") + sections + struct.pack(f"<{n}I", *[descriptors + 32 * i for i in range(n)]) + body + pool + blocks + pixels
+
+
 def build_gdb1(w: int, h: int, px: bytes) -> tuple[bytes, bytes]:
     values = [w, h, 0, 0, 0, 0, len(px)]
     return (b"GDB1").ljust(0x48, b"\0") + b"".join(bytes(12) + struct.pack("<I", v) for v in values), px

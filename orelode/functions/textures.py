@@ -6,11 +6,14 @@ A reader yields textures and may stop with ``Broken``; what it found before stay
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from orelode.functions.archives import Broken, View
+from orelode.functions.bch import read_bch
+from orelode.functions.capcom import read_capcom_tex
 from orelode.functions.lz import unpack_level5, unpack_lz
 from orelode.functions.pixels import BITS, NAMES, n_bytes
+from orelode.functions.texture_types import Texture, plain_code, sized
 
 # Which pixel format a header's code stands for.
 BFLIM_CODES = {0: "L8", 1: "A8", 2: "LA4", 3: "LA8", 4: "HILO8", 5: "RGB565", 6: "RGB8", 7: "RGBA5551", 8: "RGBA4", 9: "RGBA8", 10: "ETC1", 11: "ETC1A4", 12: "L4", 13: "A8", 18: "ETC1", 19: "ETC1A4"}
@@ -18,33 +21,6 @@ DMP_CODES = {0x6750: "RGBA8", 0x6751: "RGB8", 0x6752: "RGBA5551", 0x6753: "RGB56
 STEX_CODES = {0x6750: "RGBA8", 0x6751: "RGB8", 0x6752: "RGBA8", 0x6753: "RGB565", 0x6754: "RGB8", 0x6755: "LA8", 0x6756: "RGBA5551", 0x6757: "L8", 0x6758: "RGB565", 0x6759: "LA4", 0x675A: "ETC1", 0x675B: "ETC1A4"}
 JIMG_CODES = {0: "RGBA8", 1: "RGB8", 2: "RGBA5551", 3: "RGB565", 4: "RGBA4", 5: "LA8", 7: "L8", 8: "ETC1", 9: "LA4", 10: "L4", 11: "RGBA4", 12: "A8", 13: "ETC1A4", 14: "ETC1", 15: "ETC1", 16: "ETC1A4"}
 IMGC_CODES = {0: "RGBA8", 1: "RGB8", 2: "RGBA5551", 3: "RGB565", 4: "RGBA4", 5: "LA8", 7: "L8", 8: "A8", 9: "LA4", 10: "L4", 11: "A4", 12: "ETC1", 13: "ETC1A4"}
-CAPCOM_CODES = {0: "RGBA8", 1: "RGBA8", 2: "RGB8", 3: "RGB565", 4: "RGBA5551", 5: "RGBA4", 6: "LA8", 7: "L8", 8: "A8", 9: "LA4", 10: "L4", 11: "ETC1", 12: "ETC1A4", 13: "HILO8"}
-#: Registers of a texture unit's size, kind and place.
-UNIT_SIZE, UNIT_KIND, UNIT_PLACE = 0x82, 0x8E, 0x85
-
-
-@dataclass
-class Texture:
-    name: str
-    format: str
-    width: int
-    height: int
-    data: bytes
-    parser: str
-    confidence: str = "high"
-    mips: int = 1
-    crop: tuple[int, int] | None = None
-
-
-def plain_code(code: int) -> str:
-    if code >= len(NAMES):
-        raise Broken(f"format {code}")
-    return NAMES[code]
-
-
-def sized(width: int, height: int, most: int = 2048) -> bool:
-    return 0 < width <= most and 0 < height <= most
-
 
 def read_ctpk(data: bytes) -> Iterator[Texture]:
     v = View(data)
@@ -211,69 +187,14 @@ def read_gdb1(header: bytes, pixels: bytes) -> Iterator[Texture]:
     yield Texture("", name, width, height, pixels[start : start + size], "gdb1", "medium")
 
 
-def read_capcom_tex(data: bytes) -> Iterator[Texture]:
-    """The standard layout; data that falls short of three quarters is given with low confidence."""
-    v = View(data)
-    if data[:4] not in (b"TEX\0", b"\0XET"):
-        raise Broken("no TEX magic")
-    width, height, mips, code, start = v.ints(6, "HHBBI")
-    if not all(4 <= x <= 1024 and x % 4 == 0 for x in (width, height)):
-        raise Broken("size")
-    name = CAPCOM_CODES.get(code) or plain_code(code)
-    if not 0 < start < len(data):
-        start = 16
-    need = n_bytes(width, height, name)
-    good = len(data) - start >= need * 3 // 4
-    yield Texture("", name, width, height, data[start : start + need] if good else data[start:], "capcom_tex/standard_tex", "high" if good else "low", max(1, mips))
-
-
-def read_bch(data: bytes) -> Iterator[Texture]:
-    """Commands for the graphics unit: each write of a texture's size starts a block that tells the rest."""
-    v = View(data)
-    v.expect(0, b"BCH\0")
-    commands, base = v.ints(0x10, "II")
-    if not 0 < commands < len(data):
-        raise Broken("commands")
-    end = min(base if base > commands else commands + 0x20000, len(data))
-    at, seen = commands, set()
-    while at + 8 <= end:
-        _, head = v.ints(at, "II")
-        extra = head >> 20 & 0xFF
-        if head & 0xFFFF == UNIT_SIZE:
-            registers = _registers(v, at, min(at + 4 * (2 + extra) + 256, end))
-            found = registers.get(UNIT_SIZE, 0)
-            width, height, code, place = found >> 16 & 0x7FF, found & 0x7FF, registers.get(UNIT_KIND, 0) & 15, registers.get(UNIT_PLACE, 0)
-            if width >= 8 and height >= 8 and sized(width, height) and code < len(NAMES) and (key := (width, height, code, place)) not in seen:
-                seen.add(key)
-                need = n_bytes(width, height, NAMES[code])
-                start = next((s for s in (base + place, place) if s + need <= len(data)), None)
-                if start is not None:
-                    yield Texture(f"bch_tex_{len(seen) - 1:04d}", NAMES[code], width, height, data[start : start + need], "bch", "medium")
-        at += 8 + 4 * extra + 4 * (extra % 2)
-
-
-def _registers(v: View, at: int, end: int) -> dict[int, int]:
-    """What a run of commands leaves in the registers; a command is a value, a head and more values."""
-    out: dict[int, int] = {}
-    while at + 8 <= end:
-        value, head = v.ints(at, "II")
-        register, extra = head & 0xFFFF, head >> 20 & 0xFF
-        out[register] = value
-        more = v.ints(at + 8, f"{max(0, min(extra, (end - at - 8) // 4))}I")
-        if not head >> 31:
-            out.update({register + 1 + i: x for i, x in enumerate(more)})
-        at += 8 + 4 * len(more)
-        at += -at % 8
-    return out
-
-
 READERS = {"ctpk": read_ctpk, "cgfx": read_cgfx, "ctxb": read_ctxb, "cmb": read_cmb, "bflim": read_bflim, "stex": read_stex, "jimg": read_jimg, "shinen_tex": read_shinen, "imgc": read_imgc, "capcom_tex": read_capcom_tex, "bch": read_bch}
 
 
-def textures(kind: str, data: bytes) -> tuple[list[Texture], str | None]:
+def textures(kind: str, data: bytes, title_id: str | None = None) -> tuple[list[Texture], str | None]:
+    """All textures that can be read, and what stopped the reader, if anything did; some kinds differ by title."""
     out: list[Texture] = []
     try:
-        for t in READERS[kind](data):
+        for t in READERS[kind](data, title_id) if kind == "capcom_tex" else READERS[kind](data):
             out.append(replace(t, data=bytes(t.data)))
     except (ValueError, IndexError, OverflowError, TypeError) as e:
         return out, str(e)
