@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orelode import sinks
 from orelode.operators import classify as C
 from orelode.operators import names as N
-from orelode.operators.extract import decode_textures, numbered, unpack, with_flags
+from orelode.operators.extract import MAX_DEPTH, decode_textures, numbered, paired_textures, unpack, with_flags
 from orelode.sources import rom
 
 FLAGS = ("SUSPICIOUS_SOLID", "SUSPICIOUS_LOW_VARIANCE", "SUSPICIOUS_EXTREME", "SUSPICIOUS_DIMS")
@@ -19,13 +19,16 @@ STAGING = "This pack holds no hashes of a running program and can't replace text
 
 @dataclass
 class Options:
-    """``scan_all`` opens every file; ``mode`` is that of ``unpack``; ``output`` is a folder for images and reports."""
+    """``scan_all`` opens every file, and takes what nothing else fits for raw pixels; ``mode``, ``depth_limit`` and
+    ``only_known`` are those of ``unpack``; ``output`` is a folder for images and reports."""
 
     scan_all: bool = False
     mode: str = "levels"
     output: str | None = None
     raw: bool = False
     compat_unique_only: bool = False
+    depth_limit: int | None = MAX_DEPTH
+    only_known: bool = False
 
 
 def files(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -53,20 +56,39 @@ def extract(spark: SparkSession, path: str, options: Options | None = None) -> d
     every = files(spark, path)
     found = _judged(every.where("error is null and file_size >= 8"))
     opened = found.where(F.lit(o.scan_all) | (F.col("worth") & ~F.col("skipped")))
-    blobs = opened.select("rom_id", "file_idx", F.array().cast("array<int>").alias("seq"), F.col("path").alias("chain"), "payload")
-    rows = unpack(blobs, o.mode).persist()
+    columns = ("rom_id", "file_idx", F.array().cast("array<int>").alias("seq"), F.col("path").alias("chain"), "payload", "title_id", F.lit(o.scan_all).alias("scan_all"))
+    header = F.col("ext") == ".texturegdb"
+    rows = unpack(opened.where(~header).select(*columns), o.mode, o.depth_limit, o.only_known)
+    pixels = found.where(F.col("ext") == ".texturebin").select("rom_id", F.col("path").alias("chain"), "payload")
+    rows = rows.unionByName(paired_textures(opened.where(header).select(*columns), pixels)).persist()
     records = numbered(with_flags(decode_textures(rows))).persist()
     failures = rows.where("kind = 'failure'").select("rom_id", "chain", F.col("note").alias("reason")).unionByName(every.where("error is not null").select("rom_id", F.lit("").alias("chain"), F.col("error").alias("reason")))
     unknowns = rows.where("kind = 'unknown'").select("rom_id", "chain", F.col("note").alias("magic")).unionByName(found.where("skipped").select("rom_id", F.col("path").alias("chain"), F.lower(F.hex(F.substring("payload", 1, 4))).alias("magic")))
-    out = {"records": records, "failures": failures, "unknowns": unknowns, **report(records, o.compat_unique_only)}
+    tex = tex_report(opened, rows)
+    out = {"records": records, "failures": failures, "unknowns": unknowns, "tex": tex, **report(records, o.compat_unique_only)}
     if o.output:
         images = sinks.write_images(rows, records, o.output, o.raw)
         images.write.mode("overwrite").parquet(f"{o.output}/images")
-        for name in ("records", "failures", "unknowns", "summary", "quality", "formats"):
+        for name in ("records", "failures", "unknowns", "summary", "quality", "formats", "tex"):
             out[name].write.mode("overwrite").json(f"{o.output}/{name}")
+        sinks.write_reports(out, o.output)
     return out
 
 
+def tex_report(opened: DataFrame, rows: DataFrame) -> DataFrame:
+    """How each TEX file was read: ``parsed`` (high or medium confidence), ``partial`` (low) or ``failed``, with the layout."""
+    tex = opened.where((F.col("ext") == ".tex") | C.magic_is(F.substring("payload", 1, 4), b"TEX\0", b"\0XET")).select("rom_id", "file_idx", "path", "file_size")
+    read = rows.where("kind = 'texture' and size(seq) = 1 and parser like 'capcom_tex/%'").select("rom_id", "file_idx", "format", "width", "height", "parser", "confidence")
+    status = F.when(F.col("parser").isNull(), "failed").when(F.col("confidence") == "low", "partial").otherwise("parsed")
+    return tex.join(read, ["rom_id", "file_idx"], "left").withColumn("status", status)
+
+
+def tex_status_counts(tex: DataFrame) -> DataFrame:
+    """The counts of ``tex_report`` by image."""
+    count = lambda x: F.count_if(F.col("status") == x).alias(x)
+    return tex.groupBy("rom_id").agg(F.count("*").alias("total"), count("parsed"), count("partial"), count("failed"))
+
+
 def report(records: DataFrame, unique_only: bool = False) -> dict[str, DataFrame]:
     """Counts and quality of a manifest; with ``unique_only`` duplicates don't count towards the score."""
     counted = records.where("duplicate_of is null") if unique_only else records
@@ -94,13 +116,27 @@ def import_dump(records: DataFrame, dump_files: DataFrame) -> dict[str, DataFram
     return {"records": records.join(last, "id", "left"), "matched": hits, "unmatched": dumped.join(hits, "filename", "left_anti")}
 
 
+def dump_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """``filename`` of the PNG files of one folder (not of those in it)."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select("path")
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("filename"))
+
+
+def library(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of one folder by name, with their size in MB."""
+    found = spark.read.format("binaryFile").load(folder).select("path", "length")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return found.where(F.lower("path").rlike(r"\.(3ds|cia)$")).select(name.alias("name"), F.round(F.col("length") / (1 << 20), 1).alias("size_mb")).orderBy("name")
+
+
 def build_pack(records: DataFrame) -> dict[str, DataFrame]:
     """Where each texture goes in a pack: by its hash if it has one, else by a readable name."""
     has = "dump_hash" in records.columns
     hash_ = F.col("dump_hash") if has else F.lit(None).cast("string")
     source = F.regexp_extract("chain", "^[^>\\[]*", 0)
     name = F.coalesce(F.concat(hash_, F.lit(".png")), N.pack_name(source, F.col("id"), F.col("width"), F.col("height"), F.col("format")))
-    rows = records.select(F.coalesce(hash_, "id").alias("key"), "id", name.alias("file"), hash_.isNotNull().alias("mapped"), "width", "height", "format")
+    path = F.col("decoded_png_path") if "decoded_png_path" in records.columns else F.lit(None).cast("string")
+    rows = records.select(F.coalesce(hash_, "id").alias("key"), "id", path.alias("source"), name.alias("file"), hash_.isNotNull().alias("mapped"), "width", "height", "format")
     meta = rows.agg(F.count("*").alias("texture_count"), F.count_if("mapped").alias("mapped_count"), F.count_if(~F.col("mapped")).alias("unmapped_count"), F.countDistinct("file").alias("files_distinct"))
     meta = meta.withColumn("warning", F.when(F.col("unmapped_count") > 0, STAGING))
     return {"files": rows, "meta": meta, "mappings": rows.groupBy("key").agg(F.max_by(F.struct("id", "file", "width", "height", "format"), "id").alias("entry"))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.plans import blobs, headers, inference, manifest  # noqa: F401  they register their queries
+from orelode.plans import blobs, formats, headers, inference, manifest  # noqa: F401  they register their queries
 from orelode.plans.registry import ORACLES, QUERIES, Builder
 
 

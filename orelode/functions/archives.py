@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-from orelode.functions.lz import lz_header, unpack_lz
+from orelode.functions.lz import CRILAYLA_LIMIT, lz_header, unpack_crilayla, unpack_level5, unpack_lz
 
 Entry = tuple[str, bytes]
 MAX_ENTRIES = 100_000
@@ -291,8 +292,70 @@ def read_utf(data: bytes, at: int) -> list[dict[str, object]]:
     return out
 
 
+#: Kinds of models' and images' files that a packed stream may hold, and bytes that may follow it in a group; extensions of
+#: the members between which streams are looked for. Fixed values.
+CPK_KINDS = (b"CTPK", b"CGFX", b"BCH\0", b"SARC", b"darc")
+GROUP_HEADS = (256, 128, 512, 0, 1024, 2048)
+CPK_MODELS = ("ctpk", "bch", "bcres", "cgfx")
+#: Streams before a member that are tried, and those that end before it, at most.
+LOOK_BACK, LOOK_MISSES = 200, 8
+
+
+class PackedStreams:
+    """CRILAYLA streams of a CPK file: where they are, and what a member is that one of them holds."""
+
+    def __init__(self, data: bytes, start: int, end: int):
+        self.data, self.found = data, []
+        at = data.find(b"CRILAYLA", start, end)
+        while at >= 0:
+            if at + 16 <= len(data):
+                whole, packed = struct.unpack_from("<II", data, at + 8)
+                if whole and packed and whole < CRILAYLA_LIMIT:
+                    self.found.append((at, whole, packed))
+            at = data.find(b"CRILAYLA", at + 1, end)
+        self.places = [at for at, _, _ in self.found]
+        self.known: dict[int, bytes] = {}
+        self.tried: set[tuple[int, int]] = set()
+
+    def member(self, at: int, size: int) -> bytes | None:
+        """What the stream at ``at`` makes, for a member of ``size`` bytes: with the plain bytes behind it that are missing; or,
+        of a stream for several members, whatever length of them makes it a known kind of file."""
+        if self.data[at : at + 8] != b"CRILAYLA" or at + 16 > len(self.data):
+            return None
+        whole, packed = struct.unpack_from("<II", self.data, at + 8)
+        if whole <= size:
+            return unpack_crilayla(self.data[at : at + 16 + packed + size - whole])
+        for head in GROUP_HEADS:
+            if at + 16 + packed + head <= len(self.data):
+                out = unpack_crilayla(self.data[at : at + 16 + packed + head])
+                if out and out[:4] in CPK_KINDS:
+                    return out
+        return None
+
+    def before(self, at: int, size: int) -> bytes | None:
+        """The same for the nearest stream at or before a place that makes a known kind of file."""
+        last, misses = bisect_right(self.places, at) - 1, 0
+        for i in range(last, max(last - LOOK_BACK + 1, -1), -1):
+            place, whole, packed = self.found[i]
+            if whole > 8 * size and whole > 1 << 20:
+                continue
+            if place in self.known:
+                return self.known[place]
+            if (place, size) not in self.tried:
+                out = self.member(place, size)
+                if out and out[:4] in CPK_KINDS:
+                    self.known[place] = out
+                    return out
+                self.tried.add((place, size))
+            misses += place + 16 + packed < at
+            if misses > LOOK_MISSES:
+                break
+        return None
+
+
 def read_cpk(data: bytes, allowed: frozenset[str] | None = None) -> Iterator[Entry]:
-    """Members by the table of contents, without sounds, films and scripts; packed members are resolved by the caller."""
+    """Members by the table of contents, without sounds, films and scripts; packed ones are unpacked, also those that
+    share a stream with others or stand behind a plain head."""
     v = View(data)
     v.expect(0, b"CPK ")
     head = read_utf(data, 16)[0]
@@ -300,27 +363,89 @@ def read_cpk(data: bytes, allowed: frozenset[str] | None = None) -> Iterator[Ent
     if not toc:
         return
     base = int(head.get("ContentOffset") or 0) or toc
+    members = []
     for row in read_utf(data, toc + 16 if data[toc : toc + 4] == b"TOC " else toc):
         name = str(row.get("FileName") or "")
         extension = name.rpartition(".")[2].lower() if "." in name else ""
-        if not name or extension in CPK_SKIP or (allowed is not None and extension and extension not in allowed):
-            continue
         start, size = int(row.get("FileOffset") or 0), int(row.get("FileSize") or 0)
-        payload = v.cut(base + start, base + start + size) or v.cut(toc + start, toc + start + size)
+        members.append((f"{row['DirName']}/{name}" if row.get("DirName") else name, extension, start, size, int(row.get("ExtractSize") or 0) or size))
+    spans = [(base + start, base + start + size) for _, extension, start, size, _ in members if extension in CPK_MODELS]
+    streams = PackedStreams(data, min(spans)[0], min(len(data), max(b for _, b in spans) + (1 << 16))) if spans else PackedStreams(data, 0, 0)
+    for name, extension, start, size, whole in members:
+        if not name.rpartition("/")[2] or extension in CPK_SKIP or (allowed is not None and extension and extension not in allowed):
+            continue
+        at = base + start if v.cut(base + start, base + start + size) else toc + start
+        payload = v.cut(at, at + size)
         if payload:
-            yield (f"{row['DirName']}/{name}" if row.get("DirName") else name), payload
+            yield name, _cpk_member(streams, payload, at, whole)
+
+
+def _cpk_member(streams: PackedStreams, payload: bytes, at: int, whole: int) -> bytes:
+    if payload[:8] == b"CRILAYLA" and len(payload) >= 16:
+        return streams.member(at, whole) or payload
+    if whole <= len(payload):
+        return payload
+    inner = payload.find(b"CRILAYLA")
+    if inner > 0 and (made := streams.member(at + inner, whole)) is not None:
+        both = payload[:inner] + made
+        kinds = [both[i:] for i in (both.find(kind) for kind in CPK_KINDS) if 0 <= i < len(both) - 16]
+        payload = kinds[0] if kinds else made
+    return payload if payload[:4] in CPK_KINDS else streams.before(at, whole) or payload
+
+
+# archives without a table that can be read: their contents are found by what they start with
+
+#: Kinds that are looked for, where their own header says how long they are, and what may come on top.
+SCANNED = ((b"BCH\0", 0x14, 8 << 20, 512 << 10), (b"CGFX", 8, 0x100, 4 << 20), (b"CTPK", 8, 0x100, 4 << 20), (b"IMGC", 0x3C, 0x148, 512 << 10))
+LEAST_SCANNED = 64
+
+
+def _said_size(data: bytes, at: int, field: int, more: int, otherwise: int) -> int:
+    """How much of what stands at a place belongs to it: as its header says, if that is possible."""
+    left = len(data) - at
+    said = int.from_bytes(data[at + field : at + field + 4], "little") if left >= field + 4 else 0
+    return min(said + more if 0 < said < left else otherwise, left)
+
+
+def read_scanned(data: bytes) -> Iterator[Entry]:
+    """ARC0 and XFSA: files of known kinds in the data, and packed ones near the start of each XPCK part."""
+    v = View(data)
+    if data[:4] not in (b"ARC0", b"XFSA"):
+        raise Broken("no ARC0 or XFSA")
+    start = v.int(0x14)
+    start = start if 0 < start < len(data) else v.int(4)
+    for magic, field, more, otherwise in SCANNED:
+        at = data.find(magic, start)
+        while at >= 0:
+            size = _said_size(data, at, field, more, otherwise)
+            if size >= LEAST_SCANNED:
+                yield f"arc0@0x{at:X}[{magic.decode().strip(chr(0))}]", data[at : at + size]
+            at = data.find(magic, at + max(4, size))
+    at = data.find(b"XPCK", start)
+    while at >= 0:
+        after = data.find(b"XPCK", at + 4)
+        part = data[at : after if after >= 0 else len(data)]
+        for inner in range(16, min(len(part) - 4, 256), 4):
+            word = int.from_bytes(part[inner : inner + 4], "little")
+            if word & 7 == 1 and 256 < word >> 3 < 4 << 20:
+                made = unpack_level5(part[inner:])
+                if made and len(made) == word >> 3 and any(made.startswith(magic) for magic, *_ in SCANNED):
+                    yield f"arc0>xpck@0x{at:X}+0x{inner:X}[lz10][{made[:4].decode().strip(chr(0))}]", made
+        at = after
 
 
 def embedded(data: bytes) -> Iterator[Entry]:
-    """Textures' containers anywhere inside other data, in order of their places; each slice is at most 4 MiB."""
+    """Textures' containers anywhere inside other data, kind by kind in order of their places; a slice is at most 4 MiB, or as
+    long as the header of a register file says."""
     for magic, kind in ((b"CTPK", "ctpk"), (b"BCH\0", "bch"), (b"CGFX", "cgfx")):
         at = data.find(magic)
         while at >= 0:
-            yield f"{kind}@embedded+0x{at:X}", data[at : at + (4 << 20)]
+            size = _said_size(data, at, 0x14, 8 << 20, 512 << 10) if kind == "bch" else 4 << 20
+            yield f"{kind}@embedded+0x{at:X}", data[at : at + size]
             at = data.find(magic, at + 4)
 
 
-READERS = {"garc": read_garc, "sarc": read_sarc, "narc": read_narc, "darc": read_darc, "zar": read_zar, "gar": read_gar, "capcom_arc": read_capcom_arc, "fe_arc": read_fe_arc, "gfac": read_gfac, "l5_flat": read_offset_table, "cpk": read_cpk}
+READERS = {"garc": read_garc, "sarc": read_sarc, "narc": read_narc, "darc": read_darc, "zar": read_zar, "gar": read_gar, "capcom_arc": read_capcom_arc, "fe_arc": read_fe_arc, "gfac": read_gfac, "l5_flat": read_offset_table, "cpk": read_cpk, "arc0": read_scanned}
 
 
 def expand(kind: str, data: bytes) -> tuple[list[Entry], str | None]:
@@ -468,8 +593,10 @@ def pack_utf(name: str, columns: list[tuple[str, int]], rows: list[list[object]]
     return b"@UTF" + struct.pack(">I", len(whole)) + whole
 
 
-def pack_cpk(entries: list[Entry]) -> bytes:
-    toc_rows = [["dir", name, len(p), len(p), a] for (name, p), (a, _) in zip(entries, _laid([p for _, p in entries]), strict=True)]
+def pack_cpk(entries: list[Entry], whole: list[int] | None = None) -> bytes:
+    """``whole``: the members' sizes once they are unpacked, if they are packed."""
+    sizes = whole or [len(p) for _, p in entries]
+    toc_rows = [["dir", name, len(p), n, a] for (name, p), n, (a, _) in zip(entries, sizes, _laid([p for _, p in entries]), strict=True)]
     toc = b"TOC " + bytes(12) + pack_utf("CpkTocInfo", [("DirName", 10), ("FileName", 10), ("FileSize", 4), ("ExtractSize", 4), ("FileOffset", 6)], toc_rows)
     head = lambda t, c: pack_utf("CpkHeader", [("TocOffset", 6), ("ContentOffset", 6)], [[t, c]])
     start = 16 + len(head(0, 0))

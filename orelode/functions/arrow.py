@@ -1,4 +1,4 @@
-"""Byte kernels as Arrow maps: small batches, plain functions, this package on the executors."""
+"""Byte kernels as Arrow maps: batches of bounded bytes, plain functions, this package on the executors."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PACKAGE = Path(__file__).resolve().parents[1]
-#: Rows of a batch: cells may be megabytes.
-BATCH_ROWS = "64"
+#: Bytes of a batch, and rows that a kernel is given at a time: cells may be megabytes.
+BATCH_BYTES, CHUNK_ROWS = "1m", 64
 _shipped: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -31,18 +31,24 @@ def _ship(df: DataFrame) -> None:
         _shipped[sc] = True
 
 
+def arrow_kernel(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the executors; a session's own size of batches is left alone."""
+    _ship(df)
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def kernel(df: DataFrame, fn: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
     """``fn`` over the rows of a batch at a time; it yields tuples in the order of ``schema``."""
-    _ship(df)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     out = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out)
-        for batch in batches:
+        for batch in (b.slice(at, CHUNK_ROWS) for b in batches for at in range(0, b.num_rows, CHUNK_ROWS)):
             rows = list(fn(batch.to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return arrow_kernel(df, run, out)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from orelode.functions.archives import Broken, View
+from orelode.functions.archives import View
 from orelode.functions.pixels import BITS, NAMES, n_bytes
 from orelode.functions.texture_types import Texture, sized
 
@@ -124,7 +124,7 @@ def commanded(v: View) -> Iterator[tuple[int, Texture]]:
     """Textures that the commands set up in the first unit, each setting once."""
     commands, base = v.ints(0x10, "II")
     if not 0 < commands < len(v.data):
-        raise Broken("commands")
+        return
     end = min(base if base > commands else commands + 0x20000, len(v.data))
     at, seen, n = commands, set(), 0
     while at + 8 <= end:
@@ -157,7 +157,7 @@ def paired(v: View) -> Iterator[tuple[int, Texture]]:
     at = np.flatnonzero(power[:-1] & power[1:])
     at = at[4 * at + 16 <= size]
 
-    def near(steps: tuple[int, ...], rows: np.ndarray, good) -> tuple[np.ndarray, np.ndarray]:
+    def near(steps: tuple[int, ...], rows: np.ndarray, good) -> np.ndarray:
         """The first word in reach that is good, of each row (-1: none)."""
         value = np.full(len(rows), -1, np.int64)
         for step in steps:

@@ -7,9 +7,9 @@ from orelode.functions.lz import blz_footer, is_lz
 # Fixed values, in the order in which they are tried.
 MAGICS_FIRST = ((b"CRAG", "garc"), (b"SARC", "sarc"), (b"NARC", "narc"), (b"ZAR\x01", "zar"), (b"GAR", "gar"), (b"darc\xff\xfe", "darc"), (b"ARC\0", "capcom_arc"))
 MAGICS_NEXT = ((b"ctxb", "ctxb"), (b"CTPK", "ctpk"), (b"BCH\0", "bch"), (b"CGFX", "cgfx"))
-MAGICS_LAST = ((b"jIMG", "jimg"), (b"IMGC", "imgc"), (b"STEX", "stex"), (b"CPK ", "cpk"))
+MAGICS_LAST = ((b"jIMG", "jimg"), (b"IMGC", "imgc"), (b"STEX", "stex"), (b"CPK ", "cpk"), (b"ARC0", "arc0"), (b"XFSA", "arc0"))
 ZLIB_STARTS = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
-BY_EXTENSION = {"tex": "capcom_tex", "bch": "bch", "bcres": "bch", "bflim": "bflim", "ctpk": "ctpk", "arc": "sarc", "sarc": "sarc", "zar": "zar", "gar": "gar", "lzs": "gar", "ctxb": "ctxb", "cmb": "cmb", "stex": "stex"}
+BY_EXTENSION = {"tex": "capcom_tex", "bch": "bch", "bcres": "bch", "bflim": "bflim", "ctpk": "ctpk", "arc": "sarc", "sarc": "sarc", "zar": "zar", "gar": "gar", "lzs": "gar", "ctxb": "ctxb", "cmb": "cmb", "stex": "stex", "fa": "arc0"}
 
 
 def _first(data: bytes, table) -> str | None:

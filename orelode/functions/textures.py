@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+
 from orelode.functions.archives import Broken, View
 from orelode.functions.bch import read_bch
 from orelode.functions.capcom import read_capcom_tex
 from orelode.functions.lz import unpack_level5, unpack_lz
-from orelode.functions.pixels import BITS, NAMES, n_bytes
+from orelode.functions.pixels import BITS, NAMES, decode, n_bytes
 from orelode.functions.texture_types import Texture, plain_code, sized
 
 # Which pixel format a header's code stands for.
@@ -190,6 +192,42 @@ def read_gdb1(header: bytes, pixels: bytes) -> Iterator[Texture]:
 READERS = {"ctpk": read_ctpk, "cgfx": read_cgfx, "ctxb": read_ctxb, "cmb": read_cmb, "bflim": read_bflim, "stex": read_stex, "jimg": read_jimg, "shinen_tex": read_shinen, "imgc": read_imgc, "capcom_tex": read_capcom_tex, "bch": read_bch}
 
 
+#: Formats by the code of a sectioned model's texture: fixed values.
+SECTION_CODES = {3: "RGB8", 4: "RGBA8", 22: "RGBA5551", 35: "RGB565", 37: "ETC1A4", 40: "ETC1"}
+
+
+def sectioned(data: bytes) -> Iterator[Texture]:
+    """Textures among the sections of a model of a later version; none of anything else."""
+    v = View(data)
+    if data[:2] not in (b"PC", b"PT", b"MM") or len(data) < 16 or not 2 <= data[2] <= 30 or 8 + 4 * data[2] > len(data):
+        return
+    bounds = v.ints(4, f"{data[2] + 1}I")
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        if a + 0x80 > len(data) or not a + 0x80 < b <= len(data) or data[a + 8 : a + 32].split(b"\0", 1)[0] != b"texture" or b"\0" not in data[a + 8 : a + 32]:
+            continue
+        width, height, code = v.ints(a + 0x68, "HHH")
+        if sized(width, height) and code in SECTION_CODES:
+            name = data[a + 0x28 : a + 0x60]
+            yield Texture((name.split(b"\0", 1)[0].decode("ascii", "replace") if b"\0" in name else "") or f"tex_{i}", SECTION_CODES[code], width, height, data[a + 0x80 : b], "pokemon_pc_v5")
+
+
+#: Sides of images that raw pixels are taken for, and bytes by which their size may differ.
+RAW_SIDES, RAW_SLACK = tuple(1 << p for p in range(3, 11)), 256
+
+
+def guessed(data: bytes) -> Texture | None:
+    """Bytes without any header as the first format and size that fit and show more than noise-free colour."""
+    for name in NAMES:
+        for width in RAW_SIDES:
+            for height in RAW_SIDES:
+                need = n_bytes(width, height, name)
+                if abs(len(data) - need) <= RAW_SLACK:
+                    colours = decode(name, width, height, data[:need])[..., :3].reshape(-1, 3).astype(np.float32)
+                    if (colours.std(axis=0) > 5.0).any():
+                        return Texture(f"raw_{name}_{width}x{height}", name, width, height, data[:need], "raw_heuristic", "low")
+    return None
+
+
 def textures(kind: str, data: bytes, title_id: str | None = None) -> tuple[list[Texture], str | None]:
     """All textures that can be read, and what stopped the reader, if anything did; some kinds differ by title."""
     out: list[Texture] = []

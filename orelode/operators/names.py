@@ -110,3 +110,20 @@ def title_name(title_id: Column, product: Column) -> Column:
     code = reduce(lambda c, p: F.replace(c, F.lit(p), F.lit("")), ("CTR-P-", "CTR-N-"), product)
     by_product = F.when(F.coalesce(product, F.lit("")) != "", F.when(code != "", F.concat(F.lit("Game "), code)).otherwise(product))
     return F.coalesce(known, by_product, F.concat(F.lit("Game "), F.right(padded, F.lit(8))))
+
+
+def replacement_name(width: Column, height: Column, xxh64: Column, code: Column) -> Column:
+    """The name under which an emulator looks for a texture's replacement: size, hash of the stored bytes and format."""
+    return F.concat(F.lit("tex1_"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit("_"), F.upper(xxh64), F.lit("_"), code.cast("string"), F.lit(".png"))
+
+
+def output_folder(name: Column) -> Column:
+    """A title as a folder's name, without the signs that file systems don't take."""
+    clean = F.trim(F.regexp_replace(name, r'[<>:"/\\|?*]', ""))
+    return F.when(F.coalesce(clean, F.lit("")) == "", "output").otherwise(clean)
+
+
+def failing_kind(ext: Column, magic: Column) -> Column:
+    """What kind of files a title without textures mostly has, by their extension and first bytes."""
+    with_magic = lambda text: F.concat(F.lit(f"{text} (magic="), F.coalesce(magic, F.lit("?")), F.lit(")"))
+    return F.when(ext.isin("data", "dict"), "NLG .data/.dict").when(ext == "arc", "proprietary .arc").when(ext == "bin", with_magic(".bin")).when(ext.isin("cmp", "lz", "lzs"), "compressed (.cmp/.lz)").when(ext == "bntx", "Switch BNTX").when(ext.isin("dat", "no_ext"), with_magic(".dat/raw")).otherwise("unknown")

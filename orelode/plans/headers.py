@@ -84,10 +84,10 @@ def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             inner = BUILDERS["ctpk"](*image_of(r["data"]))
             blob = archives.pack_sarc([("tex/a.ctpk", inner), ("note.txt", b"none")])
             if r["doc_id"] % 4 == 0:
-                blob = archives.pack_garc([("x", lz.pack_zlib(blob)), ("y", BUILDERS["capcom_tex"](*image_of(r["data"][:512])))])
+                blob = archives.pack_garc([("x", lz.pack_zlib(blob)), ("y", BUILDERS["capcom_tex"](*image_of(r["data"])))])
             yield "rom", r["doc_id"], [], f"/data/{r['doc_id']}.bin", lz.pack_yaz0(blob) if r["doc_id"] % 2 else lz.pack_sized_gzip(blob)
 
-    return kernel(_texts(spark, sf_dir), run, "rom_id string, file_idx int, seq array<int>, chain string, payload binary")
+    return kernel(_texts(spark, sf_dir), run, "rom_id string, file_idx bigint, seq array<int>, chain string, payload binary")
 
 
 _NESTED = """select doc_id as file_idx, count(*) as textures, sum(is_ctpk)::bigint as ctpk from (

@@ -93,16 +93,6 @@ def asof_preceding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("click_id", F.last(click, ignorenulls=True).over(before)).where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
 
 
-@query("""with t as (select n_nationkey, n_name, n_regionkey * 3 as floor from nation), c as (select c_custkey, c_nationkey from customer)
-select n_name as pattern, count(c_custkey) as found, any_value(floor)::bigint as floor, count(c_custkey) >= any_value(floor) as passed from t left join c on c_nationkey = n_nationkey group by n_name""")
-def pattern_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts against floors: regression thresholds by name."""
-    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    t = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("pattern"), (F.col("n_regionkey") * 3).cast("bigint").alias("floor"))
-    out = t.join(counts, t["n_nationkey"] == counts["c_nationkey"], "left").withColumn("found", F.coalesce("n", F.lit(0)))
-    return out.select("pattern", "found", "floor", (F.col("found") >= F.col("floor")).alias("passed"))
-
-
 @query("""with s as (select distinct l_suppkey as off, 'bch/struct' as parser from lineitem where l_linenumber = 1), h as (select l_partkey % 5000 as off, min(l_orderkey) as k from lineitem where l_linenumber > 1 and l_quantity > 25 group by 1)
 select off, parser, null::bigint as first_order from s union all select off, 'bch' as parser, k from h where off not in (select off from s)""")
 def struct_heuristic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,14 +185,14 @@ def pack_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # packs and dumps
 
-_DUMPS = "dumps as (select s_suppkey as dump, (1::bigint << (3 + s_suppkey % 6)::bigint)::bigint as width, (1::bigint << (3 + (s_suppkey // 7) % 6)::bigint)::bigint as height, case s_suppkey % 3 when 0 then 'ETC1' when 1 then 'RGBA8' else 'L8' end as format, lower(md5(s_name))[:16] as hash from supplier)"
+_DUMPS = "dumps as (select s_suppkey as dump, (1::bigint << (3 + s_suppkey % 9)::bigint)::bigint as width, (1::bigint << (3 + (s_suppkey // 7) % 6)::bigint)::bigint as height, case s_suppkey % 3 when 0 then 'ETC1' when 1 then 'RGBA8' else 'L8' end as format, lower(md5(s_name))[:16] as hash from supplier)"
 
 
 def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    power = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (3 + c % 6).cast("int"))
+    power = lambda c, n: F.call_function("shiftleft", F.lit(1).cast("bigint"), (3 + c % n).cast("int"))
     fmt = F.when(F.col("s_suppkey") % 3 == 0, "ETC1").when(F.col("s_suppkey") % 3 == 1, "RGBA8").otherwise("L8")
-    return s.select(F.col("s_suppkey").alias("dump"), power(F.col("s_suppkey")).alias("width"), power(F.expr("s_suppkey div 7")).alias("height"), fmt.alias("format"), F.substring(F.md5(F.col("s_name").cast("binary")), 1, 16).alias("hash"))
+    return s.select(F.col("s_suppkey").alias("dump"), power(F.col("s_suppkey"), 9).alias("width"), power(F.expr("s_suppkey div 7"), 6).alias("height"), fmt.alias("format"), F.substring(F.md5(F.col("s_name").cast("binary")), 1, 16).alias("hash"))
 
 
 @query(f"""with {RECORDS}, {_DUMPS}, firsts as (select width, height, format, min(seq) as seq from records group by all),
@@ -233,10 +233,15 @@ def pack_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.coalesce("dump_hash", F.concat(F.lit("tex_"), F.col("seq").cast("string"))).alias("mapping_key"), F.col("dump_hash").isNotNull().alias("mapped"))
 
 
-@query(f"with {RECORDS} select format, count(*) as files, count(distinct brand || '_' || width || 'x' || height || '_' || format) as distinct_files, 0::bigint as mapped from records group by format")
+@query(f"""with {RECORDS}, {_DUMPS}, firsts as (select width, height, format, min(seq) as seq from records group by all),
+c as (select d.dump, f.seq, row_number() over (partition by d.dump order by contains(f.format, d.format) desc, f.seq) as n from dumps d join firsts f on d.width = f.width and d.height = f.height), hit as (select distinct seq from c where n = 1)
+select format, count(*) as files, count(distinct brand || '_' || width || 'x' || height || '_' || format) as distinct_files, count(hit.seq) as mapped, count(*) - count(hit.seq) as unmapped from records left join hit using (seq) group by format""")
 def pack_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir).withColumn("file", F.concat_ws("_", "brand", F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")), "format"))
-    return r.groupBy("format").agg(F.count("*").alias("files"), F.countDistinct("file").alias("distinct_files"), F.lit(0).cast("bigint").alias("mapped"))
+    """A pack's counters by format: files, names, and how many records a dump has given a hash."""
+    r = records(spark, sf_dir)
+    hit = match_dumps(dumps(spark, sf_dir), r).select("seq", F.lit(1).alias("hit")).distinct()
+    named = r.join(hit, "seq", "left").withColumn("file", F.concat_ws("_", "brand", F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")), "format"))
+    return named.groupBy("format").agg(F.count("*").alias("files"), F.countDistinct("file").alias("distinct_files"), F.count("hit").alias("mapped"), (F.count("*") - F.count("hit")).alias("unmapped"))
 
 
 @query("""with f as (select s_suppkey, case s_suppkey % 4 when 0 then 'tex1_' || (8 << (s_suppkey % 5)::int) || 'x64_' || upper(md5(s_name)[:16]) || '_ETC1_mip' || (s_suppkey % 3) || '.png' when 1 then '0x' || md5(s_name)[:8] || '_512x512.png' when 2 then md5(s_name) || '.png' else 'menu-' || s_suppkey || '.png' end as file from supplier),

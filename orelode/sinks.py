@@ -7,14 +7,16 @@ own writers; only the one-line summaries are put together on the driver.
 from __future__ import annotations
 
 import json
+import re
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions import pixels
-from orelode.functions.arrow import kernel
+from orelode.functions.arrow import arrow_kernel, kernel
 from orelode.functions.png import encode_png
 from orelode.operators import names as N
 
@@ -33,7 +35,8 @@ def _put(uri: str, data: bytes) -> None:
 
 
 def write_images(found: DataFrame, records: DataFrame, folder: str, raw: bool = False) -> DataFrame:
-    """PNG files (and ``.bin`` with ``raw``) of the records that aren't duplicates; returns ``id`` and ``decoded_png_path``."""
+    """PNG files (and ``.bin`` with ``raw``) of the records that aren't duplicates; returns ``rom_id``, ``id`` and
+    ``decoded_png_path`` (under a folder for each image)."""
     keep = records.where("duplicate_of is null").select("rom_id", "file_idx", "seq", "id", F.col("chain").alias("source"))
     named = found.where("kind = 'texture'").join(keep, ["rom_id", "file_idx", "seq"])
     index = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint")
@@ -41,7 +44,7 @@ def write_images(found: DataFrame, records: DataFrame, folder: str, raw: bool =
     code = F.array_position(F.array(*[F.lit(n) for n in pixels.NAMES]), F.col("format")) - 1
     file = N.output_name(index, F.col("name"), code, size(F.col("crop_width"), F.col("width")), size(F.col("crop_height"), F.col("height")))
     source = F.regexp_extract("source", "^[^>\\[]*", 0)
-    ready = named.select("id", N.output_path(source, file).alias("path"), "payload", "format", "width", "height", "crop_width", "crop_height")
+    ready = named.select("rom_id", "id", F.concat_ws("/", N.output_folder(F.col("rom_id")), N.output_path(source, file)).alias("path"), "payload", "format", "width", "height", "crop_width", "crop_height")
 
     def run(rows):
         for r in rows:
@@ -51,21 +54,113 @@ def write_images(found: DataFrame, records: DataFrame, folder: str, raw: bool =
             _put(f"{folder}/{r['path']}", encode_png(image))
             if raw:
                 _put(f"{folder}/{r['path'].rpartition('.')[0]}.bin", r["payload"])
-            yield r["id"], r["path"]
+            yield r["rom_id"], r["id"], r["path"]
 
-    return kernel(ready, run, "id string, decoded_png_path string")
+    return kernel(ready, run, "rom_id string, id string, decoded_png_path string")
 
 
-def manifest_json(records: DataFrame, meta: dict[str, str]) -> DataFrame:
-    """One line: the envelope and all records in the order of their ids; absent values are left out."""
-    rows = records.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in records.columns if c != "id"]))).alias("textures"), F.count("*").alias("texture_count"))
-    return rows.select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *[F.lit(v).alias(k) for k, v in meta.items()], "texture_count", "textures")).alias("value"))
+def manifest_lines(records: DataFrame) -> DataFrame:
+    """``rom_id``, ``id`` and ``line``: each record as JSON in which absent values are left out."""
+    return records.select("rom_id", "id", F.to_json(F.struct("id", *[c for c in records.columns if c not in ("id", "rom_id")])).alias("line"))
+
+
+def write_manifests(records: DataFrame, folder: str, titles: DataFrame | None = None) -> DataFrame:
+    """``manifest.json`` of each image under ``folder/<image>``: the envelope and all its records in the order of their ids;
+    returns ``rom_id`` and ``path``. A task writes one image's manifest as a stream, line by line."""
+    lines = manifest_lines(records)
+    head = lines.groupBy("rom_id").agg(F.count("*").alias("n"))
+    if titles is not None:
+        head = head.join(titles.select("rom_id", "title_id", "game"), "rom_id", "left")
+    head = head.select("rom_id", F.lit("").alias("id"), F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *[F.col(c) for c in head.columns if c not in ("rom_id", "n")], F.col("rom_id").alias("rom_file"), F.col("n").alias("texture_count"))).alias("line"))
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = head.unionByName(lines).repartition(tasks, "rom_id").sortWithinPartitions("rom_id", F.length("id"), "id")
+
+    def run(batches):
+        out, own, first = None, None, True
+
+        def close():
+            out.write(b"\n]}")
+            out.close()
+
+        for batch in batches:
+            for rom, key, line in zip(*(batch.column(c).to_pylist() for c in ("rom_id", "id", "line")), strict=True):
+                if not key:
+                    if out is not None:
+                        close()
+                    path = f"{folder}/{output_folder(rom)}/manifest.json"
+                    system, place = _locate(path)
+                    system.create_dir(place.rpartition("/")[0], recursive=True)
+                    out, own, first = system.open_output_stream(place, compression=None), rom, True
+                    out.write(line[:-1].encode() + b', "textures": [\n')
+                    yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([path])], names=["rom_id", "path"])
+                else:
+                    out.write((b"" if first else b",\n") + line.encode())
+                    first = False
+        if out is not None:
+            close()
+
+    return arrow_kernel(ordered, run, "rom_id string, path string")
+
+
+def read_manifests(spark, folder: str) -> DataFrame:
+    """Records of all manifests under a folder; a folder without one is an error."""
+    found = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").json(folder)
+    return found.select(F.col("rom_file").alias("rom_id"), F.explode("textures").alias("t")).select("rom_id", "t.*")
+
+
+def output_folder(name: str | None) -> str:
+    """``names.output_folder`` of one value."""
+    return re.sub(r'[<>:"/\\|?*]', "", name or "").strip() or "output"
 
 
 def write_json(path: str, value: object) -> None:
     _put(path, json.dumps(value, indent=2, ensure_ascii=False).encode())
 
 
+def quality_text(row: dict) -> str:
+    """A quality report as text: a line for each number."""
+    return "\n".join(["Quality report", "=" * 14, *[f"{k}: {v}" for k, v in row.items()]]) + "\n"
+
+
+def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
+    """The reports of one line an image as files of their own, and the manifests; images' names are folders."""
+    write_manifests(tables["records"], folder).write.mode("overwrite").parquet(f"{folder}/manifests")
+    for name in ("summary", "quality"):
+        for r in tables[name].toLocalIterator():  # a line for each image
+            row = r.asDict(recursive=True)
+            base = f"{folder}/{output_folder(row['rom_id'])}/{name}"
+            write_json(f"{base}.json", row)
+            if name == "quality":
+                _put(f"{base}.txt", quality_text(row).encode())
+
+
+def write_pack(pack: dict[str, DataFrame], images: str, folder: str) -> DataFrame:
+    """Copies a pack's images (``source`` under ``images``) to their names in ``folder``, each by the task that has its row, and
+    writes ``pack.json``; returns ``file`` and ``copied``."""
+
+    def run(rows):
+        for r in rows:
+            try:
+                system, place = _locate(f"{images}/{r['source']}")
+                with system.open_input_file(place) as f:
+                    _put(f"{folder}/{r['file']}", f.read())
+                yield r["file"], True
+            except FileNotFoundError:
+                yield r["file"], False
+
+    write_json(f"{folder}/pack.json", pack["meta"].first().asDict())
+    return kernel(pack["files"].where("source is not null").select("file", "source").dropDuplicates(["file"]), run, "file string, copied boolean")
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Writes ``df`` over the JSON table at ``path`` that it may have been read from: beside it first, then in its place."""
+    system, place = _locate(path)
+    fresh = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").json(fresh)
+    system.delete_dir(place)
+    system.move(_locate(fresh)[1], place)
+
+
 def contact_sheet(images: list, columns: int = 10, cell: int = 64):
     """A raster of thumbnails (nearest pixels), row by row; images are arrays of RGBA."""
     import numpy as np

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +23,16 @@ UNIT = 0x200
 NONE = 0xFFFFFFFF
 #: Sizes of the signature by its kind, as written and byte-swapped: fixed values.
 SIGNATURES = {0x010003: 0x23C, 0x010004: 0x13C, 0x010005: 0x7C, 0x03000100: 0x23C, 0x04000100: 0x13C, 0x03000300: 0x23C}
-SCHEMA = "rom_id string, title_id string, product_code string, container string, file_idx int, path string, ext string, file_offset bigint, file_size bigint, payload binary, error string"
+SCHEMA = "rom_id string, title_id string, product_code string, container string, file_idx bigint, path string, ext string, file_offset bigint, file_size bigint, payload binary, error string"
 BUNDLE_BYTES = 64 << 20
 
 
+#: The index of a paired file starts so; sizes of packed resources that are read, and how far a stream may stand behind their start.
+LS_MAGIC, LS_LEAST, LS_MOST, LS_SEARCH = b"of\x01\0", 100, 50 << 20, 512
+ZLIB_STARTS = (b"\x78\x9c", b"\x78\xda", b"\x78\x01", b"\x78\x5e")
+RESOURCE_KINDS = (b"BCH\0", b"CGFX", b"CTPK")
+
+
 class Encrypted(Broken):
     """The content can't be read without keys."""
 
@@ -216,6 +223,40 @@ def build_cia(ncch: bytes) -> bytes:
     return bytes(out + bytes(-len(out) % 64)) + ncch
 
 
+# one file that holds all resources, and another one that says where
+
+
+def ls_rows(index: bytes) -> list[tuple[int, int, int]]:
+    """(hash of the name, place, packed size) of the resources in an ``ls`` file; none if it isn't one."""
+    if index[:4] != LS_MAGIC or len(index) < 8:
+        return []
+    count = int.from_bytes(index[4:8], "little")
+    return list(struct.iter_unpack("<III", index[8 : 8 + (len(index) - 8) // 12 * 12]))[:count] if 0 < count <= 100_000 else []
+
+
+def inflate_resource(packed: bytes) -> bytes | None:
+    """A resource, unpacked: its zlib stream stands somewhere in its first bytes, behind padding."""
+    for at in range(min(LS_SEARCH, len(packed) - 1)):
+        if packed[at : at + 2] in ZLIB_STARTS:
+            try:
+                return zlib.decompress(packed[at:])
+            except zlib.error:
+                pass
+    return None
+
+
+def paired_resources(source: Source, files: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Resources of a ``dt`` file by its ``ls`` file, as files of their own (their path tells that they are packed)."""
+    top = {path.lower().lstrip("/"): (at, n) for path, at, n in files}
+    if "ls" not in top or "dt" not in top:
+        return []
+    start, end = top["dt"][0], sum(top["dt"])
+    return [(f"{RESOURCE}{name:08X}.bch", start + at, n) for name, at, n in ls_rows(source.read(*top["ls"])) if LS_LEAST <= n <= LS_MOST and start + at + n <= end]
+
+
+RESOURCE = "dt_smash_"
+
+
 # the data source
 
 
@@ -247,6 +288,7 @@ class RomReader(DataSourceReader):
             source = Source(path)
             try:
                 image = open_image(source, path)
+                resources = paired_resources(source, image.files)
             except Broken as e:
                 out.append(Bundle(path, None, [], str(e)))
                 continue
@@ -254,7 +296,7 @@ class RomReader(DataSourceReader):
                 source.close()
             head = Image(image.title_id, image.product_code, image.container, [])
             bundle, size = [], 0
-            for i, (name, at, n) in enumerate(image.files):
+            for i, (name, at, n) in enumerate([*image.files, *resources]):
                 bundle.append((i, name, at, n))
                 size += n
                 if size >= BUNDLE_BYTES:
@@ -273,6 +315,11 @@ class RomReader(DataSourceReader):
         source = Source(part.path)
         for i, path, at, n in part.files:
             extension = path.rpartition(".")[2].lower() if "." in path else ""
+            if path.startswith(RESOURCE):
+                data = inflate_resource(source.read(at, n))
+                if data and data[:4] in RESOURCE_KINDS:
+                    yield name, part.image.title_id, part.image.product_code, part.image.container, i, path, f".{extension}", at, len(data), data if self.payload else None, None
+                continue
             yield name, part.image.title_id, part.image.product_code, part.image.container, i, path, f".{extension}" if extension else "", at, n, source.read(at, n) if self.payload else None, None
         source.close()
 

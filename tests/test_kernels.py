@@ -175,3 +175,25 @@ def test_metrics():
 def test_png_has_its_chunks():
     data = png.encode_png(np.zeros((3, 5, 4), np.uint8))
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (5, 3) and data.endswith(b"IEND\xaeB`\x82")
+
+
+def test_streams_of_packed_members():
+    """The nearest stream before a member counts, if it makes a known kind of file; others are tried a bounded number of times."""
+    whole = [b"CTPK" + bytes([i]) * 600 for i in range(3)]
+    packed = [lz.pack_crilayla(w) for w in whole]
+    data = b"".join(p + b"pad!" * 8 for p in packed) + lz.pack_crilayla(b"none" + bytes(600)) + bytes(64)
+    streams = archives.PackedStreams(data, 0, len(data))
+    assert len(streams.found) == 4 and streams.before(len(data) - 10, 604) == whole[2]
+    assert streams.before(len(packed[0]) + 8, 604) == whole[0] and streams.member(0, 300) == whole[0]
+    assert streams.member(5, 300) is None and archives.PackedStreams(data, 0, 0).before(99, 604) is None
+
+
+@pytest.mark.parametrize("name", ["lz10", "lz11", "yaz0", "blz", "crilayla"])
+def test_copies_before_the_start_and_short_streams(name):
+    """Copies from before the start are zeros; a stream may end inside a step; what follows the last byte doesn't matter."""
+    form = {"lz10": lz.LZ10, "lz11": lz.LZ11, "yaz0": lz.YAZ0, "blz": lz.BLZ, "crilayla": lz.CRILAYLA}[name]
+    flags = 0x40 if form.turn == 0 else 0xBF  # a literal, a copy, literals
+    code = {"lz10": b"\x20\x04", "lz11": b"\x40\x04", "yaz0": b"\x30\x04", "blz": b"\x20\x02", "crilayla": b"\x10\x04"}[name]
+    out = lz.expand(bytes([flags]) + b"a" + code + b"bcdefg", 0, 100, form)
+    assert out == b"a" + bytes(4) + b"a" + b"bcdefg"[: len(out) - 6] and lz.expand(bytes([flags]) + b"a" + code[:1], 0, 100, form) == b"a"
+    assert lz.expand(bytes([flags]) + b"a" + code + b"bcdefg", 0, 3, form) == b"a\0\0" and lz.expand(b"", 0, 3, form) == b""
