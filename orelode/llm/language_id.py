@@ -131,10 +131,16 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     """Machines fitted to a bounded sample of the rows that ``where`` admits."""
     body = F.col(f"`{text}`").cast("string")
     rows = docs.where(where & F.col(f"`{lang}`").isNotNull() & body.isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), body.alias("_body"), F.xxhash64(body).alias("_hash"))
-    # the hash up to which a language's texts are taken; only hashes are dealt out for that, first in 64 parts
-    hashes = rows.select("_lang", "_hash", F.pmod("_hash", F.lit(64)).alias("_part")).distinct()
-    for group in (["_lang", "_part"], ["_lang"]):
-        hashes = hashes.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))).where(F.col("_n") <= per_language).drop("_n")
+    # the hash up to which a language's texts are taken: hashes fall evenly, so about twice as many as are wanted lie below a
+    # bound that follows from how many there are, and only those are put in order (of a small language all)
+    hashes = rows.select("_lang", "_hash")
+    counts = hashes.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("n")).collect()  # a line for each language
+    bound = {r._lang: min(2**63 - 1, int(-(2**63) + 2**64 * 2 * per_language / max(1, r.n))) for r in counts}
+    if not bound:
+        return None
+    upto = F.create_map(*[F.lit(x) for pair in sorted(bound.items()) for x in pair])
+    hashes = hashes.where(F.col("_hash") <= F.try_element_at(upto, F.col("_lang"))).distinct()
+    hashes = hashes.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))).where(F.col("_n") <= per_language).drop("_n")
     cut = {r._lang: r.cut for r in hashes.groupBy("_lang").agg(F.max("_hash").alias("cut")).collect()}  # a line for each language
     if not cut:
         return None

@@ -134,6 +134,7 @@ def test_jaccard_large_classes(spark):
 def test_jaccard_lists_of_several_components(spark, monkeypatch):
     """With an order that knows nothing, long lists hold many components, and the second round has to find links."""
     monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "PART", 7)  # so that lists have several parts
     rng = random.Random(8)
     shared = prose(90, rng)
     rows = [(i, " ".join([*shared.split()[:80], *prose(6, random.Random(i // 3)).split(), *(prose(1, random.Random(i)).split())])) for i in range(45)]
@@ -141,6 +142,22 @@ def test_jaccard_lists_of_several_components(spark, monkeypatch):
     assert table(jaccard_join.component_digest(df)) == brute_components(rows, 3, 90, 100)
 
 
+def test_jaccard_pairs_across(spark, monkeypatch):
+    """Of a list all pairs of different roots that sizes and positions allow, once or more, and no others."""
+    monkeypatch.setattr(jaccard_join, "PART", 5)
+    rng = random.Random(19)
+    rows = [(rng.randrange(3), g, bytes([g % 250, g // 250]), rng.choice([9, 10, 11, 12, 50, 55, 100, 101, 1000]), rng.randrange(3), bytes([rng.randrange(4)])) for g in range(260)]
+    df = spark.createDataFrame(rows, "list bigint, group bigint, set binary, size int, at int, root binary")
+    for num in (80, 90):
+        want = set()
+        for x, a in enumerate(rows):
+            for b in rows[x + 1 :]:
+                small, large = sorted((a[3], b[3]))
+                if a[0] == b[0] and a[5] != b[5] and 100 * small >= num * large and min(a[3] - a[4], b[3] - b[4]) >= -(-num * (a[3] + b[3]) // (num + 100)):
+                    want.add((a[1], b[1], a[2], b[2]))
+        assert {(r.g, r.h, bytes(r.a), bytes(r.b)) for r in jaccard_join._across(df, num, 100).collect()} == want
+
+
 def test_keep_one(docs, rows):
     kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
     want = brute_components(rows, 5, 80, 100)
