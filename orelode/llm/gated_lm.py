@@ -38,16 +38,18 @@ from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, pieces, store
 
 HIDDEN, CLASSES, MODEL_WORDS = 16, 64, 8192
 COUNT_WORDS = 1 << 20
-WINDOW, LANES, SCORE_LANES = 32, 256, 1024
+WINDOW, LANES, SCORE_LANES = 32, 256, 256
 ROUNDS, RATE, MEMORY = 4, 0.08, 1.0
 WARM_TOKENS, SHARD_TOKENS, MOST_TOKENS, COPIES = 1 << 20, 2 << 20, 256 << 20, 4096
 #: Tokens that a task lays out in lanes at once.
 TRAIN_TOKENS, SCORE_TOKENS = 4 << 20, 4 << 20
 _FLUSH = 1 << 21
+#: Words whose softmax is worked out together; a window of few lanes is longer for that, up to so many times.
+_WORDS_AT_ONCE, _LONGER = 8192, 4
 END = np.uint64(0x0E2D0E2D0E2D0E2D)
 _BLOCKS = 128
-#: Least logarithm, below the largest, that softmax sees: smaller ones would only make denormal numbers, which are slow.
-_FLOOR = np.float32(-20)
+#: The largest input of a softmax: sums of larger ones would leave a 32-bit float.
+_FAR = np.float32(60)
 _COUNT = np.dtype([("word", "<u8"), ("n", "<i8")])
 _RARE = np.dtype([("word", "<u8"), ("row", "<i8"), ("n", "<i4")])
 _SUM = np.dtype([("row", "<i8"), ("log", "<f8"), ("known", "<i8")])
@@ -193,6 +195,11 @@ def vocabulary(counted: DataFrame, count_words: int = COUNT_WORDS, model_words:
     return Vocabulary(head["word"].copy(), head["n"].copy(), symbols, int(total), int(distinct), counts, starts, int(symbols[np.flatnonzero(head["word"] == END)[0]]))
 
 
+def _exp(x: np.ndarray) -> None:
+    np.minimum(x, _FAR, out=x)
+    np.exp(x, out=x)
+
+
 class Model:
     """Parameters in one vector, with named views."""
 
@@ -211,6 +218,7 @@ class Model:
         self.word_bias[:] = weight
         self.cls_bias[:] = np.logaddexp.reduceat(weight, v.classes[:-1])
         self.cls_bias -= self.cls_bias.max()
+        self.word_bias -= np.repeat(np.maximum.reduceat(weight, v.classes[:-1]), np.diff(v.classes))
 
     def _views(self) -> None:
         at = 0
@@ -254,16 +262,20 @@ class Model:
 
     def log_probs(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of the symbols ``y``."""
-        logits = states @ self.cls + self.cls_bias
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(y)), self.class_of[y]] - top - np.log(np.exp(np.maximum(logits - top[:, None], _FLOOR)).sum(axis=1))
+        logits = states @ self.cls
+        logits += self.cls_bias
+        out = np.minimum(logits[np.arange(len(y)), self.class_of[y]], _FAR)
+        _exp(logits)
+        total = logits @ np.ones(logits.shape[1], np.float32)
         for c, at in self.by_class(y):
             a, b = int(self.starts[c]), int(self.starts[c + 1])
             if b - a > 1:
-                own = states[at] @ self.word[a:b].T + self.word_bias[a:b]
-                top = own.max(axis=1)
-                out[at] += own[np.arange(len(at)), y[at] - a] - top - np.log(np.exp(np.maximum(own - top[:, None], _FLOOR)).sum(axis=1))
-        return out
+                own = states[at] @ self.word[a:b].T
+                own += self.word_bias[a:b]
+                out[at] += np.minimum(own[np.arange(len(at)), y[at] - a], _FAR)
+                _exp(own)
+                total[at] *= own @ np.ones(b - a, np.float32)
+        return out - np.log(total.astype(np.float64))
 
 
 class Trainer:
@@ -290,10 +302,10 @@ class Trainer:
         if not len(at):
             return states[-1]
         flat, target = states.reshape(-1, k)[at], y.ravel()[at]
-        logits = flat @ m.cls + m.cls_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(np.maximum(logits, _FLOOR, out=logits), out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits = flat @ m.cls
+        logits += m.cls_bias
+        _exp(logits)
+        logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
         logits[np.arange(len(at)), m.class_of[target]] -= 1
         up = logits @ m.cls.T
         d_cls, d_bias = flat.T @ logits, logits.sum(axis=0)
@@ -301,10 +313,10 @@ class Trainer:
             a, b = int(m.starts[c]), int(m.starts[c + 1])
             if b - a > 1:
                 s = flat[own]
-                p = s @ m.word[a:b].T + m.word_bias[a:b]
-                p -= p.max(axis=1, keepdims=True)
-                np.exp(np.maximum(p, _FLOOR, out=p), out=p)
-                p /= p.sum(axis=1, keepdims=True)
+                p = s @ m.word[a:b].T
+                p += m.word_bias[a:b]
+                _exp(p)
+                p *= (1 / (p @ np.ones(b - a, np.float32)))[:, None]
                 p[np.arange(len(own)), target[own] - a] -= 1
                 up[own] += p @ m.word[a:b]
                 self._step("word", p.T @ s, slice(a, b))
@@ -372,10 +384,13 @@ def layout(symbols: np.ndarray, first: np.ndarray, most: int, end: int) -> tuple
 def train_documents(trainer: Trainer, symbols: np.ndarray, first: np.ndarray, end: int) -> None:
     x, y, keep, doc = layout(symbols, first, LANES, end)
     h = np.zeros((x.shape[1], trainer.model.hidden), np.float32)
-    for t in range(0, len(x), WINDOW):
-        n = int((doc[t] >= 0).sum())  # lanes that haven't ended
-        own = np.s_[t : t + WINDOW, :n]
+    t = 0
+    while t < len(x):
+        n = max(1, int((doc[t] >= 0).sum()))  # lanes that haven't ended
+        steps = WINDOW * min(_LONGER, max(1, _WORDS_AT_ONCE // (WINDOW * n)))
+        own = np.s_[t : t + steps, :n]
         h = trainer.window(x[own], y[own], keep[own], doc[own] >= 0, h[:n])
+        t += steps
 
 
 def score_documents(model: Model, symbols: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -383,14 +398,20 @@ def score_documents(model: Model, symbols: np.ndarray, first: np.ndarray, end: i
     x, y, keep, doc = layout(symbols, first, SCORE_LANES, end)
     out = np.zeros(len(first) - 1)
     h = np.zeros((x.shape[1], model.hidden), np.float32)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for t in range(0, len(x), WINDOW):
         n = int((doc[t] >= 0).sum())
         own = np.s_[t : t + WINDOW, :n]
         states, _ = model.steps(x[own], keep[own], h[:n])
         h = states[-1]
         at = np.flatnonzero(doc[own].ravel() >= 0)
-        if len(at):
-            out += np.bincount(doc[own].ravel()[at], weights=model.log_probs(states.reshape(-1, model.hidden)[at], y[own].ravel()[at]), minlength=len(out))
+        held.append((states.reshape(-1, model.hidden)[at], y[own].ravel()[at], doc[own].ravel()[at]))
+        size += len(at)
+        if size >= _WORDS_AT_ONCE or t + WINDOW >= len(x):
+            states_, targets, docs = (np.concatenate(c) for c in zip(*held, strict=True))
+            out += np.bincount(docs, weights=model.log_probs(states_, targets), minlength=len(out))
+            held, size = [], 0
     return out
 
 

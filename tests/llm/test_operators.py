@@ -195,6 +195,50 @@ def test_fertility(docs, rows):
     assert fertility.quality_digest(empty(docs)).count() == 0
 
 
+RUNNING = {
+    "latin": "Language is a system that people use to talk with one another. Every country has its own history, and the texts that were written there show how its inhabitants lived, what they believed and how they worked. The books of the library are open to all visitors every day except on Sundays, and may be taken home for two weeks at a time.",
+    "greek": "Η γλώσσα είναι ένα σύστημα που χρησιμοποιούν οι άνθρωποι για να επικοινωνούν μεταξύ τους. Κάθε χώρα έχει τη δική της ιστορία, και τα κείμενα που γράφονται σε αυτή δείχνουν πώς ζούσαν, τι πίστευαν και με ποιον τρόπο δούλευαν όσοι κατοικούσαν εκεί. Τα βιβλία της βιβλιοθήκης είναι ανοιχτά για όλους τους επισκέπτες κάθε μέρα εκτός από την Κυριακή.",
+    "cyrillic": "Язык представляет собой систему, которой люди пользуются для общения друг с другом. У каждой страны есть своя история, и тексты, написанные в ней, показывают, как жили, во что верили и чем занимались те, кто там обитал. Книги в библиотеке открыты для всех посетителей каждый день, кроме воскресенья, и взять их домой можно на две недели.",
+    "cjk": "语言 是 人们 用来 互相 交流 的 系统。 每个 国家 都有 自己 的 历史， 那里 写下 的 文字 说明 当时 的 人 怎样 生活、 相信 什么 以及 如何 工作。 图书馆 的 书 每天 向 所有 来访者 开放， 星期日 除外， 可以 借 回家 两个 星期。 城市 里 还有 许多 小 书店 和 安静 的 咖啡馆。",
+    "other": "اللغة نظام يستخدمه الناس للتواصل فيما بينهم. لكل بلد تاريخه الخاص، والنصوص التي كتبت فيه تبين كيف عاش سكانه وماذا كانوا يعتقدون وكيف كانوا يعملون. كتب المكتبة مفتوحة لجميع الزوار كل يوم ما عدا يوم الأحد ويمكن استعارتها إلى البيت لمدة أسبوعين كاملين.",
+}
+
+
+def test_fertility_verdicts(spark, rows):
+    """The rule again in plain Python, on all kinds of texts; running text of each script stays, soup and pasted codes go."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=cluster.tokenizer_file("piece_bpe_32k.model"))
+    soup = {"hex": " ".join(f"{i * 7919 * 104729 * 65537 % 2**64:016x}" for i in range(1, 60)), "signs": " ".join("{}[]~^`@"[i % 7 :] for i in range(90)), "loop": "the same five words again " * 60}
+    texts = [t or "" for _, t in rows] + list(RUNNING.values()) + list(soup.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in fertility.quality_digest(df).collect()}
+    scripts = [("latin", 0x41, 0x250), ("greek", 0x370, 0x400), ("cyrillic", 0x400, 0x530), ("cjk", 0x3000, 0xD7FF)]
+
+    def verdict(t, r):
+        ids = lib.encode(t)
+        if r.base_failed or not ids:
+            return False
+        c = collections.Counter(ids)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in c.values())
+        low, high, share, relief = fertility.BANDS[r.script]
+        points = fertility.LEAST_ENTROPY
+        least = points[-1][1]
+        for (a, x), (b, y) in zip(points, points[1:]):
+            if a <= len(ids) < b:
+                least = x + (math.log2(len(ids)) - math.log2(a)) * (y - x) / (math.log2(b) - math.log2(a))
+        return low <= len(t) / len(ids) <= high and sum(map(lib.is_byte, ids)) / len(ids) <= share and entropy >= least - relief
+
+    for i, t in enumerate(texts):
+        assert found[i].kept == verdict(t, found[i]), t[:40]
+        letters = [next((s for s, a, b in scripts if a <= ord(c) < b), None) for c in t if c.isalpha() and ord(c) < 0x530]
+        if letters and len(set(letters)) == 1:
+            assert found[i].script == letters[0]
+    at = len(rows)
+    assert [(found[at + i].script, found[at + i].kept) for i in range(len(RUNNING))] == [(s, True) for s in RUNNING]
+    assert not any(found[at + len(RUNNING) + i].kept for i in range(len(soup)))
+
+
 def test_fertility_of_tokens():
     import sentencepiece
 
@@ -595,6 +639,46 @@ def test_language_id(spark):
     assert kept.columns == df.columns and {1000, 1001, 1002}.isdisjoint({r.doc_id for r in kept.collect()}) and kept.count() >= len(rows)
 
 
+def test_presence_kernel_and_ridge():
+    """Presence rows against sets of n-grams, the kernel against their intersections, and the machines against a dense solve."""
+    texts = ["Abc abd", "", "xyz 12", "Äbc", "abc abd abc", "the quick brown fox jumps", "der schnelle braune fuchs springt", "lazy dogs sleep all day", "faule hunde schlafen den ganzen tag"]
+    x = language_id.presence(pa.array(texts))
+
+    def places(t):
+        b = bytearray(t.encode())
+        for i in range(1, len(b)):
+            if b[i - 1] == 0xC3 and 0x80 <= b[i] <= 0x9E and b[i] != 0x97:
+                b[i] += 0x20
+        b = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 97 <= c <= 122 else 32 for c in b)
+        out = set()
+        for n in (1, 2, 3):
+            for i in range(len(b) - n + 1):
+                code = int.from_bytes(b[i : i + n], "big") + (n << 28)
+                out.add((code * 2654435761 % 2**32) >> (32 - language_id.DIMENSIONS.bit_length() + 1))
+        return out
+
+    sets = [places(t) for t in texts]
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == sets
+    k = language_id._kernel(x, x)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert k[i, j] == pytest.approx(len(a & b) / math.sqrt(max(1, len(a)) * max(1, len(b))), abs=1e-6)
+    # with every row a landmark the machines are ridge regression on K^(1/2)
+    own = x[5:]
+    labels = ["en", "de", "en", "de"]
+    m = language_id.fit(np.packbits(own.astype(bool), axis=1), labels, landmarks=4, ridge=1e-2)
+    order = [1, 3, 0, 2]  # landmarks stand by language
+    kk = language_id._kernel(own, own).astype(np.float64)
+    y = np.array([[1.0 if lab == lang else -1.0 for lang in ("de", "en")] for lab in labels]) / 2  # each language's rows weigh one together
+    values, vectors = np.linalg.eigh(kk[np.ix_(order, order)])
+    z = kk[:, order] @ (vectors / np.sqrt(values))
+    want = z @ np.linalg.solve(z.T @ z / 2 + 1e-2 * np.eye(4), z.T @ y)
+    assert m.languages == ["de", "en"] and m.scores(own) == pytest.approx(want, abs=1e-4)
+    # of equal scores the alphabetically first language
+    m.weights[:] = 0
+    assert m.scores(own).argmax(axis=1).tolist() == [0] * 4
+
+
 def test_texts_like_no_language_go(spark):
     """Other scripts, other languages and gibberish of any length go; clean texts stay, short, mixed and unlabelled ones too."""
     rng = random.Random(16)

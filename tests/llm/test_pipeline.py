@@ -41,3 +41,67 @@ def test_run_on_nothing(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("false").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_against_plain_versions(spark, sf_dir):
+    """Each stage on the rows that the one before kept, against a version in plain Python."""
+    import re
+
+    import sentencepiece
+
+    from orelode.llm.cluster import tokenizer_file
+    from tests.llm.test_operators import ITEMS, WORD, brute_components, low
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stored(stages["identify_language"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir))
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    # of each component of 5-word shingles at 0.8 the smallest id
+    docs = stored(stages["join_near_duplicates"](spark, docs, sf_dir))
+    roots = {key: root for key, _, root in brute_components(rows, 5, 80, 100)}
+    rows = [(k, t) for k, t in rows if roots[k] == k]
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == rows
+    # words of windows of 35 that start anywhere else too go, with the white space after them
+    docs = stored(stages["cut_repeats"](spark, docs, sf_dir))
+    words = {k: WORD.findall(t) for k, t in rows}
+    seen = {}
+    for k, w in words.items():
+        for i in range(len(w) - 34):
+            seen.setdefault(tuple(w[i : i + 35]), []).append((k, i))
+    gone = {k: set() for k in words}
+    for places in seen.values():
+        for k, i in places if len(places) > 1 else ():
+            gone[k].update(range(i, i + 35))
+    kept = []
+    for k, t in rows:
+        spans = [m.span() for m in WORD.finditer(t)]
+        if gone[k] and len(gone[k]) == len(spans):
+            continue
+        starts = [a for a, _ in spans] + [len(t)]
+        kept.append((k, t[: starts[0]] + "".join(t[starts[i] : starts[i + 1]] for i in range(len(spans)) if i not in gone[k]) if gone[k] else t))
+    rows = kept
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == rows and any(gone.values())
+    # spans of benchmark windows go; documents that are mostly such spans too
+    docs = stored(stages["cut_benchmark"](spark, docs, sf_dir))
+    alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for key, t in ITEMS:
+        w = alnum.findall(low(t or "")) if key in (0, 1) else []
+        k = min(10, len(w))
+        windows |= {tuple(w[i : i + k]) for i in range(len(w) - k + 1 if w else 0)}
+    kept = []
+    for k, t in rows:
+        found = list(alnum.finditer(low(t)))
+        w = [m[0] for m in found]
+        hit = {j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n)}
+        if 2 * len(hit) > len(w):
+            continue
+        out, at = "", 0
+        for i in sorted(hit):
+            out += t[at : found[i].start()] if i - 1 not in hit else ""
+            at = found[i].end()
+        kept.append((k, out + t[at:]))
+    rows = kept
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == rows
+    # ids of the library
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    assert sorted((r.doc_id, list(r.ids)) for r in stages["encode_pieces"](spark, docs, sf_dir).collect()) == [(k, lib.encode(t)) for k, t in rows]
