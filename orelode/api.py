@@ -37,13 +37,15 @@ def files(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def _judged(found: DataFrame) -> DataFrame:
-    head, tail, size = F.substring("payload", 1, 48), F.substring("payload", -48, 48), F.octet_length("payload").cast("bigint")
-    return found.withColumn("fingerprint", C.fingerprint(F.col("path"), head, tail, size)).withColumn("worth", C.worth_opening(F.col("path"), head, tail)).withColumn("skipped", C.magic_is(head, *C.SKIP_MAGICS))
+    """What files are by their names, first and last bytes, and whether they are worth opening."""
+    head, tail, size = F.col("head"), F.col("tail"), F.col("file_size")
+    kind = C.fingerprint(F.col("path"), head, tail, size).alias("fingerprint")
+    return found.select(*[c for c in found.columns if c not in ("head", "tail")], kind, C.worth_opening(F.col("path"), head, tail).alias("worth"), C.magic_is(head, *C.SKIP_MAGICS).alias("skipped"), F.substring("head", 1, 4).alias("magic"))
 
 
 def scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """What images hold: files, extensions and types of contents, most frequent first."""
-    found = _judged(files(spark, path).where("error is null"))
+    found = _judged(files(spark, path, payload=False).where("error is null"))
     ext = found.groupBy("rom_id", "ext").agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes")).orderBy(F.desc("n"), "ext")
     kinds = found.where("worth").groupBy("rom_id", F.col("fingerprint.detected_type").alias("detected_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "detected_type")
     title = found.select("rom_id", "title_id", "product_code").distinct().withColumn("game", N.title_name(F.col("title_id"), F.col("product_code")))
@@ -53,17 +55,18 @@ def scan(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def extract(spark: SparkSession, path: str, options: Options | None = None) -> dict[str, DataFrame]:
     """Records, failures, unknown files and reports of all images under ``path``."""
     o = options or Options()
-    every = files(spark, path)
+    every = files(spark, path, payload=False)
     found = _judged(every.where("error is null and file_size >= 8"))
-    opened = found.where(F.lit(o.scan_all) | (F.col("worth") & ~F.col("skipped")))
+    # only files that are opened, and those that others need, are read as a whole
+    opened = rom.read_payloads(found.where(F.lit(o.scan_all) | (F.col("worth") & ~F.col("skipped"))).drop("fingerprint"))
     columns = ("rom_id", "file_idx", F.array().cast("array<int>").alias("seq"), F.col("path").alias("chain"), "payload", "title_id", F.lit(o.scan_all).alias("scan_all"))
     header = F.col("ext") == ".texturegdb"
     rows = unpack(opened.where(~header).select(*columns), o.mode, o.depth_limit, o.only_known)
-    pixels = found.where(F.col("ext") == ".texturebin").select("rom_id", F.col("path").alias("chain"), "payload")
+    pixels = rom.read_payloads(found.where(F.col("ext") == ".texturebin").drop("fingerprint")).select("rom_id", F.col("path").alias("chain"), "payload")
     rows = rows.unionByName(paired_textures(opened.where(header).select(*columns), pixels)).persist()
     records = numbered(with_flags(decode_textures(rows))).persist()
     failures = rows.where("kind = 'failure'").select("rom_id", "chain", F.col("note").alias("reason")).unionByName(every.where("error is not null").select("rom_id", F.lit("").alias("chain"), F.col("error").alias("reason")))
-    unknowns = rows.where("kind = 'unknown'").select("rom_id", "chain", F.col("note").alias("magic")).unionByName(found.where("skipped").select("rom_id", F.col("path").alias("chain"), F.lower(F.hex(F.substring("payload", 1, 4))).alias("magic")))
+    unknowns = rows.where("kind = 'unknown'").select("rom_id", "chain", F.col("note").alias("magic")).unionByName(found.where("skipped").select("rom_id", F.col("path").alias("chain"), F.lower(F.hex("magic")).alias("magic")))
     tex = tex_report(opened, rows)
     out = {"records": records, "failures": failures, "unknowns": unknowns, "tex": tex, **report(records, o.compat_unique_only)}
     if o.output:
@@ -77,7 +80,7 @@ def extract(spark: SparkSession, path: str, options: Options | None = None) -> d
 
 def tex_report(opened: DataFrame, rows: DataFrame) -> DataFrame:
     """How each TEX file was read: ``parsed`` (high or medium confidence), ``partial`` (low) or ``failed``, with the layout."""
-    tex = opened.where((F.col("ext") == ".tex") | C.magic_is(F.substring("payload", 1, 4), b"TEX\0", b"\0XET")).select("rom_id", "file_idx", "path", "file_size")
+    tex = opened.where((F.col("ext") == ".tex") | C.magic_is(F.col("magic"), b"TEX\0", b"\0XET")).select("rom_id", "file_idx", "path", "file_size")
     read = rows.where("kind = 'texture' and size(seq) = 1 and parser like 'capcom_tex/%'").select("rom_id", "file_idx", "format", "width", "height", "parser", "confidence")
     status = F.when(F.col("parser").isNull(), "failed").when(F.col("confidence") == "low", "partial").otherwise("parsed")
     return tex.join(read, ["rom_id", "file_idx"], "left").withColumn("status", status)

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +17,13 @@ from orelode.functions import pixels
 from orelode.functions.arrow import arrow_kernel, kernel
 from orelode.functions.png import encode_png
 from orelode.operators import names as N
+from orelode.sources.files import locate
 
 SCHEMA_VERSION = 2
 
 
-def _locate(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
-
-
 def _put(uri: str, data: bytes) -> None:
-    system, path = _locate(uri)
+    system, path = locate(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(path, compression=None) as out:
         out.write(data)
@@ -88,7 +83,7 @@ def write_manifests(records: DataFrame, folder: str, titles: DataFrame | None =
                     if out is not None:
                         close()
                     path = f"{folder}/{output_folder(rom)}/manifest.json"
-                    system, place = _locate(path)
+                    system, place = locate(path)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     out, own, first = system.open_output_stream(place, compression=None), rom, True
                     out.write(line[:-1].encode() + b', "textures": [\n')
@@ -141,7 +136,7 @@ def write_pack(pack: dict[str, DataFrame], images: str, folder: str) -> DataFram
     def run(rows):
         for r in rows:
             try:
-                system, place = _locate(f"{images}/{r['source']}")
+                system, place = locate(f"{images}/{r['source']}")
                 with system.open_input_file(place) as f:
                     _put(f"{folder}/{r['file']}", f.read())
                 yield r["file"], True
@@ -154,11 +149,11 @@ def write_pack(pack: dict[str, DataFrame], images: str, folder: str) -> DataFram
 
 def swap_table(df: DataFrame, path: str) -> None:
     """Writes ``df`` over the JSON table at ``path`` that it may have been read from: beside it first, then in its place."""
-    system, place = _locate(path)
+    system, place = locate(path)
     fresh = f"{path.rstrip('/')}.new"
     df.write.mode("overwrite").json(fresh)
     system.delete_dir(place)
-    system.move(_locate(fresh)[1], place)
+    system.move(locate(fresh)[1], place)
 
 
 def contact_sheet(images: list, columns: int = 10, cell: int = 64):

@@ -1,30 +1,36 @@
-"""Cartridge images as tables: a Python data source that walks the headers on the driver and reads files by range.
+"""Cartridge images as tables: a Python data source that walks the headers and reads files by range.
 
 ``spark.read.format("rom").load(path)`` gives a row for each file of the innermost file system, with its place in the
-image and (unless the option ``payload`` is "false") its bytes. Headers alone are read to plan; each partition then
-seeks to its own files, so no image is ever in memory as a whole. Encrypted content gives one row with ``error`` set.
+image, its first and last ``PEEK`` bytes and (unless the option ``payload`` is "false") all of them; ``read_payloads`` reads
+those of chosen rows later. Images may be on any store that ``pyarrow.fs`` opens. The headers of few images are walked to
+plan, and each partition then seeks to its own files; many images are a partition each, walked by its task. No image is
+ever in memory as a whole. Encrypted content gives one row with ``error`` set.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from orelode.functions.archives import Broken
+from orelode.functions.arrow import kernel
+from orelode.sources.files import listed, locate
 
 UNIT = 0x200
 NONE = 0xFFFFFFFF
 #: Sizes of the signature by its kind, as written and byte-swapped: fixed values.
 SIGNATURES = {0x010003: 0x23C, 0x010004: 0x13C, 0x010005: 0x7C, 0x03000100: 0x23C, 0x04000100: 0x13C, 0x03000300: 0x23C}
-SCHEMA = "rom_id string, title_id string, product_code string, container string, file_idx bigint, path string, ext string, file_offset bigint, file_size bigint, payload binary, error string"
+SCHEMA = "rom_id string, title_id string, product_code string, container string, file_idx bigint, path string, ext string, file_offset bigint, file_size bigint, image string, head binary, tail binary, payload binary, error string"
 BUNDLE_BYTES = 64 << 20
+#: First and last bytes of each file that are always read, and images of which the headers are walked before the tasks start.
+PEEK, WALKED_FIRST = 48, 64
 
 
 #: The index of a paired file starts so; sizes of packed resources that are read, and how far a stream may stand behind their start.
@@ -41,15 +47,15 @@ class Source:
     """Reads at absolute places, from a file or from bytes."""
 
     def __init__(self, data: bytes | str):
-        self.file = None if isinstance(data, bytes) else open(data, "rb")  # noqa: SIM115
-        self.data = data if isinstance(data, bytes) else b""
-        self.size = len(data) if isinstance(data, bytes) else os.path.getsize(data)
+        if isinstance(data, bytes):
+            self.file = pa.BufferReader(data)
+        else:
+            system, path = locate(data)
+            self.file = system.open_input_file(path)
+        self.size = self.file.size()
 
     def read(self, at: int, n: int) -> bytes:
-        if self.file is None:
-            return self.data[at : at + n]
-        self.file.seek(at)
-        return self.file.read(n)
+        return self.file.read_at(max(0, min(n, self.size - at)), at) if 0 <= at < self.size else b""
 
     def ints(self, at: int, layout: str) -> tuple[int, ...]:
         raw = self.read(at, struct.calcsize("<" + layout))
@@ -59,8 +65,7 @@ class Source:
             raise Broken(f"data ends at {at}") from e
 
     def close(self) -> None:
-        if self.file:
-            self.file.close()
+        self.file.close()
 
 
 @dataclass
@@ -262,68 +267,98 @@ RESOURCE = "dt_smash_"
 
 @dataclass
 class Bundle(InputPartition):
-    """Files of one image that a task reads."""
+    """Files of one image that a task reads (None: all of them, once the task has walked its headers)."""
 
     path: str
     image: Image | None
-    files: list[tuple[int, str, int, int]]
+    files: list[tuple[int, str, int, int]] | None
     error: str | None = None
 
 
+def _walked(path: str) -> tuple[Image | None, list[tuple[int, str, int, int]], str | None]:
+    """An image's head, all its files, and why there are none."""
+    source = Source(path)
+    try:
+        image = open_image(source, path)
+        files = [*image.files, *paired_resources(source, image.files)]
+    except Broken as e:
+        return None, [], str(e)
+    finally:
+        source.close()
+    return Image(image.title_id, image.product_code, image.container, []), [(i, *f) for i, f in enumerate(files)], None
+
+
+def payload_of(source: Source, path: str, at: int, n: int) -> bytes | None:
+    """A file's bytes; of a packed resource what is in it, None if that isn't of a kind that counts."""
+    data = source.read(at, n)
+    if not path.startswith(RESOURCE):
+        return data
+    data = inflate_resource(data)
+    return data if data and data[:4] in RESOURCE_KINDS else None
+
+
 class RomReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = options.get("path", "").split(",")
         self.payload = options.get("payload", "true").lower() != "false"
 
-    def _images(self) -> list[str]:
-        out = []
-        for p in self.paths:
-            p = p.removeprefix("file://").removeprefix("file:")
-            out += sorted(os.path.join(p, x) for x in os.listdir(p) if x.lower().endswith((".3ds", ".cia", ".cxi", ".app", ".ncch"))) if os.path.isdir(p) else [p]
-        return out
-
     def partitions(self) -> list[Bundle]:
+        paths = [x for p in self.paths for x in listed(p, (".3ds", ".cia", ".cxi", ".app", ".ncch"))]
+        if len(paths) > WALKED_FIRST:
+            return [Bundle(p, None, None) for p in paths]
         out = []
-        for path in self._images():
-            source = Source(path)
-            try:
-                image = open_image(source, path)
-                resources = paired_resources(source, image.files)
-            except Broken as e:
-                out.append(Bundle(path, None, [], str(e)))
-                continue
-            finally:
-                source.close()
-            head = Image(image.title_id, image.product_code, image.container, [])
+        for path in paths:
+            head, files, error = _walked(path)
             bundle, size = [], 0
-            for i, (name, at, n) in enumerate([*image.files, *resources]):
-                bundle.append((i, name, at, n))
-                size += n
+            for f in files:
+                bundle.append(f)
+                size += f[3]
                 if size >= BUNDLE_BYTES:
                     out.append(Bundle(path, head, bundle))
                     bundle, size = [], 0
-            if bundle:
-                out.append(Bundle(path, head, bundle))
+            if bundle or error:
+                out.append(Bundle(path, head, bundle, error))
         return out or [Bundle("", None, [])]
 
     def read(self, part: Bundle) -> Iterator[tuple]:
-        name = os.path.basename(part.path)
-        if part.error:
-            yield name, None, None, None, None, None, None, None, None, None, part.error
-        if not part.files:
+        name, image, files, error = part.path.rpartition("/")[2], part.image, part.files, part.error
+        if files is None:
+            image, files, error = _walked(part.path)
+        if error:
+            yield name, *[None] * 12, error
+        if not files:
             return
         source = Source(part.path)
-        for i, path, at, n in part.files:
+        for i, path, at, n in files:
             extension = path.rpartition(".")[2].lower() if "." in path else ""
-            if path.startswith(RESOURCE):
-                data = inflate_resource(source.read(at, n))
-                if data and data[:4] in RESOURCE_KINDS:
-                    yield name, part.image.title_id, part.image.product_code, part.image.container, i, path, f".{extension}", at, len(data), data if self.payload else None, None
+            whole = payload_of(source, path, at, n) if self.payload or path.startswith(RESOURCE) else None
+            if whole is None and (self.payload or path.startswith(RESOURCE)):
                 continue
-            yield name, part.image.title_id, part.image.product_code, part.image.container, i, path, f".{extension}" if extension else "", at, n, source.read(at, n) if self.payload else None, None
+            size = n if whole is None else len(whole)
+            head = source.read(at, min(PEEK, n)) if whole is None else whole[:PEEK]
+            tail = source.read(at + max(0, n - PEEK), min(PEEK, n)) if whole is None else whole[-PEEK:]
+            yield name, image.title_id, image.product_code, image.container, i, path, f".{extension}" if extension else "", at, n if path.startswith(RESOURCE) else size, part.path, head, tail, whole if self.payload else None, None
         source.close()
 
 
+def read_payloads(found: DataFrame) -> DataFrame:
+    """Rows that were read without payloads, with them: each task reads its rows' ranges of the images."""
+
+    def run(rows):
+        opened: dict[str, Source] = {}
+        for r in rows:
+            source = opened.get(r["image"])
+            if source is None:
+                source = opened[r["image"]] = Source(r["image"])
+            yield (*[r[c] for c in names], payload_of(source, r["path"], r["file_offset"], r["file_size"]))
+        for source in opened.values():
+            source.close()
+
+    kept = found.drop("payload")
+    names = kept.columns
+    return kernel(kept, run, kept.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", payload binary")
+
+
 class RomSource(DataSource):
     @classmethod
     def name(cls) -> str:
