@@ -9,6 +9,11 @@ Most runs needn't travel: a window can only be repeated if its minimiser occurs
 task itself sees). So minimisers are counted first, bucket by bucket; those that occur twice are put into a bit table of
 fixed size, and only runs that pass it are sent. A full table would cost time, never results.
 
+A minimiser of a passage that very many texts share would gather all their runs in one bucket, each with other words
+before or after. Minimisers that more than a ``HOT_SHARE``-th of all runs have (and ``LEAST_HOT`` at least) are therefore
+found in the same count, at most twice ``HOT_SHARE`` of them, and their windows are dealt one by one, by the 128-bit hash
+of the window itself, which is then counted instead of sorted strings.
+
 A run's string and its places go different ways. Of each string a task sends one copy, with how often it has seen it, and
 these are added up before the bucket is sorted, so a bucket holds each string once however many texts share it. The
 bucket says which words of which strings are repeated; places (string, first word, text) then meet those by the string's
@@ -32,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm import textbuf as tb
-from orelode.llm.cluster import arrow_map, buckets_for, by_bucket, join_spread, original_columns, other_columns, pieces, stored
+from orelode.llm.cluster import HOT_SHARE, arrow_map, buckets_for, by_bucket, join_spread, original_columns, other_columns, pieces, stored
 
 WORDS, MINIMISER = 35, 8
 #: Bits in the table of minimisers that occur twice: 16 MB, whatever the input.
 TABLE_BITS = 27
 _FLUSH = 1 << 21
+#: Runs that a hot minimiser has at least; and candidates that a bucket of minimisers may name.
+LEAST_HOT, _NAMED = 1000, 64
+_MANY = np.dtype([("key", "<u8"), ("n", "<i8")])
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -53,7 +61,7 @@ class Runs:
     """The super-k-mers of a batch: ``start`` (first window, which is its first word), ``n`` windows and ``minimiser``."""
 
     def __init__(self, w: tb.Words, k: int, m: int):
-        h = w.hashes()
+        h = self.hashes = w.hashes()
         own = tb.inside_doc(w, k)
         self.window_hash = tb.windows(h, k)
         least = _sliding_min(tb.windows(h, m), k - m + 1) if len(h) >= k else np.zeros(0, np.uint64)
@@ -79,16 +87,21 @@ def _texts(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def _minimisers(source: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
-    """Minimisers by bucket: ``once`` and ``twice`` hold those that a task has seen once and more often, as 64-bit integers."""
+    """Minimisers by bucket: ``once`` and ``twice`` hold those that a task has seen once and more often, as 64-bit integers;
+    ``many`` those with a fair share of the task's runs and their numbers, and ``runs`` is the number of all."""
 
     def emit(parts: list[np.ndarray], again: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        runs, many = counts.copy(), counts >= max(2, int(counts.sum()) // (2 * HOT_SHARE))
         if again:
             counts[np.isin(keys, np.concatenate(again))] = 2
         of = _bucket(keys, buckets)
         for a, b in _ranges(of):
             once = counts[a:b] == 1
-            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), pa.array([keys[a:b][once].tobytes()], pa.binary()), pa.array([keys[a:b][~once].tobytes()], pa.binary())], names=["bucket", "once", "twice"])
+            named = np.zeros(int(many[a:b].sum()), _MANY)
+            named["key"], named["n"] = keys[a:b][many[a:b]], runs[a:b][many[a:b]]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (keys[a:b][once], keys[a:b][~once], named)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), *blobs, pa.array([int(runs[a:b].sum())], pa.int64())], names=["bucket", "once", "twice", "many", "runs"])
 
     def run(batches):
         parts, again, size = [], [], 0
@@ -110,7 +123,7 @@ def _minimisers(source: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
         if size:
             yield from emit(parts, again)
 
-    return arrow_map(source.select("_body"), run, "bucket int, once binary, twice binary")
+    return arrow_map(source.select("_body"), run, "bucket int, once binary, twice binary, many binary, runs bigint")
 
 
 def _ranges(of: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -119,8 +132,17 @@ def _ranges(of: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts[:-1], cuts[1:], strict=True) if len(of) else iter(())
 
 
-def _repeated_table(source: DataFrame, k: int, m: int) -> np.ndarray:
-    """The bit table (as bytes of 8 bits) of minimisers that occur twice or more."""
+def _added(parts: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the same key added up."""
+    every = np.concatenate(parts)
+    keys, back = np.unique(every["key"], return_inverse=True)
+    out = np.zeros(len(keys), _MANY)
+    out["key"], out["n"] = keys, np.bincount(back, weights=every["n"], minlength=len(keys)).astype(np.int64)
+    return out
+
+
+def _repeated_table(source: DataFrame, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bit table (as bytes of 8 bits) of minimisers that occur twice or more, and the hot minimisers in order."""
     buckets = min(buckets_for(source, 32 << 20), 1 << 12)
     each = (1 << TABLE_BITS) // buckets
 
@@ -130,23 +152,30 @@ def _repeated_table(source: DataFrame, k: int, m: int) -> np.ndarray:
         twice = np.concatenate([keys[counts > 1], *[np.frombuffer(r["twice"], np.uint64) for r in rows]])
         bits = np.zeros(each, bool)
         bits[(twice >> np.uint64(64 - TABLE_BITS)).astype(np.int64) - bucket * each] = True
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bucket", "bits"])
+        named = _added([np.frombuffer(r["many"], _MANY) for r in rows])
+        named = named[np.argsort(-named["n"], kind="stable")[:_NAMED]]  # hot ones spread over the buckets by their hashes
+        packed = [zlib.compress(np.packbits(bits).tobytes(), 1), named.tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in packed], pa.array([sum(r["runs"] for r in rows)], pa.int64())], names=["bucket", "bits", "many", "runs"])
 
-    table = np.zeros((buckets, each // 8), np.uint8)
-    for row in by_bucket(_minimisers(source, k, m, buckets), fn, "bucket int, bits binary", buckets).collect():
+    table, many, total = np.zeros((buckets, each // 8), np.uint8), [np.zeros(0, _MANY)], 0
+    for row in by_bucket(_minimisers(source, k, m, buckets), fn, "bucket int, bits binary, many binary, runs bigint", buckets).collect():
         table[row.bucket] = np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
-    return table.reshape(-1)
+        many.append(np.frombuffer(bytes(row.many), _MANY))
+        total += row.runs
+    named = np.concatenate(many)
+    return table.reshape(-1), np.sort(named["key"][named["n"] > max(LEAST_HOT, total // (2 * HOT_SHARE))])
 
 
-def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) -> DataFrame:
+def _runs(source: DataFrame, table: np.ndarray, hot: np.ndarray, k: int, m: int, buckets: int) -> DataFrame:
     """Of runs that may hold a repeated window: rows of strings (``bucket``, ``run``: the string's hash, ``string``, ``n``: 1, or
-    2 for more) and rows of places (``run``, ``at``: the first word, ``text``; ``bucket`` null)."""
+    2 for more) and rows of places (``run``, ``at``: the first word, ``text``; ``bucket`` null). Of hot minimisers each window
+    is a run, by its own hash and without a string."""
     import xxhash
 
-    sent = source.sparkSession.sparkContext.broadcast(table)
+    sent = source.sparkSession.sparkContext.broadcast((table, hot))
 
     def run(batches):
-        bits = sent.value
+        bits, hot = sent.value
         known: dict[bytes, list] = {}  # by hash: bucket, string, how often
         size = 0
 
@@ -167,6 +196,8 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
             keep = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] & (np.uint8(128) >> (place & np.uint64(7)).astype(np.uint8)))
             if not len(keep):
                 continue
+            alone = np.isin(r.minimiser[keep], hot)
+            single, keep = keep[alone], keep[~alone]
             start, n = r.start[keep], r.n[keep]
             data, md5 = w.raw.tobytes(), batch.column("_md5").to_pylist()
             bucket, texts, names = _bucket(r.minimiser[keep], buckets).tolist(), [md5[d] for d in r.doc[keep].tolist()], []
@@ -176,7 +207,19 @@ def _runs(source: DataFrame, table: np.ndarray, k: int, m: int, buckets: int) ->
                 own = known.setdefault(names[-1], [b, string, 0])
                 own[2] += 1
                 size += (len(string) + 64) * (own[2] == 1)
-            at, none = (start - w.first[r.doc[keep]]).astype(np.int32), len(keep)
+            doc = r.doc[keep]
+            if len(single):  # windows of hot minimisers
+                window = tb.pick(np.arange(len(r.own)), r.start[single], r.n[single])
+                both = np.stack([r.window_hash[window], tb.windows(r.hashes, k, 1)[window]], axis=1)
+                packed, own_doc = both.tobytes(), np.repeat(r.doc[single], r.n[single])
+                for i, b in enumerate(_bucket(tb.mix(both[:, 0].copy()), buckets).tolist()):
+                    names.append(packed[16 * i : 16 * i + 16])
+                    own = known.setdefault(names[-1], [b, None, 0])
+                    own[2] += 1
+                    size += 64 * (own[2] == 1)
+                texts += [md5[d] for d in own_doc.tolist()]
+                start, doc = np.concatenate([start, window]), np.concatenate([doc, own_doc])
+            at, none = (start - w.first[doc]).astype(np.int32), len(start)
             yield _batch(pa.nulls(none, pa.int32()), pa.array(names, pa.binary()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int32()), pa.array(at), pa.array(texts, pa.binary()))
             if size > 48 << 20:
                 yield from emit()
@@ -215,16 +258,16 @@ def _count_bucket(names: list[bytes], strings: list[bytes], counts: list[int], k
 
 def repeated_spans(source: DataFrame, k: int = WORDS, m: int = MINIMISER) -> DataFrame:
     """``_md5`` of a text and ``spans``: the words to remove, as packed pairs (first, one past the last) of 32-bit integers."""
-    table = _repeated_table(source, k, m)
+    table, hot = _repeated_table(source, k, m)
     buckets = buckets_for(source, 1 << 20)
-    found = stored(_runs(source, table, k, m, buckets))
+    found = stored(_runs(source, table, hot, k, m, buckets))
     strings = found.where("bucket is not null").select("bucket", "run", "string", "n")
     tasks = max(2, min(buckets, max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 16)))
     # equal strings are in one bucket, so they are added up where they arrive
     added = strings.repartition(tasks, "bucket").groupBy("bucket", "run").agg(F.min("string").alias("string"), F.sum("n").alias("n"))
 
     def count(batches):
-        current, rows = None, []
+        current, rows, alone = None, [], []
 
         def spans() -> Iterator[pa.RecordBatch]:
             out = list(_count_bucket(*(list(c) for c in zip(*rows, strict=True)), k))
@@ -233,11 +276,17 @@ def repeated_spans(source: DataFrame, k: int = WORDS, m: int = MINIMISER) -> Dat
 
         for batch in batches:
             for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "run", "string", "n")), strict=True):
+                if row[1] is None:
+                    alone += [row[0]] * (row[2] > 1)
+                    continue
                 if bucket != current and rows:
                     yield from spans()
                     rows = []
                 current = bucket
                 rows.append(row)
+            if alone:  # single windows that occur again
+                yield pa.RecordBatch.from_arrays([pa.array(alone, pa.binary()), pa.array([np.array([0, k], np.int32).tobytes()] * len(alone), pa.binary())], names=["run", "spans"])
+                alone = []
         if rows:
             yield from spans()
 

@@ -118,8 +118,11 @@ def test_jaccard_components(docs, rows):
     assert table(jaccard_join.component_digest(empty(docs))) == []
 
 
-def test_jaccard_large_classes(spark):
-    """More copies than a short list holds: stars whose ends don't link, chains, and unlike texts with a shared passage."""
+@pytest.mark.parametrize("bits", [jaccard_join.LIST_BITS, 2])
+def test_jaccard_large_classes(spark, monkeypatch, bits):
+    """More copies than a short list holds: stars whose ends don't link, chains, and unlike texts with a shared passage; lists
+    whole and in parts."""
+    monkeypatch.setattr(jaccard_join, "LIST_BITS", bits)
     rng = random.Random(3)
     base = prose(220, rng)
     rows = [(i, near(base, 1 + i % 6)) for i in range(60)] + [(100, base)]
@@ -591,6 +594,20 @@ def test_window_dedup(docs, rows, k, m):
     assert table(window_dedup.dedup_digest(docs, k, m)) == brute_windows(rows, k)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_window_dedup_of_hot_minimisers(spark, monkeypatch, parts):
+    """A passage that most texts share, each with other words around it: its windows go by themselves, with the same result."""
+    rng = random.Random(41)
+    rows = [(i, prose(rng.randrange(60), rng) + " " + PASSAGE + " " + prose(rng.randrange(60), rng)) for i in range(120)]
+    rows += [(200 + i, prose(150, rng)) for i in range(20)] + [(300, rows[0][1]), (301, rows[0][1]), (302, PASSAGE + " " + PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    monkeypatch.setattr(window_dedup, "LEAST_HOT", 100)
+    monkeypatch.setattr(window_dedup, "HOT_SHARE", 64)
+    _, hot = window_dedup._repeated_table(window_dedup._texts(df, [], "text"), 35, 8)
+    assert 0 < len(hot) < 30
+    assert table(window_dedup.dedup_digest(df)) == brute_windows(rows, 35)
+
+
 def test_window_dedup_of_looped_texts(spark):
     """Near copies of a line that goes on for long: runs with equal ends and lengths that differ between them."""
     rng = random.Random(12)
