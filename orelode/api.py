@@ -36,6 +36,13 @@ def files(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("rom").option("payload", str(payload).lower()).load(path)
 
 
+def read_file(spark: SparkSession, image: str, path: str) -> bytes | None:
+    """One file of an image by its path (leading slashes and case don't matter); None if it isn't there."""
+    same = F.lower(F.regexp_replace("path", "^/+", "")) == path.lower().lstrip("/")
+    row = rom.read_payloads(files(spark, image, payload=False).where(same)).select("payload").first()
+    return bytes(row.payload) if row and row.payload is not None else None
+
+
 def _judged(found: DataFrame) -> DataFrame:
     """What files are by their names, first and last bytes, and whether they are worth opening."""
     head, tail, size = F.col("head"), F.col("tail"), F.col("file_size")
@@ -75,6 +82,7 @@ def extract(spark: SparkSession, path: str, options: Options | None = None) -> d
         for name in ("records", "failures", "unknowns", "summary", "quality", "formats", "tex"):
             out[name].write.mode("overwrite").json(f"{o.output}/{name}")
         sinks.write_reports(out, o.output)
+        sinks.write_contact_sheets(rows, records, o.output).write.mode("overwrite").parquet(f"{o.output}/contact_sheets")
     return out
 
 

@@ -545,6 +545,15 @@ def pack_capcom_arc(entries: list[Entry], own: bool = True) -> bytes:
     return b"ARC\0" + struct.pack("<HH", 0x10 if own else 0x13, len(rows)) + b"".join(rows) + b"".join(packed)
 
 
+def pack_fe_arc(entries: list[Entry]) -> bytes:
+    """One entry, packed, in the second place where one may stand."""
+    from orelode.functions.lz import pack_lz11
+
+    ((_, payload),) = entries
+    stream = pack_lz11(payload)
+    return struct.pack("<III", 0x24 + len(stream), 0, 1).ljust(0x24, b"\0") + stream
+
+
 def pack_gfac(entries: list[Entry]) -> bytes:
     from orelode.functions.lz import pack_lz10
 

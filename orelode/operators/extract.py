@@ -32,10 +32,20 @@ def _wrapped(data: bytes) -> bytes | None:
     return data[start:] if start and data[start : start + 4] == b"BCH\0" else None
 
 
+#: Extensions of members that are opened in two kinds of archives; in the first one those without one are too. Fixed values.
+CPK_OPEN = ("ctpk", "bch", "bcres", "cgfx", "bflim", "bclim", "ctxb", "sarc", "arc", "garc", "narc", "szs", "zar", "gar", "darc", "bin", "dat", "bcmdl", "bctex", "stex", "jtex", "jarc", "cpk")
+ZAR_OPEN = ("ctxb", "cmb", "cgfx", "bch", "ctpk", "bflim", "zsi")
+
+
 def _members(kind: str, data: bytes):
-    """An archive's entries; of one kind those that say what they are come first, and one that holds models of the newer
-    kind holds none of the older that count."""
+    """An archive's entries that are opened; of one kind those that say what they are come first, and one that holds models
+    of the newer kind holds none of the older that count."""
     found, error = archives.expand(kind, data)
+    extension = lambda n: n.rpartition("/")[2].rpartition(".")[2].lower() if "." in n.rpartition("/")[2] else ""
+    if kind == "cpk":
+        found = [(n, p) for n, p in found if extension(n) in ("", *CPK_OPEN)]
+    elif kind == "zar":
+        found = [(n, p) for n, p in found if extension(n) in ZAR_OPEN]
     if kind == "garc":
         if any(p.startswith(b"CGFX") for _, p in found):
             found = [(n, p) for n, p in found if not n.endswith(".bch")]

@@ -123,10 +123,14 @@ def tile_quality_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_BYTES.format(unit=1)} select doc_id, count(*) as n, sum(v)::bigint as s1, sum(v * v)::bigint as s2, min(v)::bigint as lo, max(v)::bigint as hi from raw group by doc_id")
 def pixel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer moments of the bytes, in the engine alone."""
-    d = _payload(spark, sf_dir).withColumn("v", F.explode(F.regexp_extract_all(F.hex("data"), F.lit("(..)"), 1)))
-    v = F.conv("v", 16, 10).cast("bigint")
-    return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    """Integer moments of the bytes."""
+
+    def run(rows):
+        for r in rows:
+            v = np.frombuffer(r["data"], np.uint8).astype(np.int64)
+            yield r["doc_id"], len(v), int(v.sum()), int((v * v).sum()), int(v.min()), int(v.max())
+
+    return kernel(_payload(spark, sf_dir), run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, lo bigint, hi bigint")
 
 
 @query(f"with {_BYTES.format(unit=1)}, c as (select doc_id, v, count(*) as n from raw group by all) select doc_id, (max(n) * 1000 // sum(n))::bigint as dominant_per_1000, count(*) as tones from c group by doc_id")

@@ -235,6 +235,20 @@ def arc0_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernel(_texts(spark, sf_dir), run, "doc_id bigint, md5 string, plain bigint, packed bigint")
 
 
+@query(_TEXTS)
+def expand_fe_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that say their own size and hold packed textures at one of a few places."""
+
+    def run(rows):
+        for r in rows:
+            found, error = archives.expand("fe_arc", archives.pack_fe_arc([("", texture_builders.BUILDERS["ctpk"](*texture_builders.image_of(r["data"])))]))
+            if error or [n for n, _ in found] != ["fe_arc_ctpk_0000.ctpk"]:
+                raise ValueError(error)
+            yield _row(r["doc_id"], len(r["data"]), _only("ctpk", found[0][1]).data)
+
+    return kernel(_texts(spark, sf_dir), run, _SCHEMA)
+
+
 @query("select doc_id as file_idx, case when doc_id % 2 = 0 then 'texture' else 'unknown' end as kind from documents where length(text) > 0")
 def only_known_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inflated files that start like nothing known are left out."""

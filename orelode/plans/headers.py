@@ -83,7 +83,7 @@ def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         for r in rows:
             inner = BUILDERS["ctpk"](*image_of(r["data"]))
             blob = archives.pack_sarc([("tex/a.ctpk", inner), ("note.txt", b"none")])
-            if r["doc_id"] % 4 == 0:
+            if r["doc_id"] % 4 == 0 and len(r["data"]) <= 1 << 17:  # the second kind has at most 1,024 rows of pixels
                 blob = archives.pack_garc([("x", lz.pack_zlib(blob)), ("y", BUILDERS["capcom_tex"](*image_of(r["data"])))])
             yield "rom", r["doc_id"], [], f"/data/{r['doc_id']}.bin", lz.pack_yaz0(blob) if r["doc_id"] % 2 else lz.pack_sized_gzip(blob)
 
@@ -91,7 +91,7 @@ def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NESTED = """select doc_id as file_idx, count(*) as textures, sum(is_ctpk)::bigint as ctpk from (
- select doc_id, 1 as is_ctpk from documents where length(text) > 0 union all select doc_id, 0 from documents where length(text) > 0 and doc_id % 4 = 0) group by doc_id"""
+ select doc_id, 1 as is_ctpk from documents where length(text) > 0 union all select doc_id, 0 from documents where length(text) > 0 and doc_id % 4 = 0 and strlen(text) <= 131072) group by doc_id"""
 
 
 @query(_NESTED)
@@ -109,7 +109,11 @@ def _count(found: DataFrame) -> DataFrame:
     return t.groupBy(F.col("file_idx").cast("bigint").alias("file_idx")).agg(F.count("*").alias("textures"), F.count_if(F.col("parser") == "ctpk").alias("ctpk"))
 
 
-@query()
+@query("""with t as (select doc_id, 0 as k, 'ctpk' as parser, 'high' as confidence, text from documents where length(text) > 0
+ union all select doc_id, 1, 'capcom_tex/standard_tex', 'high', text from documents where length(text) > 0 and doc_id % 4 = 0 and strlen(text) <= 131072),
+n as (select *, row_number() over (order by doc_id, k) - 1 as i, 8 * greatest(1, ceil(strlen(text) / 1024.0))::bigint as height from t), f as (select text, height, min(i) as first_i from n group by all), name as (select i, 'tex_' || case when i < 10000 then lpad(i::varchar, 4, '0') else i::varchar end as id from n)
+select id, doc_id as file_idx, parser, confidence, 'L8' as format, 128::int as width, height::int as height, (128 * height)::bigint as raw_data_size, case when i <> first_i then (select id from name m where m.i = first_i) end as duplicate_of from n join f using (text, height) join name using (i)""")
 def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of the nested files: ids, hashes, duplicates, quality and flags."""
-    return numbered(with_flags(decode_textures(unpack(nested_files(spark, sf_dir), "fused")))).drop("seq")
+    """The manifest of the nested files: ids in the order of a serial visit, sizes and duplicates."""
+    found = numbered(with_flags(decode_textures(unpack(nested_files(spark, sf_dir), "fused"))))
+    return found.select("id", "file_idx", "parser", "confidence", "format", "width", "height", "raw_data_size", "duplicate_of")

@@ -9,8 +9,9 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions import pixels
@@ -156,16 +157,57 @@ def swap_table(df: DataFrame, path: str) -> None:
     system.move(locate(fresh)[1], place)
 
 
-def contact_sheet(images: list, columns: int = 10, cell: int = 64):
-    """A raster of thumbnails (nearest pixels), row by row; images are arrays of RGBA."""
-    import numpy as np
+#: Images of a contact sheet, its columns and the sides of its cells.
+SHEET_IMAGES, SHEET_COLUMNS, SHEET_CELL = 600, 10, 64
 
-    rows = max(1, -(-len(images) // columns))
-    sheet = np.full((rows * cell, columns * cell, 4), 255, np.uint8)
-    for i, image in enumerate(images):
-        h, w = image.shape[:2]
-        n = max(h, w, 1)
-        y, x = np.arange(max(1, h * cell // n)) * n // cell, np.arange(max(1, w * cell // n)) * n // cell
-        top, left = i // columns * cell, i % columns * cell
-        sheet[top : top + len(y), left : left + len(x)] = image[np.minimum(y, h - 1)][:, np.minimum(x, w - 1)]
-    return sheet
+
+def thumbnail(image: np.ndarray, cell: int = SHEET_CELL) -> np.ndarray:
+    """An RGBA image in a cell: its nearest pixels, and white around them."""
+    h, w = image.shape[:2]
+    n = max(h, w, 1)
+    y, x = np.arange(max(1, h * cell // n)) * n // cell, np.arange(max(1, w * cell // n)) * n // cell
+    out = np.full((cell, cell, 4), 255, np.uint8)
+    out[: len(y), : len(x)] = image[np.minimum(y, h - 1)][:, np.minimum(x, w - 1)]
+    return out
+
+
+def write_contact_sheets(found: DataFrame, records: DataFrame, folder: str) -> DataFrame:
+    """``contact_sheet.png`` of the first ``SHEET_IMAGES`` different textures of each image, row by row; returns ``rom_id`` and
+    ``images``. Tasks make the thumbnails; one task has those of an image, which are of a fixed size."""
+    n = F.row_number().over(Window.partitionBy("rom_id").orderBy(F.length("id"), "id"))
+    first = records.where("duplicate_of is null").select("rom_id", "file_idx", "seq", "id").withColumn("n", n).where(F.col("n") <= SHEET_IMAGES)
+    shown = found.where("kind = 'texture'").join(first, ["rom_id", "file_idx", "seq"]).select("rom_id", "n", "format", "width", "height", "crop_width", "crop_height", "payload")
+
+    def small(rows):
+        for r in rows:
+            image = pixels.decode(r["format"], r["width"], r["height"], r["payload"])
+            if r["crop_width"]:
+                image = image[: r["crop_height"], : r["crop_width"]]
+            yield r["rom_id"], r["n"], thumbnail(image).tobytes()
+
+    cells = kernel(shown, small, "rom_id string, n int, pixels binary")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sheet(batches):
+        own, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            rows = -(-len(parts) // SHEET_COLUMNS)
+            raster = np.full((rows * SHEET_CELL, SHEET_COLUMNS * SHEET_CELL, 4), 255, np.uint8)
+            for i, part in enumerate(parts):
+                top, left = i // SHEET_COLUMNS * SHEET_CELL, i % SHEET_COLUMNS * SHEET_CELL
+                raster[top : top + SHEET_CELL, left : left + SHEET_CELL] = np.frombuffer(part, np.uint8).reshape(SHEET_CELL, SHEET_CELL, 4)
+            _put(f"{folder}/{output_folder(own)}/contact_sheet.png", encode_png(raster))
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([len(parts)], pa.int32())], names=["rom_id", "images"])
+
+        for batch in batches:
+            for rom, part in zip(batch.column("rom_id").to_pylist(), batch.column("pixels").to_pylist(), strict=True):
+                if rom != own and parts:
+                    yield done()
+                    parts = []
+                own = rom
+                parts.append(part)
+        if parts:
+            yield done()
+
+    return arrow_kernel(cells.repartition(tasks, "rom_id").sortWithinPartitions("rom_id", "n"), sheet, "rom_id string, images int")

@@ -137,6 +137,9 @@ def test_pairs_titles_guesses_and_packed_resources(spark, tmp_path):
     assert json.loads((tmp_path / "out" / "import_dump_report.json").read_text()) == {"matched": 1, "unmatched": 0}
     assert spark.read.json(str(tmp_path / "out" / "records")).where("dump_hash = 'abcdef0123456789'").count() == 1
     assert main(["report", str(tmp_path)]) == 1
+    assert api.read_file(spark, str(tmp_path / "in"), "T/a.TEXTUREBIN") == pixels and api.read_file(spark, str(tmp_path / "in"), "none") is None
+    sheet = (folder / "contact_sheet.png").read_bytes()
+    assert sheet[:8] == b"\x89PNG\r\n\x1a\n" and [r.images for r in spark.read.parquet(str(tmp_path / "out" / "contact_sheets")).collect()] == [len(found) - sum(r.duplicate_of is not None for r in out["records"].collect())]
     assert [(r.name, r.size_mb) for r in api.library(spark, str(tmp_path / "in")).collect()] == [("g?.3ds", 0.0)]
 
 
