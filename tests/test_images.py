@@ -55,7 +55,7 @@ def test_extract(spark, folder, tmp_path, mode):
     assert sorted(r.chain for r in rows) == sorted(["/a/tex/one.ctpk", "/a/deep.bin>decompressed>0000.bin[lz]/t.ctpk", "/a/deep.bin>decompressed>0001.ctpk"])
     assert {r.reason for r in out["failures"].collect()} == {"the content is encrypted"}
     assert "52494646" in {r.magic for r in out["unknowns"].collect()}
-    assert len(list((tmp_path / "out").rglob("*.png"))) == 1
+    assert len(list((tmp_path / "out").rglob("textures/**/*.png"))) == 1 and len(list((tmp_path / "out").rglob("contact_sheet.png"))) == 1
     records = out["records"]
     dumps = spark.createDataFrame([("tex1_128x64_ABCDEF0123456789_L8_mip0.png",), ("tex1_8x8_ABCDEF0123456789_L8.png",)], "filename string")
     merged = api.import_dump(records, dumps)
@@ -103,7 +103,7 @@ def test_pairs_titles_guesses_and_packed_resources(spark, tmp_path):
     index = b"of\x01\0" + (2).to_bytes(4, "little") + b"".join(x.to_bytes(4, "little") for x in (0xABCDEF01, 8, len(packed), 7, 0, 99))
     # literal bytes of a header: 64 x 64 of the family's format 0x0C, behind 0x14 bytes
     tex = bytes.fromhex("54455800A500002001100002010C010000000000") + os.urandom(4096)
-    files = [("t/a.texturegdb", header), ("T/A.texturebin", pixels), ("t/lone.texturegdb", header), ("body.tex", tex), ("ls", index), ("dt", bytes(8) + packed), ("raw.dat", os.urandom(8192)), ("bad.tex", b"TEX\0" + b"\xff" * 20)]
+    files = [("t/a.texturegdb", header), ("T/A.texturebin", pixels), ("t/lone.texturegdb", header), ("body.tex", tex), ("ls", index), ("dt", bytes(8) + packed), ("raw.dat", os.urandom(8192)), ("bad.tex", b"TEX\0" + b"\xff" * 18)]
     title = 0x0004000000060200
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "g?.3ds").write_bytes(rom.build_ncsd(rom.build_ncch(rom.build_romfs(files), title, "CTR-P-TEST"), title))
@@ -130,7 +130,7 @@ def test_pairs_titles_guesses_and_packed_resources(spark, tmp_path):
     from orelode.__main__ import main
 
     assert main(["build-pack", str(tmp_path / "out")]) == 0
-    assert len(list((tmp_path / "out" / "pack").glob("*.png"))) == len(list(folder.rglob("*.png"))) > 0
+    assert len(list((tmp_path / "out" / "pack").glob("*.png"))) == len(list(folder.rglob("textures/**/*.png"))) > 0
     (tmp_path / "dump").mkdir()
     (tmp_path / "dump" / "tex1_64x64_ABCDEF0123456789_ETC1A4_mip0.png").write_bytes(b"x")
     assert main(["import-dump", str(tmp_path / "out"), "--dump", str(tmp_path / "dump")]) == 0
@@ -165,7 +165,7 @@ def test_fingerprints_of_literal_headers():
         assert error is None and (t.parser.removeprefix("capcom_tex/"), t.confidence, t.width, t.height) == want
     # a table of levels behind the header: 4,096 bytes for the first level of 64 x 64 and three smaller ones
     levels = b"".join(x.to_bytes(4, "little") for x in (4096, 5120, 5376, 0))
-    data = bytes.fromhex("54455800A500002001100002010C010000000000") + levels + bytes(5440)
+    data = bytes.fromhex("54455800A500002001100002010C010000000000") + levels + bytes(5441)
     (t,), _ = textures.textures("capcom_tex", data, "0004000000060200")
     assert (t.format, t.width, t.height, t.parser) == ("ETC1A4", 64, 64, "capcom_tex/rer_payload/mip_table/entries=3/profile_fmt")
     # 24 bits: any of the sizes with the game's formats
