@@ -7,8 +7,9 @@ operations on the places that still count; no pair crosses the end of a document
 plane for each further bit. A shard file holds the rules, how many ids each symbol expands to, and the documents' places,
 so any span of ids is decoded without the rest of the sequence.
 
-Ids come from a public tokenizer, which sees each distinct word of a batch once: the vocabulary's pre-tokeniser drops
-white space and never joins across it, so ids of a text are those of its words in turn.
+Ids come from a public tokenizer, which sees each distinct word once while a bounded table holds its ids (words are known by
+64-bit hashes): the vocabulary's pre-tokeniser drops white space and never joins across it, so ids of a text are those of
+its words in turn. Words of letters of ASCII and Latin-1 go through the same model without normaliser and expressions.
 
 Cases: null and empty texts have only the end id; documents are in ascending order of their ids (whole numbers, or any
 other type as text in order of its code points), null ids first, and rows of equal id in order of their ids' checksum; an
@@ -22,7 +23,6 @@ import os
 import struct
 import zlib
 from functools import cached_property, lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,14 @@ SHARD_TOKENS = 8 << 20
 _GROUP = 4096
 #: Pairs that a round replaces, and how often a pair occurs at least: a rule takes 12 bytes, and each use saves about two.
 PAIRS, LEAST = 8192, 8
-#: Words, and their ids, beyond which a worker's cache starts anew.
-_CACHE, _CACHE_IDS = 800_000, 1 << 24
+#: Words, and their ids, beyond which a worker's cache starts anew; places that its table has at first.
+_CACHE, _CACHE_IDS, _PLACES = 1_000_000, 1 << 24, 1 << 16
+#: Bytes of texts that are encoded at once, small enough for a processor's cache (one longer text goes alone).
+_TEXTS = 1 << 19
+#: Words of more bytes are hashed byte by byte.
+_LONG = 64
+#: Signs after a letter that are looked through for it.
+_TAIL = 8
 #: Bits of the hash of a pair by which its places are found.
 _BINS = 20
 #: Bytes that aren't ASCII signs, and ASCII letters.
@@ -49,6 +55,71 @@ _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = False
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+#: Second bytes, after 0xC3, of the letters of Latin-1, all but two of U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: A pre-tokeniser by which letters in a row are one pre-token.
+_LETTERS_STAY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, never 0, of each (not empty) span of ``data``, which has 8 more bytes behind the last span."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy()  # the 8 bytes from each place on
+    lens = ends - starts
+    salt = lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = tb.mix(eights[starts] & _LOW_BYTES[np.minimum(lens, 8)] ^ salt)
+    more, at = np.flatnonzero((lens > 8) & (lens <= _LONG)), 8
+    while len(more):
+        h[more] = tb.mix(h[more] + (eights[starts[more] + at] & _LOW_BYTES[np.minimum(lens[more] - at, 8)]))
+        at += 8
+        more = more[lens[more] > at]
+    long = np.flatnonzero(lens > _LONG)
+    if len(long):
+        h[long] = tb.span_hashes(data, starts[long], ends[long])
+    return np.maximum(h, np.uint64(1))
+
+
+class WordTable:
+    """Numbers by 64-bit hashes that aren't 0, of many at a time: open addressing, at most half full."""
+
+    def __init__(self, places: int = _PLACES):
+        self.keys, self.values, self.used = np.zeros(places, np.uint64), np.zeros(places, np.int64), 0
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where there is none."""
+        place = self._place(h)
+        key, out = self.keys[place], self.values[place]
+        rest = np.flatnonzero(key != h)
+        key, place = key[rest], place[rest]
+        while len(rest):
+            out[rest[key == 0]] = -1
+            rest, place = rest[key != 0], (place[key != 0] + 1) & (len(self.keys) - 1)
+            key = self.keys[place]
+            found = key == h[rest]
+            out[rest[found]] = self.values[place[found]]
+            rest, place, key = rest[~found], place[~found], key[~found]
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Numbers of distinct hashes that aren't there yet."""
+        if 2 * (self.used + len(h)) > len(self.keys):
+            old, there = self, np.flatnonzero(self.keys)
+            larger = WordTable(1 << (2 * (self.used + len(h))).bit_length())
+            larger.add(old.keys[there], old.values[there])
+            self.keys, self.values = larger.keys, larger.values
+        self.used += len(h)
+        place = self._place(h)
+        while len(h):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = h[free]  # of several that come to one place, the last stays
+            own = self.keys[place] == h
+            self.values[place[own]] = values[own]
+            h, values, place = h[~own], values[~own], (place[~own] + 1) & (len(self.keys) - 1)
 
 
 class WordEncoder:
@@ -71,93 +142,126 @@ class WordEncoder:
         self.mark = self.specials[0]
         self.mark_id = self.lib.token_to_id(self.mark)
         self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(self.lib.get_vocab_size())])
+        self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters_lib = Tokenizer.from_str(json.dumps(plain)) if (plain := self._for_letters(spec)) else None
         self._forget()
 
     def _forget(self) -> None:
-        """An empty cache: of each word, where its ids start in ``known``, times 2^32, plus how many they are."""
-        self.cache: dict[bytes, int] = {}
-        self.known, self.used = np.zeros(1 << 20, np.uint32), 0
+        """An empty cache: of each word's hash, where its ids start in ``known``, times 2^32, plus how many they are."""
+        self.cache = WordTable()
+        self.known, self.used = np.zeros(1 << 20, self.kind), 0
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         return any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps)
 
-    def _add(self, ids: np.ndarray) -> int:
-        """Keeps ids; returns where."""
-        at = self.used
-        while at + len(ids) > len(self.known):
-            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-        self.known[at : at + len(ids)] = ids
-        self.used += len(ids)
-        return at
-
-    def _learn(self, words: list[bytes]) -> None:
-        text = [w.decode() for w in words]
-        # words of letters alone are one pre-token each, whose last id alone is marked as an end: a space keeps them apart
+    @staticmethod
+    def _for_letters(spec: dict) -> dict | None:
+        """The same tokenizer, for words of lower-case letters of ASCII and Latin-1 with spaces between: normalisers leave
+        those as they are and each is one pre-token, so neither takes its expressions. None for a tokenizer of other steps."""
+        steps = spec["normalizer"]["normalizers"]
+        kept = [s for s in steps if s["type"] in ("NFC", "Lowercase") or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"}]
+        split, *after = spec["pre_tokenizer"]["pretokenizers"]
+        if kept != steps or split["pattern"] != {"Regex": _LETTERS_STAY} or [s["type"] for s in after] != ["ByteLevel"] or after[0]["use_regex"] or after[0]["add_prefix_space"]:
+            return None
+        return spec | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *after]}}
+
+    def _ids(self, lib, text: str) -> np.ndarray:
+        return np.array(lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        """Distinct spans of ``data``, which has a byte behind the last one, and their hashes into the cache."""
+        rest = np.arange(len(h))
+        if self.letters_lib and self.ends.any():
+            lens = end - begin
+            flat = tb.pick(data, begin, lens)
+            two = (flat[:-1] == 0xC3) & _LATIN[flat[1:]]
+            good = _LETTER[flat]
+            good[:-1] |= two
+            good[1:] |= two
+            good = np.logical_and.reduceat(good, np.cumsum(lens) - lens)
+            if good.any():
+                flat = tb.pick(data, begin[good], lens[good] + 1)
+                flat[np.cumsum(lens[good] + 1) - 1] = 0x20
+                text = flat.tobytes().decode()
+                # a word's last id alone is marked as an end
+                if self._keep_ended(h[good], self._ids(self.letters_lib, text.lower() if self.lowers else text)):
+                    rest = np.flatnonzero(~good)
+        if not len(rest):
+            return
+        raw = data.tobytes()
+        text = [raw[a:b].decode() for a, b in zip(begin[rest].tolist(), end[rest].tolist(), strict=True)]
+        # words of letters alone are one pre-token each: a space keeps them apart
         letters = [i for i, w in enumerate(text) if w.isalpha()] if self.ends.any() else []
-        ids = np.array(self.lib.encode_batch_fast([" ".join([text[i] for i in letters])], add_special_tokens=False)[0].ids, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(letters):
-            self._keep([words[i] for i in letters], ids, np.concatenate([[0], stops[:-1]]).astype(np.int64), stops)
-        else:
+        if letters and not self._keep_ended(h[rest[letters]], self._ids(self.lib, " ".join([text[i] for i in letters]))):
             letters = []
         known = set(letters)
         plain = [i for i in range(len(text)) if i not in known and "<|" not in text[i]]
-        # others by a mark between them, itself a token of the vocabulary
-        ids = np.array(self.lib.encode_batch_fast([self.mark.join([text[i] for i in plain])], add_special_tokens=False)[0].ids, np.uint32)
-        marks = np.flatnonzero(ids == self.mark_id)
-        self._keep([words[i] for i in plain], ids, np.concatenate([[0], marks + 1]).astype(np.int64), np.concatenate([marks, [len(ids)]]))
+        if plain:
+            # others by a mark between them, itself a token of the vocabulary
+            ids = self._ids(self.lib, self.mark.join([text[i] for i in plain]))
+            marks = np.flatnonzero(ids == self.mark_id)
+            self._keep(h[rest[plain]], ids, np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(ids)]]))
         for i, w in enumerate(text):
             if "<|" in w:
-                ids = np.array(self.lib.encode(w, add_special_tokens=False).ids, np.uint32)
-                self._keep([words[i]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+                ids = np.array(self.lib.encode(w, add_special_tokens=False).ids, self.kind)
+                self._keep(h[rest[[i]]], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+    def _keep_ended(self, h: np.ndarray, ids: np.ndarray) -> bool:
+        """Into the cache, if there are as many ends of words as words."""
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(h):
+            return False
+        self._keep(h, ids, np.concatenate([[0], stops[:-1]]), stops)
+        return True
+
+    def _keep(self, h: np.ndarray, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         """Words' ids, from ``starts`` to ``stops``, into the cache."""
-        if words:
-            at = self._add(ids)
-            self.cache.update(zip(words, ((starts + at) << 32 | (stops - starts)).tolist(), strict=True))
+        if len(starts) != len(h):
+            raise ValueError("the tokenizer's ids can't be told apart by words")
+        at = self.used
+        while at + len(ids) > len(self.known):
+            self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+        self.known[at : at + len(ids)] = ids
+        self.used += len(ids)
+        self.cache.add(h, (starts.astype(np.int64) + at) << 32 | (stops - starts))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.cache) > _CACHE or self.used > _CACHE_IDS:
+        if self.cache.used > _CACHE or self.used > _CACHE_IDS:
             self._forget()
-        raw, _ = tb.raw_bytes(texts.cast(pa.binary()))
+        texts = texts.cast(pa.binary())
+        raw, _ = tb.raw_bytes(texts)
         special = b"<|" in raw.tobytes()  # special strings are matched before letters are lowered, and may hold signs
-        w = tb.words(texts.cast(pa.binary()), tb.FOLDED if self.lowers and not special else tb.PLAIN)
+        w = tb.words(texts, tb.FOLDED if self.lowers and not special else tb.PLAIN)
         if not len(w):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        data = np.where(w.mapped == 0xFF, 0, w.mapped) if (w.mapped == 0xFF).any() else w.mapped
-        begin, end, of = w.starts, w.ends, w.doc
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        data = np.concatenate([w.mapped, np.zeros(8, np.uint8)])
+        data[data == 0xFF] = 0
+        begin, end, first = w.starts, w.ends, w.first
         if not special:
-            begin, end, of = self._cut_tails(data, begin, end, of)
-        first, back = tb.distinct(tb.span_hashes(data, begin, end))
-        text = data.tobytes()
-        words = [text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        found = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
+            begin, end, first = self._cut_tails(data, begin, end, first)
+        h = _word_hashes(data, begin, end)
+        found = self.cache.get(h)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new = [words[i] for i in missing.tolist()]
-            self._learn(new)
-            found[missing] = np.fromiter(map(self.cache.__getitem__, new), np.int64, len(new))
-        lens, heads = found & 0xFFFFFFFF, found >> 32
-        return tb.pick(self.known, heads[back], lens[back]), np.bincount(of, weights=lens[back], minlength=len(texts)).astype(np.int64)
+            new = missing[tb.distinct(h[missing])[0]]
+            self._learn(data, begin[new], end[new], h[new])
+            found[missing] = self.cache.get(h[missing])
+        lens = found & 0xFFFFFFFF
+        return tb.pick(self.known, found >> 32, lens), np.diff(np.concatenate([[0], np.cumsum(lens)])[first])
 
     @staticmethod
-    def _cut_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Signs after a word's last ASCII letter are tokens of their own: cut off, they leave fewer distinct words."""
-        solid = np.flatnonzero(_SOLID[data])
-        last = np.searchsorted(solid, ends) - 1
-        at = np.where(last >= 0, solid[np.maximum(last, 0)], -1)
-        tail = (at >= starts) & (at < ends - 1) & _LETTER[data[np.maximum(at, 0)]]
-        cut = np.flatnonzero(tail)
-        slot = np.arange(len(starts)) + np.cumsum(tail) - tail
-        begin = np.empty(len(starts) + len(cut), np.int64)
-        end, of = np.empty_like(begin), np.empty_like(begin)
-        begin[slot], end[slot], of[slot] = starts, np.where(tail, at + 1, ends), doc
-        begin[slot[cut] + 1], end[slot[cut] + 1], of[slot[cut] + 1] = at[cut] + 1, ends[cut], doc[cut]
-        return begin, end, of
+    def _cut_tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A few signs after a letter (of ASCII or Latin-1) are tokens of their own: cut off, they leave fewer distinct words."""
+        cut = np.flatnonzero(~_SOLID[data[ends - 1]])
+        at = ends[cut] - 1
+        for _ in range(_TAIL):
+            at -= ~_SOLID[data[at]] & (at > starts[cut])
+        tail = _LETTER[data[at]] | (data[at - 1] == 0xC3) & _LATIN[data[at]]
+        cut, at = cut[tail], at[tail] + 1
+        return np.insert(starts, cut + 1, at), np.insert(ends, cut, at), first + np.searchsorted(cut, first)
 
 
 @lru_cache(maxsize=2)
@@ -206,9 +310,12 @@ def compress(ids: np.ndarray, lens: np.ndarray, terminals: int, pairs: int = PAI
         here, rank = at[hit], (np.cumsum(first) - 1)[rank[hit]]
         chosen = chosen[first]
         # of places in a row every other one, from the left
-        fresh = np.concatenate([[True], after[here[:-1]] != here[1:]])
-        since = np.arange(len(here)) - np.maximum.accumulate(np.where(fresh, np.arange(len(here)), 0))
-        here, rank = here[since % 2 == 0], rank[since % 2 == 0]
+        beside = np.flatnonzero(after[here[:-1]] == here[1:]) + 1
+        if len(beside):
+            begins = np.concatenate([[True], beside[1:] != beside[:-1] + 1])
+            keep = np.ones(len(here), bool)
+            keep[beside] = (beside - beside[begins][np.cumsum(begins) - 1]) % 2 == 1
+            here, rank = here[keep], rank[keep]
         used = np.zeros(len(chosen), bool)
         used[rank] = True  # a pair whose places all went to others gets no rule
         chosen, rank = chosen[used], (np.cumsum(used) - 1)[rank]
@@ -239,19 +346,19 @@ class Shard:
 
     def __init__(self, terminals: int, rules: np.ndarray, seq: np.ndarray, symbols: np.ndarray, lens: np.ndarray, ids: pa.Array):
         self.terminals, self.rules, self.seq, self.symbols, self.lens, self.ids = terminals, rules, seq, symbols, lens, ids
-        self.expands = np.ones(terminals + len(rules), np.int64)
-        for r, (a, b) in enumerate(rules.tolist()):
-            self.expands[terminals + r] = self.expands[a] + self.expands[b]
+        expands = [1] * terminals
+        for a, b in rules.tolist():
+            expands.append(expands[a] + expands[b])
+        self.expands = np.array(expands, np.int64)
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """What all symbols expand to, in a row, and where each one's ids start."""
-        parts: list[np.ndarray] = []
-        plain = np.arange(self.terminals, dtype=np.uint32)
-        of = lambda s: plain[s : s + 1] if s < self.terminals else parts[s - self.terminals]
+        plain = np.arange(self.terminals, dtype="<u4").tobytes()
+        parts = [plain[i : i + 4] for i in range(0, len(plain), 4)]
         for a, b in self.rules.tolist():
-            parts.append(np.concatenate([of(a), of(b)]))
-        return np.concatenate([plain, *parts]).astype(np.uint32), np.cumsum(self.expands) - self.expands
+            parts.append(parts[a] + parts[b])
+        return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(self.expands) - self.expands
 
     def decode(self, symbols: np.ndarray) -> np.ndarray:
         flat, heads = self.table
@@ -309,11 +416,10 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches):
         enc = word_encoder(path)
-        kind = "<u2" if enc.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        for batch in pieces(batches, "_body", 4 << 20):
+        for batch in pieces(batches, "_body", _TEXTS):
             flat, lens = enc(batch.column("_body").fill_null(""))
             ends = np.cumsum(lens)
-            every = np.insert(flat, ends, end_id).astype(kind)
+            every = np.insert(flat, ends, end_id)
             bounds = (np.concatenate([[0], ends]) + np.arange(len(lens) + 1)) * every.itemsize
             packed = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(every.tobytes())])
             data = memoryview(every.tobytes())

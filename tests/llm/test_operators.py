@@ -531,6 +531,54 @@ def test_word_encoder_of_a_word_of_a_million_tokens():
         assert at == len(ids) and max(lens) > 1 << 20
 
 
+def test_word_encoder_against_library():
+    """Letters of ASCII and Latin-1 in both cases, signs and digits beside them, letters that change under normalisation,
+    long words, long tails and control characters; in one batch, one by one, and from the cache."""
+    enc = repair_codec.WordEncoder(cluster.tokenizer_file("word_bpe_49k.json"))
+    rng = np.random.default_rng(11)
+    common = [*"abcxyzABÉéèßÿÞþÀöñ.,!?'-# 0123\t\n"]
+    odd = [*"×÷ªµºİıſΣσςǅﬁ漢字한𝒜e\u0301\u0327\u1100\u1161\u00a0\u0085\u2028\x00\x07\x1c<|>\u200d", "'s", "'LL", "<|endoftext|>", "x" * 70, "é" * 40, "#" * 12, "É" + "*" * 9, "abcdefgh", "abcdefg\x08", "abcdefg"]
+    texts = ["", "a", "É", "été. Été, ÉTÉ! été...... été.........", *["".join(rng.choice(common if i % 2 else common + odd, rng.integers(0, 60))) for i in range(600)]]
+    want = [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = [i for i, t in enumerate(texts) if "<|" not in t]  # special strings have a batch treated otherwise
+    for chosen in ([*range(len(texts))], plain, plain, *[[i] for i in range(len(texts))]):
+        ids, lens = enc(pa.array([texts[i] for i in chosen]))
+        assert ids.tolist() == [x for i in chosen for x in want[i]] and lens.tolist() == [len(want[i]) for i in chosen]
+
+
+def test_word_encoder_asks_little():
+    """A word is asked for once, whatever signs follow its last letter; letters of ASCII and Latin-1 take no expressions."""
+    enc = repair_codec.WordEncoder(cluster.tokenizer_file("word_bpe_49k.json"))
+    asked = {"all": [], "letters": []}
+
+    class Asked:
+        def __init__(self, lib, kind):
+            self.lib, self.kind = lib, kind
+
+        def encode_batch_fast(self, texts, **how):
+            asked[self.kind] += " ".join(texts).replace(enc.mark, " ").split()
+            return self.lib.encode_batch_fast(texts, **how)
+
+    text = "été été. word, Straße! straße; où? où word"
+    want = enc.lib.encode(text, add_special_tokens=False).ids
+    enc.lib, enc.letters_lib = Asked(enc.lib, "all"), Asked(enc.letters_lib, "letters")
+    for _ in range(2):
+        assert enc(pa.array([text]))[0].tolist() == want
+    assert sorted(asked["letters"]) == ["où", "straße", "word", "été"] and sorted(asked["all"]) == ["!", ",", ".", ";", "?"]
+
+
+def test_word_table():
+    """Hashes that share places, up to the last one and round to the first; the table grows when half of it is taken."""
+    rng = np.random.default_rng(12)
+    table = repair_codec.WordTable(8)
+    keys = np.unique(np.concatenate([rng.integers(1, 1 << 64, 3000, dtype=np.uint64), np.arange(1, 200, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(200, dtype=np.uint64)]))
+    rng.shuffle(keys)
+    for a in range(0, len(keys), 97):
+        table.add(keys[a : a + 97], np.arange(a, min(a + 97, len(keys))))
+        assert table.get(keys).tolist() == [*range(min(a + 97, len(keys)))] + [-1] * max(0, len(keys) - a - 97)
+    assert 2 * table.used <= len(table.keys) and table.used == len(keys)
+
+
 # 7
 
 
